@@ -1,7 +1,8 @@
 """Data quality: declared checks, one aggregate per table, plus audits and completeness.
 
-All checks of a table that look at single rows share one scan and one aggregate.  A
-duplicate check needs the column's values grouped and adds one aggregation.
+All checks of a table share one scan: rows are grouped by the column whose duplicates are
+counted, the other counts ride along and are summed up above it.  Only a second duplicate
+column of the same table, or a comparison with another table, adds a scan.
 """
 
 from __future__ import annotations
@@ -153,26 +154,37 @@ def check_table(
             (measured == 0 if passed is None else passed).alias("passed"),
         )
 
-    parts = []
     plain = [c for c in checks if c.kind in ("rows", "missing", "invalid")]
-    if plain:
-        measured = df.agg(*[c.row_measure().alias(f"m{i}") for i, c in enumerate(plain)])
-        structs = [
-            result(c, F.col(f"m{i}"), F.col(f"m{i}") > 0 if c.kind == "rows" else None)
-            for i, c in enumerate(plain)
-        ]
-        parts.append(measured.select(F.inline(F.array(*structs))))
+    repeats = [c for c in checks if c.kind == "duplicate"]
+    measures = [c.row_measure().alias(f"m{i}") for i, c in enumerate(plain)]
+    structs = [
+        result(c, F.col(f"m{i}"), F.col(f"m{i}") > 0 if c.kind == "rows" else None)
+        for i, c in enumerate(plain)
+    ]
+    parts = []
+    if repeats:
+        # the values of the first duplicate column, each with its share of the other counts
+        first = repeats[0]
+        grouped = df.groupBy(F.col(first.column).alias("_value")).agg(
+            F.count(F.lit(1)).alias("_n"), *measures
+        )
+        measured = grouped.agg(
+            F.count_if(F.col("_value").isNotNull() & (F.col("_n") > 1)).alias("_repeated"),
+            *[F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"m{i}") for i in range(len(plain))],
+        )
+        parts.append(
+            measured.select(F.inline(F.array(*structs, result(first, F.col("_repeated")))))
+        )
+    elif plain:
+        parts.append(df.agg(*measures).select(F.inline(F.array(*structs))))
+    for check in repeats[1:]:
+        grouped = df.groupBy(F.col(check.column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        repeated = F.count_if(F.col("_value").isNotNull() & (F.col("_n") > 1))
+        parts.append(
+            grouped.agg(repeated.alias("m")).select(F.inline(F.array(result(check, F.col("m")))))
+        )
     for check in checks:
-        if check.kind == "duplicate":
-            repeated = (
-                df.filter(F.col(check.column).isNotNull())
-                .groupBy(check.column)
-                .agg(F.count(F.lit(1)).alias("n"))
-                .filter("n > 1")
-                .agg(F.count(F.lit(1)).alias("m"))
-            )
-            parts.append(repeated.select(F.inline(F.array(result(check, F.col("m"))))))
-        elif check.kind == "same_rows":
+        if check.kind == "same_rows":
             ours = df.agg(F.count(F.lit(1)).alias("a"))
             theirs = tables[check.other].agg(F.count(F.lit(1)).alias("b"))
             gap = F.abs(F.col("a") - F.col("b"))

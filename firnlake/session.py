@@ -35,6 +35,8 @@ def local_session(cpus: int = 8, app: str = "firnlake", memory: str = "12g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # call-site capture on every column expression slows down building plans; static
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
