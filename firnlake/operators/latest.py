@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def latest_per_key(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
     *,
@@ -30,20 +30,21 @@ def latest_per_key(
     rows of the key (a first-event minimum, a counter).  Keys without a winning row are
     left out, NULL keys too.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     row = F.struct(*[F.col(c) for c in columns])
     rank = F.struct(*[F.col(c) for c in order])
     if when is not None:
         # a NULL ordering value is skipped by max_by, so losers never enter the buffer
         rank = F.when(when, rank)
     grouped = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
+        df.dropna(subset=keys)
+        .groupBy(*keys)
         .agg(F.max_by(row, rank).alias("_row"), *extras)
     )
     if when is not None:
         grouped = grouped.filter(F.col("_row").isNotNull())
-    kept = [c for c in grouped.columns if c not in (key, "_row")]
-    return grouped.select(key, *[F.col("_row")[c].alias(c) for c in columns], *kept)
+    kept = [c for c in grouped.columns if c not in (*keys, "_row")]
+    return grouped.select(*keys, *[F.col("_row")[c].alias(c) for c in columns], *kept)
 
 
 def carried_forward(

@@ -8,6 +8,7 @@ shuffle) and otherwise joins by shuffle, splitting skewed partitions of the left
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +57,18 @@ def orphans(
     return missing
 
 
-def split_by_match(
-    facts: DataFrame, dims: DataFrame, on: tuple[str, str]
-) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): coverage check of incoming rows against a read model."""
+def flag_match(facts: DataFrame, dims: DataFrame, on: tuple[str, str], flag: str) -> DataFrame:
+    """Adds ``flag``: whether the row's key occurs in ``dims`` (coverage check of claims)."""
     left_key, right_key = on
-    keys = dims.select(F.col(right_key).alias("_dim_key"))
-    accepted = facts.join(keys, F.col(left_key) == F.col("_dim_key"), "left_semi")
-    return accepted, orphans(facts, dims, on, nulls_are_orphans=True)
+    keys = dims.select(F.col(right_key).alias("_dim_key")).distinct()
+    joined = facts.join(keys, F.col(left_key) == F.col("_dim_key"), "left")
+    return joined.withColumn(flag, F.col("_dim_key").isNotNull()).drop("_dim_key")
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Single-row frames with different columns as one row, without a cross join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def latest_lookup(

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnlake.operators.lookup import side_by_side
+
 
 @dataclass(frozen=True)
 class Check:
@@ -188,7 +190,7 @@ def check_table(
             ours = df.agg(F.count(F.lit(1)).alias("a"))
             theirs = tables[check.other].agg(F.count(F.lit(1)).alias("b"))
             gap = F.abs(F.col("a") - F.col("b"))
-            parts.append(ours.join(theirs).select(F.inline(F.array(result(check, gap)))))
+            parts.append(side_by_side(ours, theirs).select(F.inline(F.array(result(check, gap)))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -260,7 +262,7 @@ def silver_completeness(coverages: DataFrame, policies: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_list("policy_status")), ",").alias("policy_statuses"),
         F.count_if(F.col("policy_status").isin("ACTIVE", "CANCELLED")).alias("_n"),
     )
-    return n.join(statuses).select(
+    return side_by_side(n, statuses).select(
         "coverage_rows", "policy_statuses",
         ((F.col("coverage_rows") > 0) & (F.col("_n") == 2)).alias("passed"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnlake.functions.text import full_name
-from firnlake.operators.lookup import enrich
+from firnlake.operators.lookup import enrich, side_by_side
 from firnlake.operators.privacy import decrypt, join_keys
 
 MONEY = "decimal(15,2)"
@@ -206,9 +206,8 @@ def management_kpi(
     )
     sold = policies.select("product_id").distinct()
     known = products.select("product_id").join(sold, "product_id", "left_semi")
-    return figures.join(
-        known.agg(F.count("product_id").alias("active_products"))  # one row each side
-    ).select(
+    products_sold = known.agg(F.count("product_id").alias("active_products"))
+    return side_by_side(figures, products_sold).select(
         today.alias("report_date"), "total_partners", "active_policies",
         "total_portfolio_premium_chf", "avg_premium_chf", "active_products",
         "new_policies_last_30d", "cancelled_last_30d",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnlake.operators.latest import latest_per_key
+
 # The namespaces of the lake.
 NAMESPACES = [
     "partner_silver", "policy_silver", "claims_silver", "billing_silver", "product_silver",
@@ -35,18 +37,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """The numbers N of the committed sub-folders ``prefix``N."""
+def _numbers(spark: SparkSession, path: str, prefix: str, start: int | None = None) -> list[int]:
+    """The numbers N, from ``start`` on, of the committed sub-folders ``prefix``N."""
     fs, p = _filesystem(spark, path)
     if not fs.exists(p):
         return []
     found = []
     for status in fs.listStatus(p):
         name = status.getPath().getName()
-        if name.startswith(prefix) and fs.exists(
-            spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
-        ):
-            found.append(int(name[len(prefix):]))
+        if not name.startswith(prefix):
+            continue
+        number = int(name[len(prefix):])
+        if start is not None and number < start:
+            continue
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
+            found.append(number)
     return sorted(found)
 
 
@@ -81,7 +86,8 @@ class ChangeLog:
     """A read model kept as a log of changes, one folder per micro-batch.
 
     A batch writes only its own rows, however large the model is, and writing the same
-    batch again replaces it.  The current state is folded when read.
+    batch again replaces it.  The current state is folded when read.  From time to time
+    the log so far is condensed into a base, so that readers start there.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -92,24 +98,36 @@ class ChangeLog:
 
     def read(self, before_batch: int | None = None) -> DataFrame:
         """All logged rows with their ``batch``; optionally only those of earlier batches."""
-        done = [
-            n for n in _numbers(self.spark, self.path, "batch=")
-            if before_batch is None or n < before_batch
-        ]
-        if not done:
-            return self.spark.createDataFrame([], f"{self.schema}, batch bigint")
-        log = (
-            self.spark.read.schema(f"{self.schema}, batch bigint")
-            .option("basePath", self.path)
-            .parquet(*[f"{self.path}/batch={n}" for n in done])
-        )
-        return log
-
-    def compact(self, state: DataFrame, target: str) -> ChangeLog:
-        """A new log whose only entry, older than any batch, is the folded ``state``."""
-        fresh = ChangeLog(self.spark, target, self.schema)
-        fresh.append(state, -1)
-        return fresh
+        schema = f"{self.schema}, batch bigint"
+
+        def earlier(n: int, limit: int | None) -> bool:
+            return limit is None or n < limit
+
+        bases = [n for n in _numbers(self.spark, self.path, "base=")
+                 if before_batch is None or n <= before_batch]
+        start = bases[-1] if bases else 0
+        done = [n for n in _numbers(self.spark, self.path, "batch=", start) if earlier(n, before_batch)]
+        parts = []
+        if bases:
+            parts.append(self.spark.read.schema(schema).parquet(f"{self.path}/base={start}"))
+        if done:
+            parts.append(
+                self.spark.read.schema(schema).option("basePath", self.path)
+                .parquet(*[f"{self.path}/batch={n}" for n in done])
+            )
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def condense(self, before_batch: int, key: Sequence[str], order: Sequence[str]) -> None:
+        """Write the base of all batches before ``before_batch``: the newest row per ``key``.
+
+        The rows keep the number of the batch they came from.
+        """
+        log = self.read(before_batch)
+        rest = [c for c in log.columns if c not in key]
+        newest = latest_per_key(log, key, order, rest)
+        newest.write.mode("overwrite").parquet(f"{self.path}/base={before_batch}")
 
 
 def append_range(df: DataFrame, path: str, time: str, day: str = "event_date") -> None:

@@ -15,6 +15,7 @@ from firnlake.operators.lookup import latest_lookup
 from firnlake.operators.ordered import number_rows
 from firnlake.operators.rules import CYCLE_LABELS, PAYMENT_DAYS
 from firnlake.sources.lake import ChangeLog
+from firnlake.streaming.read_models import CONDENSE_EVERY
 from firnlake.streaming.run import dead_letters, each_batch
 
 INVOICE_LOG = (
@@ -92,6 +93,8 @@ def bill_policies(messages: DataFrame, path: str, *, once: bool = False):
     log = ChangeLog(spark, f"{path}/log", INVOICE_LOG)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % CONDENSE_EVERY == 0:
+            log.condense(batch_id, ["invoice_id"], ["batch", "step"])
         batch = batch.persist()
         try:
             known = invoice_view(log.read(before_batch=batch_id)).withColumn("step", F.lit(0))
@@ -172,6 +175,8 @@ def assign_numbers(messages: DataFrame, partners: DataFrame, path: str, *, once:
     log = ChangeLog(spark, f"{path}/log", NUMBER_LOG)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % CONDENSE_EVERY == 0:
+            log.condense(batch_id, ["partner_id"], ["batch"])
         taken = log.read(before_batch=batch_id)
         last = taken.agg(F.max("sequence")).first()[0] or 0
         log.append(new_numbers(batch, partners, taken, last), batch_id)

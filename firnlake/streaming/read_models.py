@@ -7,6 +7,7 @@ the later message wins, ties are settled by the message text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -227,35 +228,45 @@ def snapshot_view(log: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ReadModel:
-    """A read model: its topics, translation, log columns and fold."""
+    """A read model: its topics, translation, log columns, fold and log key."""
 
     topics: tuple[str, ...]
-    translate: object
+    translate: Callable[[DataFrame], DataFrame]
     schema: str
-    view: object
+    view: Callable[[DataFrame], DataFrame]
+    key: tuple[str, ...]
 
 
 PARTNER = ReadModel(
-    ("person.v1.created", "person.v1.updated"), translate_partner, PARTNER_LOG, partner_view
+    ("person.v1.created", "person.v1.updated"), translate_partner, PARTNER_LOG, partner_view,
+    ("partner_id",),
 )
 PRODUCT = ReadModel(
     ("product.v1.defined", "product.v1.updated", "product.v1.deprecated"),
-    translate_product, PRODUCT_LOG, product_view,
+    translate_product, PRODUCT_LOG, product_view, ("product_id", "deactivates"),
 )
 POLICYHOLDER = ReadModel(
-    ("person.v1.state",), translate_policyholder, POLICYHOLDER_LOG, partner_view
+    ("person.v1.state",), translate_policyholder, POLICYHOLDER_LOG, partner_view,
+    ("partner_id",),
+)
+SNAPSHOT = ReadModel(
+    ("policy.v1.issued",), translate_snapshot, SNAPSHOT_LOG, snapshot_view, ("policy_id",)
 )
-SNAPSHOT = ReadModel(("policy.v1.issued",), translate_snapshot, SNAPSHOT_LOG, snapshot_view)
 
 
 def search_model(keys: DataFrame) -> ReadModel:
     return ReadModel(
-        ("person.v1.state",), lambda m: translate_search(m, keys), SEARCH_LOG, search_view
+        ("person.v1.state",), lambda m: translate_search(m, keys), SEARCH_LOG, search_view,
+        ("partner_id",),
     )
 
 
+CONDENSE_EVERY = 200  # batches between two bases of a log
+
+
 def maintain(
-    messages: DataFrame, model: ReadModel, path: str, *, once: bool = False
+    messages: DataFrame, model: ReadModel, path: str, *, once: bool = False,
+    condense_every: int = CONDENSE_EVERY,
 ):
     """Keep the read model's log and its dead letters below ``path`` up to date."""
     spark: SparkSession = messages.sparkSession
@@ -263,6 +274,8 @@ def maintain(
     columns = T.StructType.fromDDL(model.schema).names
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % condense_every == 0:
+            log.condense(batch_id, model.key, ORDER)
         translated = model.translate(batch).persist()
         try:
             log.append(translated.filter("reason = ''").select(*columns), batch_id)

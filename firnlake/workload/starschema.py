@@ -78,15 +78,25 @@ def _explode(df: DataFrame, columns: dict[str, str], kinds: list[tuple[Column |
     A kind that does not apply is a NULL struct, which ``inline`` turns into a row of NULLs;
     the filter on the always present time drops it without leaving generated code.
     """
-    # a value used by several kinds is computed once, in a projection below the explode
+    # each value is computed once, in a projection below the explode; one that only a single
+    # conditional kind uses is computed only where that kind applies
+    uses: dict[int, int] = {}
+    for _, values in kinds:
+        for value in values.values():
+            uses[id(value)] = uses.get(id(value), 0) + 1
     shared: dict[tuple[int, str], tuple[str, Column]] = {}
     structs = []
     for condition, values in kinds:
         parts = []
         for name, kind in columns.items():
             if name in values:
-                slot = (id(values[name]), kind)
-                shared.setdefault(slot, (f"_v{len(shared)}", values[name].cast(kind)))
+                value = values[name]
+                slot = (id(value), kind)
+                if slot not in shared:
+                    typed = value.cast(kind)
+                    if condition is not None and uses[id(value)] == 1:
+                        typed = F.when(condition, typed)
+                    shared[slot] = (f"_v{len(shared)}", typed)
                 parts.append(f"{shared[slot][0]} AS {name}")
             else:
                 parts.append(f"CAST(NULL AS {kind}) AS {name}")

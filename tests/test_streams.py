@@ -50,7 +50,7 @@ PERSONS = [
 def test_partner_view_does_not_depend_on_batches(spark, tmp_path, n):
     home = str(tmp_path / "home")
     deliver(spark, tmp_path, [messages(spark, [(*r, PERSONS.index(r)) for r in c]) for c in chunks(PERSONS, n)],
-            lambda s: read_models.maintain(s, read_models.PARTNER, home, once=True))
+            lambda s: read_models.maintain(s, read_models.PARTNER, home, once=True, condense_every=2))
     view = read_models.current(spark, read_models.PARTNER, home)
     assert as_set(view) == {("p-123", "Hans Neu", "VN-00000001"), ("p-5", "Solo", None)}
     rejected = {(r.key, r.reason) for r in read_models.rejected(spark, home).collect()}
