@@ -41,12 +41,15 @@ def illegal_transitions(
 
     Repeated dunning is legal here; its levels are checked by :func:`dunning_levels`.
     """
+    status = {kind: claimed for kind, (claimed, _) in rules.items()}
     known = events.filter(F.col("eventtype").isin(*rules) & F.col(key).isNotNull()).select(
-        key, "event_at", F.col(tie).alias("event_id"), "eventtype",
-        mapped("eventtype", {k: status for k, (status, _) in rules.items()}).alias("to_status"),
+        key, "event_at", F.col(tie).alias("event_id"), "eventtype"
+    )
+    stepped = lag_per_key(known, [key], "event_at", "event_id", "eventtype", "_before").select(
+        key, "event_at", "event_id", "eventtype",
+        mapped("eventtype", status).alias("to_status"),
+        F.coalesce(mapped("_before", status), F.lit(START)).alias("from_status"),
     )
-    stepped = lag_per_key(known, [key], "event_at", "event_id", "to_status", "from_status")
-    stepped = stepped.withColumn("from_status", F.coalesce("from_status", F.lit(START)))
     legal: Column = F.lit(False)
     for kind, (_, before) in rules.items():
         legal = legal | ((F.col("eventtype") == kind) & F.col("from_status").isin(before))

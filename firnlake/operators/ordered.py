@@ -32,22 +32,19 @@ def lag_per_key(
 ) -> DataFrame:
     """Adds ``name``: ``value`` of the key's previous row in (time, tie) order.
 
-    ``value`` must not be NULL, so that NULL in the result means "first row".
+    ``value`` must not be NULL, so that NULL in the result means "first row".  The
+    predecessor of a block's first row is the last row of an earlier block; only the
+    first and last rows of the blocks go into the second window.
     """
-    blocked = _with_block(df, time, block)
     inner = Window.partitionBy(*keys, "_block").orderBy(time, tie)
-    rows = blocked.withColumn("_prev", F.lag(value).over(inner))
-    ends = blocked.groupBy(*keys, "_block").agg(
-        F.max_by(value, F.struct(time, tie)).alias("_end")
-    )
-    carried = ends.withColumn(
-        "_carry", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block"))
-    ).drop("_end")
-    return (
-        rows.join(carried, [*keys, "_block"], "left")
-        .withColumn(name, F.coalesce("_prev", "_carry"))
-        .drop("_block", "_prev", "_carry")
+    rows = _with_block(df, time, block).withColumns(
+        {"_prev": F.lag(value).over(inner), "_next": F.lead(value).over(inner)}
     )
+    within = rows.filter(F.col("_prev").isNotNull()).withColumn(name, F.col("_prev"))
+    across = Window.partitionBy(*keys).orderBy(time, tie)
+    edges = rows.filter(F.col("_prev").isNull() | F.col("_next").isNull())
+    firsts = edges.withColumn(name, F.lag(value).over(across)).filter(F.col("_prev").isNull())
+    return within.unionByName(firsts).drop("_block", "_prev", "_next")
 
 
 def number_per_key(

@@ -17,17 +17,33 @@ def payload(topic: str, columns: dict[str, str]) -> Column:
     return F.to_json(F.struct(*[F.col(columns[f.lower()]).alias(f) for f in fields]))
 
 
-def to_messages(events: DataFrame, topic: str) -> DataFrame:
-    """Raw-shaped event rows as messages of one topic."""
-    contract = CONTRACTS[topic]
+def to_messages(events: DataFrame, topics: str | dict[str, str]) -> DataFrame:
+    """Raw-shaped event rows as messages.
+
+    ``topics`` is one topic for all rows, or event type → topic; rows of other types are
+    left out.  All topics come from one pass over the events.
+    """
     columns = {c.lower(): c for c in events.columns}
+    kind = F.col("eventtype") if "eventtype" in columns else F.lit(None).cast("string")
+
+    def key(topic: str) -> Column:
+        return F.col(columns[CONTRACTS[topic].key.lower()])
+
+    if isinstance(topics, str):
+        topic, message_key, value = F.lit(topics), key(topics), payload(topics, columns)
+    else:
+        events = events.filter(F.col("eventtype").isin(*topics))
+        topic, message_key, value = F.lit(None), F.lit(None), F.lit(None)
+        for event_type, name in topics.items():
+            match = kind == event_type
+            topic = F.when(match, name).otherwise(topic)
+            message_key = F.when(match, key(name)).otherwise(message_key)
+            value = F.when(match, payload(name, columns)).otherwise(value)
     return events.select(
-        F.lit(topic).alias("topic"),
-        F.col(columns[contract.key.lower()]).alias("key"),
-        payload(topic, columns).alias("value"),
-        (F.col("eventtype") if "eventtype" in columns else F.lit(None).cast("string")).alias(
-            "event_type"
-        ),
+        topic.alias("topic"),
+        message_key.alias("key"),
+        value.alias("value"),
+        kind.alias("event_type"),
         F.col("timestamp").cast("timestamp").alias("created_at"),
     )
 

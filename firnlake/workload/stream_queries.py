@@ -18,7 +18,7 @@ from firnlake.streaming import reactions, read_models, run
 from firnlake.workload import queries as q
 from firnlake.workload.queries import query
 
-PER_BATCH = 4  # files per micro-batch, so that several batches run
+PER_BATCH = 64  # files per micro-batch
 
 
 def staged(spark, messages: DataFrame, label: str) -> str:
