@@ -8,6 +8,8 @@ latest row and the first-event time share one scan and one shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ def latest_per_key(
         # a NULL ordering value is skipped by max_by, so losers never enter the buffer
         rank = F.when(when, rank)
     grouped = (
-        df.dropna(subset=keys)
+        df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
         .groupBy(*keys)
         .agg(F.max_by(row, rank).alias("_row"), *extras)
     )

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "vault:v1:"  # fixed format of an encrypted field: prefix + base64(nonce, text, tag)
@@ -80,6 +80,22 @@ def decrypt(value: Column, key: Column | str = KEY) -> Column:
     return F.when(~value.startswith("vault:"), value).otherwise(plain)
 
 
+def register_sql_function(spark: SparkSession, key_view: str, name: str = "vault_decrypt") -> None:
+    """``name(person, text)`` for SQL: the same decryption, with the keys of ``key_view``.
+
+    The lookup inside becomes a left join per call; queries that decrypt several columns
+    of a row are better off with :func:`join_keys` and one join.
+    """
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(person STRING, secret STRING) RETURNS STRING
+        RETURN CASE WHEN NOT startswith(secret, 'vault:') THEN secret ELSE CAST(try_aes_decrypt(
+            try_to_binary(substr(secret, {len(PREFIX) + 1}), 'base64'),
+            (SELECT max(k.key) FROM {key_view} k WHERE k.partner_id = person), 'GCM') AS STRING) END
+        """
+    )
+
+
 def encrypt_person_events(
     events: DataFrame, keys: DataFrame, fields: Sequence[str] = PERSON_FIELDS
 ) -> DataFrame:

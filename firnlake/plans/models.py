@@ -1,4 +1,8 @@
-"""The lake's models: what each reads, how it loads, and runs over intervals."""
+"""The lake's models: what each reads, how it loads, and runs over intervals.
+
+A model can be kept three ways: by interval runs that merge into a snapshot, as a stream
+whose batches are logged and folded when read, or by a full rebuild of all tables.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from firnlake.operators.latest import latest_per_key
 from firnlake.operators.merge import upsert, upsert_newer
-from firnlake.plans import silver
+from firnlake.plans import gold, silver
 from firnlake.session import new_path
-from firnlake.sources.lake import SnapshotTable
+from firnlake.sources.lake import ChangeLog, SnapshotTable, create_namespaces
+from firnlake.streaming.run import each_batch
 
 BACKFILL_START = "2024-01-01"  # fixed: first day of a backfill when none is given
 
@@ -25,16 +32,18 @@ class Model:
     key: str
     version: str | None = None
     keep_first: tuple[str, ...] = ()
+    first: str | None = None  # column holding the time of the first event
 
 
 MODELS = {
     m.name: m
     for m in [
         Model("policy_silver.policy", "policy_raw.policy_events", silver.policy, "policy_id",
-              "updated_at", ("issued_at",)),
+              "updated_at", ("issued_at",), first="issued_at"),
         Model("claims_silver.claim", "claims_raw.claims_events", silver.claim, "claim_id",
-              "updated_at", ("opened_at",)),
-        Model("billing_silver.invoice", "billing_raw.billing_events", silver.invoice, "invoice_id"),
+              "updated_at", ("opened_at",), first="opened_at"),
+        Model("billing_silver.invoice", "billing_raw.billing_events", silver.invoice, "invoice_id",
+              first="created_at"),
         Model("partner_silver.partner", "partner_raw.person_events", silver.partner, "partner_id"),
         Model("product_silver.product", "product_raw.product_events", silver.product, "product_id"),
         Model("hr_silver.employee", "hr_raw.employee_events", silver.employee, "employee_id"),
@@ -80,3 +89,80 @@ def replay(
     for interval in intervals:
         table.write(merged(table.read(), build(interval), key, version, keep_first))
     return table.read()
+
+
+# --- as a stream -----------------------------------------------------------------------------
+
+
+def _log(spark: SparkSession, model: Model, path: str, raw: DataFrame) -> ChangeLog:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in model.build(raw).schema.fields)
+    return ChangeLog(spark, f"{path}/log", schema)
+
+
+def keep_current(raw: DataFrame, model: Model, path: str, *, once: bool = False):
+    """Keep a model current from its raw rows as a stream.
+
+    Each batch logs the latest row per key it saw; nothing stored is rewritten.
+    """
+    spark: SparkSession = raw.sparkSession
+    empty = spark.createDataFrame([], raw.schema)
+    log = _log(spark, model, path, empty)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        log.append(model.build(batch), batch_id)
+
+    return each_batch(raw, handle, f"{path}/checkpoint", once=once)
+
+
+def current_state(spark: SparkSession, model: Model, path: str, raw_schema) -> DataFrame:
+    """The state a stream keeps: newest row per key, ties to the earlier batch, first time
+    over all batches.  Batches may have come in any order.
+    """
+    empty = spark.createDataFrame([], raw_schema)
+    names = model.build(empty).columns
+    log = _log(spark, model, path, empty).read().withColumn("_earlier", -F.col("batch"))
+    extras = [F.min(model.first).alias(model.first)] if model.first else []
+    columns = [c for c in names if c not in (model.key, model.first)]
+    return latest_per_key(log, model.key, ["updated_at", "_earlier"], columns, extras=extras).select(names)
+
+
+# --- as a full rebuild -----------------------------------------------------------------------
+
+
+def build_lake(spark: SparkSession, raw: dict[str, DataFrame], keys: DataFrame | None = None) -> list[str]:
+    """Rebuild all silver and gold tables in the session catalog from the raw tables.
+
+    Silver tables are written first and gold reads them back, so each model is computed once.
+    ``keys`` adds the decrypted partner table.
+    """
+    create_namespaces(spark)
+    written: list[str] = []
+
+    def save(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        written.append(name)
+        return spark.table(name)
+
+    t = {m.name: save(m.name, m.build(raw[m.raw])) for m in MODELS.values() if m.raw in raw}
+    if "policy_raw.policy_events" in raw:
+        save("policy_silver.coverage", silver.coverage(raw["policy_raw.policy_events"]))
+    if "partner_raw.person_events" in raw:
+        save("partner_silver.address", silver.address(raw["partner_raw.person_events"]))
+    policy, claim = t.get("policy_silver.policy"), t.get("claims_silver.claim")
+    partner, product = t.get("partner_silver.partner"), t.get("product_silver.product")
+    invoice = t.get("billing_silver.invoice")
+    marts = {
+        "policy_gold.policy_detail": (gold.policy_detail, [policy, partner, product]),
+        "policy_gold.portfolio_summary": (gold.portfolio_summary, [policy, product]),
+        "billing_gold.financial_summary": (gold.financial_summary, [policy, invoice]),
+        "claims_gold.claim_detail": (gold.claim_detail, [claim, policy, partner, product]),
+        "analytics.management_kpi": (gold.management_kpi, [policy, product]),
+        "analytics.org_hierarchy": (
+            gold.org_hierarchy, [t.get("hr_silver.org_unit"), t.get("hr_silver.employee")]
+        ),
+        "partner_gold.partner_decrypted": (gold.partner_decrypted, [partner, keys]),
+    }
+    for name, (build, inputs) in marts.items():
+        if all(i is not None for i in inputs):
+            save(name, build(*inputs))
+    return written

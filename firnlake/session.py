@@ -32,6 +32,7 @@ def local_session(cpus: int = 8, app: str = "firnlake", memory: str = "12g") ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="firnlake-warehouse-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from firnlake.contracts import CONTRACTS
 from firnlake.plans import silver
+from firnlake.plans.models import MODELS, current_state, keep_current
 from firnlake.session import new_path
 from firnlake.sources.outbox import write_topics
-from firnlake.sources.topics import parse, stream_messages
+from firnlake.sources.topics import parse, raw_table, stream_messages, union_wide
 from firnlake.streaming import reactions, read_models, run
 from firnlake.workload import queries as q
 from firnlake.workload.queries import query
@@ -43,11 +44,20 @@ def stream_landing(spark, d):
     stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
     run.finish(run.land_topics(stream, topics, f"{home}/raw", f"{home}/checkpoint", once=True))
     landed = [spark.read.schema(parse(stream, CONTRACTS[t]).schema).parquet(f"{home}/raw/{t}") for t in topics]
-    from firnlake.sources.topics import union_wide
-
     return silver.claim(union_wide(landed))
 
 
+@query("stream_silver_policy", f"SELECT {q._POLICY} FROM s_policy")
+def stream_silver_policy(spark, d):
+    """The policy model kept current from its topics as a stream equals the batch model."""
+    source, home = staged(spark, q.policy_messages(spark, d), "policies"), new_path(spark, "silver-policy")
+    topics = [t for t in CONTRACTS if t.startswith("policy.")]
+    raw = raw_table(stream_messages(spark, source, files_per_trigger=PER_BATCH), topics)
+    model = MODELS["policy_silver.policy"]
+    run.finish([keep_current(raw, model, home, once=True)])
+    return current_state(spark, model, home, raw.schema)
+
+
 _PARTNER_VIEW = """
     SELECT personid AS partner_id, firstname || ' ' || name AS name,
            CASE WHEN first_order IS NOT NULL AND k % 40 <> 9 THEN concat('VN-', lpad(personid, 8, '0')) END AS insured_number
