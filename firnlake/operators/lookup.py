@@ -86,11 +86,15 @@ def with_children(
     """Parents with their child rows, one output row per pair, childless parents kept.
 
     The pairs stay flat: nesting them would put all children of one parent in one row,
-    which has no size bound.
+    which has no size bound.  Pairs come from an inner join, where a parent with very many
+    children can be split over tasks (a left join could not split its right side).
     """
     parent_key, child_key = on
     right = children.withColumnRenamed(child_key, "_child_key")
-    return parents.join(right, F.col(parent_key) == F.col("_child_key"), "left").drop("_child_key")
+    match = F.col(parent_key) == F.col("_child_key")
+    pairs = parents.join(right, match).drop("_child_key")
+    childless = parents.join(right.select("_child_key").distinct(), match, "left_anti")
+    return pairs.unionByName(childless, allowMissingColumns=True)
 
 
 def exists(df: DataFrame, condition: Column) -> bool:

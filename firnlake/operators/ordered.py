@@ -1,9 +1,10 @@
 """Ordered computations per key that survive hot keys.
 
 A plain window sorts all rows of a key in one task.  Here the key's rows are cut into
-blocks along time, each (key, block) is its own window group, and a second, small pass
-over one row per (key, block) stitches the blocks together.  The number of blocks of a
-key is bounded by the calendar, not by the number of rows.
+blocks along time, each (key, block) is its own window group, and a second pass over one
+or two rows per (key, block) stitches the blocks together.  A task then holds one key's
+rows of one block, or its block edges, whose number is bounded by the calendar and not by
+the number of rows.  Blocks are minutes unless told otherwise.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def lag_per_key(
     value: str,
     name: str,
     *,
-    block: str = "day",
+    block: str = "minute",
 ) -> DataFrame:
     """Adds ``name``: ``value`` of the key's previous row in (time, tie) order.
 
@@ -54,7 +55,7 @@ def number_per_key(
     tie: str,
     name: str,
     *,
-    block: str = "day",
+    block: str = "minute",
 ) -> DataFrame:
     """Adds ``name``: 1, 2, 3 … of the row within its key in (time, tie) order."""
     blocked = _with_block(df, time, block)

@@ -158,40 +158,34 @@ def check_table(
 
     plain = [c for c in checks if c.kind in ("rows", "missing", "invalid")]
     repeats = [c for c in checks if c.kind == "duplicate"]
-    measures = [c.row_measure().alias(f"m{i}") for i, c in enumerate(plain)]
-    structs = [
+    others = [c for c in checks if c.kind == "same_rows"]
+    measures = {f"m{i}": c.row_measure() for i, c in enumerate(plain)}
+    measures["_rows"] = F.count(F.lit(1))
+    named = [m.alias(n) for n, m in measures.items()]
+    results = [
         result(c, F.col(f"m{i}"), F.col(f"m{i}") > 0 if c.kind == "rows" else None)
         for i, c in enumerate(plain)
     ]
-    parts = []
+    frames = []
     if repeats:
         # the values of the first duplicate column, each with its share of the other counts
-        first = repeats[0]
-        grouped = df.groupBy(F.col(first.column).alias("_value")).agg(
-            F.count(F.lit(1)).alias("_n"), *measures
-        )
-        measured = grouped.agg(
-            F.count_if(F.col("_value").isNotNull() & (F.col("_n") > 1)).alias("_repeated"),
-            *[F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"m{i}") for i in range(len(plain))],
-        )
-        parts.append(
-            measured.select(F.inline(F.array(*structs, result(first, F.col("_repeated")))))
-        )
-    elif plain:
-        parts.append(df.agg(*measures).select(F.inline(F.array(*structs))))
-    for check in repeats[1:]:
-        grouped = df.groupBy(F.col(check.column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-        repeated = F.count_if(F.col("_value").isNotNull() & (F.col("_n") > 1))
-        parts.append(
-            grouped.agg(repeated.alias("m")).select(F.inline(F.array(result(check, F.col("m")))))
-        )
-    for check in checks:
-        if check.kind == "same_rows":
-            ours = df.agg(F.count(F.lit(1)).alias("a"))
-            theirs = tables[check.other].agg(F.count(F.lit(1)).alias("b"))
-            gap = F.abs(F.col("a") - F.col("b"))
-            parts.append(side_by_side(ours, theirs).select(F.inline(F.array(result(check, gap)))))
-    return reduce(DataFrame.unionByName, parts)
+        grouped = df.groupBy(F.col(repeats[0].column).alias("_value")).agg(*named)
+        repeated = F.count_if(F.col("_value").isNotNull() & (F.col("_rows") > 1)).alias("d0")
+        sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in measures]
+        frames.append(grouped.agg(repeated, *sums))
+    else:
+        frames.append(df.agg(*named))
+    for i, check in enumerate(repeats):
+        if i:
+            grouped = df.groupBy(F.col(check.column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+            repeated = F.count_if(F.col("_value").isNotNull() & (F.col("_n") > 1))
+            frames.append(grouped.agg(repeated.alias(f"d{i}")))
+        results.append(result(check, F.col(f"d{i}")))
+    for i, check in enumerate(others):
+        frames.append(tables[check.other].agg(F.count(F.lit(1)).alias(f"o{i}")))
+        results.append(result(check, F.abs(F.col("_rows") - F.col(f"o{i}"))))
+    measured = frames[0] if len(frames) == 1 else side_by_side(*frames)
+    return measured.select(F.inline(F.array(*results)))
 
 
 def report(tables: dict[str, DataFrame], checks: dict[str, list[Check]] = CHECKS) -> DataFrame:

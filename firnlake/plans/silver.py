@@ -26,12 +26,21 @@ def with_event_time(raw: DataFrame) -> DataFrame:
 
 
 def _inside(interval: Interval) -> Column:
-    if interval is None:
-        return F.lit(True)
     start, end = interval
     return F.col("event_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
 
 
+def within(events: DataFrame, interval: Interval) -> DataFrame:
+    """Events of the interval; tables stored by ``event_date`` read only those folders."""
+    if interval is None:
+        return events
+    kept = events.filter(_inside(interval))
+    if "event_date" in events.columns:
+        start, end = (F.lit(t).cast("timestamp").cast("date") for t in interval)
+        kept = kept.filter(F.col("event_date").between(start, end))
+    return kept
+
+
 def _tie(raw: DataFrame) -> list[str]:
     return ["eventid"] if "eventid" in raw.columns else []
 
@@ -55,7 +64,7 @@ def policy(raw: DataFrame, interval: Interval = None, *, carry_forward: bool = F
     order = ["event_at", *_tie(raw)]
     issued = first_time("eventtype", "PolicyIssued", "event_at", "issued_at")
     if carry_forward:
-        inside = events.filter(_inside(interval))
+        inside = within(events, interval)
         state = carried_forward(inside, "policyid", order, columns)
         first = events.groupBy("policyid").agg(issued)
         latest = state.join(first, "policyid", "left")
@@ -80,17 +89,15 @@ def policy(raw: DataFrame, interval: Interval = None, *, carry_forward: bool = F
 
 def coverage(raw: DataFrame, interval: Interval = None) -> DataFrame:
     """Every coverage ever added; an append-only projection without a shuffle."""
-    return (
-        with_event_time(raw)
-        .filter((F.col("eventtype") == "CoverageAdded") & F.col("coverageid").isNotNull())
-        .filter(_inside(interval))
-        .select(
-            F.col("coverageid").alias("coverage_id"),
-            F.col("policyid").alias("policy_id"),
-            F.col("coveragetype").alias("coverage_type"),
-            F.col("insuredamount").cast(MONEY).alias("insured_amount_chf"),
-            F.col("event_at").alias("created_at"),
-        )
+    added = within(with_event_time(raw), interval).filter(
+        (F.col("eventtype") == "CoverageAdded") & F.col("coverageid").isNotNull()
+    )
+    return added.select(
+        F.col("coverageid").alias("coverage_id"),
+        F.col("policyid").alias("policy_id"),
+        F.col("coveragetype").alias("coverage_type"),
+        F.col("insuredamount").cast(MONEY).alias("insured_amount_chf"),
+        F.col("event_at").alias("created_at"),
     )
 
 
@@ -155,7 +162,7 @@ def claim(raw: DataFrame, interval: Interval = None) -> DataFrame:
 
 def partner(raw: DataFrame, interval: Interval = None) -> DataFrame:
     """Latest person state; personal fields stay encrypted as they came."""
-    events = with_event_time(raw).filter(F.col("eventtype") == "PersonState").filter(_inside(interval))
+    events = within(with_event_time(raw), interval).filter(F.col("eventtype") == "PersonState")
     latest = latest_per_key(
         events, "personid", ["event_at", *_tie(raw)],
         ["name", "firstname", "socialsecuritynumber", "insurednumber", "dateofbirth", "gender",
@@ -205,9 +212,9 @@ def address(raw: DataFrame) -> DataFrame:
 
 def product(raw: DataFrame, interval: Interval = None) -> DataFrame:
     """Latest of state / defined / deprecated; updated events are ignored."""
-    events = with_event_time(raw).filter(
+    events = within(with_event_time(raw), interval).filter(
         F.col("eventtype").isin("ProductState", "ProductDefined", "ProductDeprecated")
-    ).filter(_inside(interval))
+    )
     latest = latest_per_key(
         events, "productid", ["event_at", *_tie(raw)],
         ["name", "productline", "basepremium", "status", "deleted", "event_at"],
@@ -228,10 +235,10 @@ def product(raw: DataFrame, interval: Interval = None) -> DataFrame:
 
 def employee(raw: DataFrame, interval: Interval = None) -> DataFrame:
     """Latest by time then version; change rows without a name may win, as in the source."""
-    events = with_event_time(raw).filter(
+    events = within(with_event_time(raw), interval).filter(
         (F.col("employeeid") != "")
         & ((F.col("eventtype") == "employee.updated") | F.col("eventtype").isNull())
-    ).filter(_inside(interval))
+    )
     latest = latest_per_key(
         events, "employeeid", ["event_at", "version", *_tie(raw)],
         ["externalid", "firstname", "lastname", "email", "jobtitle", "department", "orgunitid",
@@ -259,10 +266,10 @@ def employee(raw: DataFrame, interval: Interval = None) -> DataFrame:
 
 def org_unit(raw: DataFrame, interval: Interval = None) -> DataFrame:
     """Latest named row by time then version."""
-    events = with_event_time(raw).filter(
+    events = within(with_event_time(raw), interval).filter(
         F.col("name").isNotNull()
         & ((F.col("eventtype") == "org-unit.updated") | F.col("eventtype").isNull())
-    ).filter(_inside(interval))
+    )
     latest = latest_per_key(
         events, "orgunitid", ["event_at", "version", *_tie(raw)],
         ["externalid", "name", "parentorgunitid", "level", "active", "deleted", "event_at"],

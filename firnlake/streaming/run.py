@@ -24,13 +24,14 @@ def land_topic(
     messages: DataFrame, topic: str, raw_path: str, checkpoint: str, *, once: bool = False,
     interval: str = COMMIT_INTERVAL,
 ) -> StreamingQuery:
-    """One query per topic: parsed rows appended to ``raw_path``/``topic``."""
+    """One query per topic: parsed rows appended to ``raw_path``/``topic``, by event date."""
     rows = parse(messages, CONTRACTS[topic])
     writer = (
         rows.writeStream.format("parquet")
         .queryName(f"land {topic} {checkpoint[-8:]}")
         .option("checkpointLocation", f"{checkpoint}/{topic}")
         .option("path", f"{raw_path}/{topic}")
+        .partitionBy("event_date")
         .outputMode("append")
     )
     return _triggered(writer, once, interval).start()
