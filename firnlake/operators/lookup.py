@@ -14,6 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def detached(key: str) -> Column:
+    """A (text) key marked with a prefix, to be compared with another marked key.
+
+    AQE splits a skewed join only when both sides come straight from a shuffle.  A lookup
+    side that was just grouped by the key would be joined without one, and a hot key of
+    the other side would stay in one task.  Marked keys make both sides shuffle for the
+    join; the lookup side, one row per key, is the cheap one to move again.
+    """
+    return F.concat(F.lit("="), F.col(key))
+
+
 def enrich(
     facts: DataFrame,
     dims: DataFrame,
@@ -21,23 +32,24 @@ def enrich(
     columns: dict[str, str],
     *,
     spread_by: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Left join ``facts.on[0] == dims.on[1]`` adding ``columns`` (dim name -> new name).
 
     Thin events leave many foreign keys NULL.  Such rows can never match, yet a plain
     join would send them all to one task.  With ``spread_by``, a text column of
-    ``facts``, they travel on a stand-in made from that column; the key must be text too.
+    ``facts``, they travel on a stand-in made from that column.  Keys are text.
+    ``unique`` says that ``facts`` has one row per key, so there is no skew to prepare for.
     """
     left_key, right_key = on
     picked = dims.select(
-        F.col(right_key).alias("_dim_key"),
+        (F.col(right_key) if unique else detached(right_key)).alias("_dim_key"),
         *[F.col(src).alias(dst) for src, dst in columns.items()],
     )
-    match = F.col(left_key) == F.col("_dim_key")
+    key = F.col(left_key) if unique else detached(left_key)
     if spread_by is not None:
-        stand_in = F.coalesce(left_key, F.concat(F.lit("\0"), F.col(spread_by)))
-        match = (stand_in == F.col("_dim_key")) & F.col(left_key).isNotNull()
-    return facts.join(picked, match, "left").drop("_dim_key")
+        key = F.coalesce(key, F.concat(F.lit("~"), F.col(spread_by)))  # never a marked key
+    return facts.join(picked, key == F.col("_dim_key"), "left").drop("_dim_key")
 
 
 def orphans(
@@ -49,9 +61,9 @@ def orphans(
     must be set) or are left out (an optional one).  They skip the join in both cases.
     """
     left_key, right_key = on
-    keys = dims.select(F.col(right_key).alias("_dim_key")).filter(F.col("_dim_key").isNotNull())
+    keys = dims.select(detached(right_key).alias("_dim_key")).filter(F.col("_dim_key").isNotNull())
     known = facts.filter(F.col(left_key).isNotNull())
-    missing = known.join(keys, F.col(left_key) == F.col("_dim_key"), "left_anti")
+    missing = known.join(keys, detached(left_key) == F.col("_dim_key"), "left_anti")
     if nulls_are_orphans:
         missing = missing.unionByName(facts.filter(F.col(left_key).isNull()))
     return missing
@@ -60,8 +72,8 @@ def orphans(
 def flag_match(facts: DataFrame, dims: DataFrame, on: tuple[str, str], flag: str) -> DataFrame:
     """Adds ``flag``: whether the row's key occurs in ``dims`` (coverage check of claims)."""
     left_key, right_key = on
-    keys = dims.select(F.col(right_key).alias("_dim_key")).distinct()
-    joined = facts.join(keys, F.col(left_key) == F.col("_dim_key"), "left")
+    keys = dims.select(right_key).distinct().select(detached(right_key).alias("_dim_key"))
+    joined = facts.join(keys, detached(left_key) == F.col("_dim_key"), "left")
     return joined.withColumn(flag, F.col("_dim_key").isNotNull()).drop("_dim_key")
 
 

@@ -72,7 +72,7 @@ def portfolio_summary(policies: DataFrame, products: DataFrame) -> DataFrame:
     joined = enrich(
         per_product, products, ("product_id", "product_id"),
         {"product_line": "product_line", "product_name": "product_name",
-         "is_deprecated": "is_deprecated"},
+         "is_deprecated": "is_deprecated"}, unique=True,
     ).filter(F.col("is_deprecated").isNull() | ~F.col("is_deprecated"))
     total = F.sum("total")
     return (
@@ -112,7 +112,7 @@ def financial_summary(policies: DataFrame, invoices: DataFrame) -> DataFrame:
         billed(status.isin("OPEN", "OVERDUE")).alias("outstanding"),
     )
     names = ["n", "n_open", "n_paid", "n_overdue", "billed", "collected", "outstanding"]
-    joined = enrich(policies, per_policy, ("policy_id", "policy_id"), {c: c for c in names})
+    joined = enrich(policies, per_policy, ("policy_id", "policy_id"), {c: c for c in names}, unique=True)
 
     def count(column: str, alias: str) -> Column:
         return F.coalesce(column, F.lit(0).cast("bigint")).alias(alias)
@@ -171,7 +171,7 @@ def org_hierarchy(units: DataFrame, employees: DataFrame) -> DataFrame:
         units.filter(~F.col("deleted")), units, ("parent_org_unit_id", "org_unit_id"),
         {"name": "parent_name"},
     )
-    joined = enrich(joined, staff, ("org_unit_id", "org_unit_id"), {"n": "n", "n_active": "n_active"})
+    joined = enrich(joined, staff, ("org_unit_id", "org_unit_id"), {"n": "n", "n_active": "n_active"}, unique=True)
     zero = F.lit(0).cast("bigint")
     return joined.select(
         "org_unit_id", F.col("name").alias("org_unit_name"), "level", "parent_name",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from firnlake.functions.text import insured_number, is_blank, name_uuid
 from firnlake.operators.latest import latest_per_key
-from firnlake.operators.lookup import latest_lookup
+from firnlake.operators.lookup import detached, latest_lookup
 from firnlake.operators.ordered import number_rows
 from firnlake.operators.rules import CYCLE_LABELS, PAYMENT_DAYS
 from firnlake.sources.lake import ChangeLog
@@ -71,9 +71,10 @@ def new_invoices(issued: DataFrame, existing: DataFrame) -> DataFrame:
 
 def cancelled_invoices(cancelled: DataFrame, invoices: DataFrame) -> DataFrame:
     """OPEN and OVERDUE invoices of the cancelled policies, as CANCELLED."""
+    ended = cancelled.select("policy_id").distinct().select(detached("policy_id").alias("_ended"))
     return (
         invoices.filter(F.col("status").isin("OPEN", "OVERDUE"))
-        .join(cancelled.select("policy_id").distinct(), "policy_id", "left_semi")
+        .join(ended, detached("policy_id") == F.col("_ended"), "left_semi")
         .withColumns({"status": F.lit("CANCELLED"), "step": F.lit(1)})
     )
 
@@ -137,7 +138,8 @@ def payouts(settled: DataFrame, known_invoices: DataFrame) -> DataFrame:
         F.col("m.settlementAmount").alias("settlement_amount_chf"),
     ).dropna()
     owner = latest_lookup(known_invoices, "policy_id", ["invoice_date", "invoice_id"], ["partner_id"])
-    return rows.join(owner, "policy_id").select(
+    owner = owner.select(detached("policy_id").alias("_owned"), "partner_id")
+    return rows.join(owner, detached("policy_id") == F.col("_owned")).select(
         "claim_id", "policy_id", "partner_id", "settlement_amount_chf"
     )
 

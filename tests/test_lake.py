@@ -101,6 +101,37 @@ def test_skewed_policy_in_every_mart(spark):
     assert got.agg(F.sum("total_invoices")).first()[0] == expected
 
 
+@pytest.mark.parametrize("how", ["enrich", "flag", "orphans"])
+def test_hot_key_of_a_join_is_split(spark, how):
+    """A key with a third of the rows is split although the lookup side was grouped by it."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(0, 30000, 1, 8).select(
+            F.col("id").cast("string").alias("id"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+        dims = facts.filter("id % 2 = 0 or k = 'hot'").groupBy("k").agg(F.max("id").alias("v"))
+        if how == "enrich":
+            df = lookup.enrich(facts, dims, ("k", "k"), {"v": "v"}, spread_by="id")
+        elif how == "flag":
+            df = lookup.flag_match(facts, dims, ("k", "k"), "known")
+        else:
+            df = lookup.orphans(facts, dims, ("k", "k"), nulls_are_orphans=False)
+        rows = df.collect()
+        assert len(rows) == (10000 if how == "orphans" else 30000)
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_exists(spark):
     df = spark.range(5)
     assert lookup.exists(df, F.col("id") == 3) and not lookup.exists(df, F.col("id") == 9)

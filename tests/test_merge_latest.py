@@ -129,6 +129,7 @@ def test_enrich_keeps_null_and_unknown_keys(spark):
 
 def test_null_keys_are_spread_over_partitions(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         facts = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("k"))
         dims = spark.createDataFrame([("a", "A")], "key string, name string")
@@ -137,6 +138,7 @@ def test_null_keys_are_spread_over_partitions(spark):
         assert sum(sizes) == 2000 and max(sizes) < 1500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_orphans(spark):
