@@ -23,8 +23,9 @@ PER_BATCH = 64  # files per micro-batch
 
 
 def staged(spark, messages: DataFrame, label: str) -> str:
+    """Messages written once, spread over files as over the partitions of a topic."""
     path = new_path(spark, f"topic-{label}")
-    write_topics(messages, path)
+    write_topics(messages.repartition(spark.sparkContext.defaultParallelism), path)
     return path
 
 
