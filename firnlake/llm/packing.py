@@ -104,7 +104,7 @@ class Encoder:
             ids = self._ids(" " + " ".join([rest[i] for i in missing]))
             starts = np.flatnonzero(self.opens[ids])  # only a part's first id begins with a space
             raw, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            for i, begin, end in zip(missing, bounds, bounds[1:], strict=True):
+            for i, begin, end in zip(missing, bounds[:-1], bounds[1:], strict=True):
                 out[i] = raw[begin:end]
                 if len(self.parts) < self.KEPT and len(rest[i]) < 64:
                     self.parts[rest[i]] = out[i]
