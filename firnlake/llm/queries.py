@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from firnlake.llm import mixing, packing, url_filter
+from firnlake.llm import html_text, imatch, mixing, packing, quality, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op5_quality": quality.op5_quality,
+    "op7_imatch": imatch.op7_imatch,
     "op8_mixing": mixing.op8_mixing,
+    "op9_warc": warc.op9_warc,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 SQL = {
