@@ -41,7 +41,7 @@ class Figure:
     low: bool = False
 
 
-FIGURES = (Figure("mean_word", 1.0, low=True), Figure("symbol_share", 0.1), Figure("dup_line_share", 0.1))
+FIGURES = (Figure("mean_word", 1.0, low=True), Figure("symbol_share", 0.1), Figure("dup_line_share", 0.17))
 
 
 def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
