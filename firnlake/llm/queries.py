@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from firnlake.llm import html_text, imatch, mixing, packing, quality, url_filter, warc
+from firnlake.llm import dart_minhash, html_text, imatch, mixing, packing, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_dart_minhash": dart_minhash.op3_dart_minhash,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op7_imatch": imatch.op7_imatch,
     "op8_mixing": mixing.op8_mixing,
