@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firnlake.llm import dart_minhash, html_text, imatch, mixing, packing, quality, toxicity, url_filter, warc
+from firnlake.llm import dart_minhash, html_text, imatch, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_dart_minhash": dart_minhash.op3_dart_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_imatch": imatch.op7_imatch,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
