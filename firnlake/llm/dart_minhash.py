@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = rows.join(wanted, (rows["id"] == wanted["node"]) & (rows["key"] == wanted["key"])).select("node", "text")
     sets = stored(texts.mapInArrow(_sets, "node long, tags array<long>").dropDuplicates(["node"]), "dart-sets")
     links = stored(_verified(pairs, sets, similarity), "dart-links")
+    links = _with_same_ids(links, signed, nodes)
     roots = components(links)
 
     # buckets that hold several classes: once more, by pairs of bands
@@ -285,6 +286,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return _classes(signed, nodes, roots)
 
 
+def _with_same_ids(links: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Also a link between the texts of rows that repeat an id."""
+    twice = signed.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("id")
+    twice = stored(twice, "dart-ids")
+    if twice.isEmpty():
+        return links
+    own = signed.join(twice, "id").join(nodes.select("key", "node"), "key").select("id", "node")
+    least = own.groupBy("id").agg(F.min("node").alias("a"))
+    return links.union(own.join(least, "id").where("a < node").select("a", F.col("node").alias("b")))
+
+
 def _classes(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     known = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
     keepers = nodes.groupBy(F.col("node").alias("class_id")).agg(F.min("key").alias("kept_key"))
