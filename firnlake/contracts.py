@@ -59,25 +59,39 @@ class Contract:
 
     # --- checks over the JSON text -------------------------------------------------------
 
-    def problems(self, text: Column | str = "value") -> Column:
-        """What is wrong with a message: '' or e.g. ``missing:premium;extra:foo``."""
-        t = F.col(text) if isinstance(text, str) else text
-        keys = F.json_object_keys(t)
+    def problems(self, found: Column) -> Column:
+        """What is wrong with a message: '' or e.g. ``missing:premium;extra:foo``.
+
+        ``found`` is the text parsed to a map (:func:`as_map`), NULL if it is no JSON object.
+        """
+        keys = F.map_keys(found)
         needed = F.array(*[F.lit(f) for f in self.required])
         known = F.array(*[F.lit(f) for f in self.fields])
         missing = F.array_join(F.array_except(needed, keys), ",")
         extra = F.array_join(F.sort_array(F.array_except(keys, known)), ",")
         wrong = [
-            F.when(~F.get_json_object(t, f"$.{name}").isin(*allowed), f"value:{name}")
+            F.when(~F.try_element_at(found, F.lit(name)).isin(*allowed), f"value:{name}")
             for name, allowed in self.allowed.items()
         ]
-        found = F.concat_ws(
+        for f in self.schema.fields:
+            text = F.try_element_at(found, F.lit(f.name))
+            if isinstance(f.dataType, T.ArrayType):
+                wrong.append(F.when(~text.startswith("["), f"type:{f.name}"))
+            elif not isinstance(f.dataType, T.StringType):
+                wrong.append(F.when(text.isNotNull() & text.try_cast(f.dataType).isNull(), f"type:{f.name}"))
+        listed = F.concat_ws(
             ";",
             F.when(missing != "", F.concat(F.lit("missing:"), missing)),
             F.when(extra != "", F.concat(F.lit("extra:"), extra)),
             *wrong,
         )
-        return F.when(t.isNull() | keys.isNull(), "not a JSON object").otherwise(found)
+        return F.when(found.isNull(), "not a JSON object").otherwise(listed)
+
+
+def as_map(text: Column | str = "value") -> Column:
+    """Top-level fields of a JSON object as text; NULL for anything else."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(F.ltrim(t).startswith("{"), F.from_json(t, "map<string,string>"))
 
 
 _ADDRESS_TYPES = ("RESIDENCE", "CORRESPONDENCE", "DELIVERY")
@@ -276,17 +290,30 @@ RAW_TABLES: dict[str, list[str]] = {
 
 def split_valid(messages: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """(valid messages, rejects with a ``reason``) by the contract's message checks."""
-    flagged = messages.withColumn("reason", contract.problems("value"))
+    flagged = with_reason(messages, {contract.topic: contract}, every_topic=contract)
     return flagged.filter("reason = ''").drop("reason"), flagged.filter("reason != ''")
 
 
+def with_reason(
+    messages: DataFrame, contracts: dict[str, Contract] = CONTRACTS, every_topic: Contract | None = None
+) -> DataFrame:
+    """Adds ``reason``: the problems of each message by the contract of its topic.
+
+    The text is parsed once.  Topics without a contract are judged by ``every_topic``, if given.
+    """
+    parsed = messages.withColumn("_found", as_map("value"))
+    found = F.col("_found")
+    reason = F.lit("unknown topic") if every_topic is None else every_topic.problems(found)
+    for topic, contract in contracts.items():
+        if contract is not every_topic:
+            reason = F.when(F.col("topic") == topic, contract.problems(found)).otherwise(reason)
+    return parsed.withColumn("reason", reason).drop("_found")
+
+
 def contract_report(messages: DataFrame, contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
     """Messages and broken ones per topic, in one pass over (topic, value)."""
-    reason = F.lit("unknown topic")
-    for topic, contract in contracts.items():
-        reason = F.when(F.col("topic") == topic, contract.problems("value")).otherwise(reason)
     return (
-        messages.select("topic", reason.alias("reason"))
+        with_reason(messages.select("topic", "value"), contracts)
         .groupBy("topic", "reason")
         .agg(F.count(F.lit(1)).alias("messages"))
     )

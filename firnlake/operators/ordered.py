@@ -69,9 +69,12 @@ def number_per_key(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
     ).drop("_n")
     return (
-        rows.join(offsets, [*keys, "_block"], "left")
+        rows.join(
+            offsets.select(*[F.col(c).alias(f"_o{c}") for c in (*keys, "_block")], "_before"),
+            [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in (*keys, "_block")], "left",
+        )
         .withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
-        .drop("_block", "_rn", "_before")
+        .drop("_block", "_rn", "_before", "_o_block", *[f"_o{k}" for k in keys])
     )
 
 

@@ -80,22 +80,22 @@ def decrypt(value: Column, key: Column | str = KEY) -> Column:
     return F.when(~value.startswith("vault:"), value).otherwise(plain)
 
 
-def register_sql_function(spark: SparkSession, key_view: str, name: str = "vault_decrypt") -> None:
-    """``name(person, text)`` for SQL: the same decryption, with the keys of ``key_view``.
-
-    The lookup inside becomes a left join per call; queries that decrypt several columns
-    of a row are better off with :func:`join_keys` and one join.
-    """
+def register_sql_function(spark: SparkSession, name: str = "vault_decrypt") -> None:
+    """``name(key, text)`` for SQL: the same decryption, NULL where it fails."""
     spark.sql(
         f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {name}(person STRING, secret STRING) RETURNS STRING
-        RETURN CASE WHEN NOT startswith(secret, 'vault:') THEN secret ELSE CAST(try_aes_decrypt(
-            try_to_binary(substr(secret, {len(PREFIX) + 1}), 'base64'),
-            (SELECT max(k.key) FROM {key_view} k WHERE k.partner_id = person), 'GCM') AS STRING) END
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(person_key BINARY, secret STRING) RETURNS STRING
+        RETURN CASE WHEN NOT startswith(secret, '{PREFIX[:6]}') THEN secret ELSE CAST(try_aes_decrypt(
+            try_to_binary(substr(secret, {len(PREFIX) + 1}), 'base64'), person_key, 'GCM') AS STRING) END
         """
     )
 
 
+def keyed_view(df: DataFrame, keys: DataFrame, person: str, view: str) -> None:
+    """A temporary view of ``df`` with ``person_key``: one join, however many fields are decrypted."""
+    join_keys(df, keys, person).withColumnRenamed(KEY, "person_key").createOrReplaceTempView(view)
+
+
 def encrypt_person_events(
     events: DataFrame, keys: DataFrame, fields: Sequence[str] = PERSON_FIELDS
 ) -> DataFrame:

@@ -42,104 +42,100 @@ class Check:
         return F.count_if(condition)
 
 
-def rows(name: str) -> Check:
-    return Check("rows", name)
+def rows() -> Check:
+    return Check("rows", "has rows")
 
 
-def no_duplicates(column: str, name: str) -> Check:
-    return Check("duplicate", name, column)
+def no_duplicates(column: str) -> Check:
+    return Check("duplicate", f"{column} unique", column)
 
 
-def no_missing(column: str, name: str) -> Check:
-    return Check("missing", name, column)
+def no_missing(column: str) -> Check:
+    return Check("missing", f"{column} present", column)
 
 
-def only_values(column: str, values: Sequence[str], name: str) -> Check:
-    return Check("invalid", name, column, values=tuple(values))
+def only_values(column: str, values: Sequence[str]) -> Check:
+    return Check("invalid", f"{column} in list", column, values=tuple(values))
 
 
-def only_pattern(column: str, pattern: str, name: str, where: str | None = None) -> Check:
-    return Check("invalid", name, column, pattern=pattern, where=where)
+def only_pattern(column: str, pattern: str, where: str | None = None) -> Check:
+    return Check("invalid", f"{column} in form", column, pattern=pattern, where=where)
 
 
-def same_rows(other: str, name: str) -> Check:
-    return Check("same_rows", name, other=other)
+def same_rows(other: str) -> Check:
+    return Check("same_rows", f"as many rows as {other}", other=other)
 
 
 # The declared checks per table.  The insured-number pattern is anchored.
 CHECKS: dict[str, list[Check]] = {
     "billing_raw.billing_events": [
-        rows("Billing events exist"),
-        no_duplicates("eventid", "No duplicate billing event IDs"),
-        no_missing("invoiceid", "No null invoiceid"),
+        rows(),
+        no_duplicates("eventid"),
+        no_missing("invoiceid"),
     ],
     "billing_silver.invoice": [
-        rows("billing_silver.invoice is not empty"),
-        no_duplicates("invoice_id", "No duplicate invoice_id in silver"),
-        no_missing("policy_id", "Every invoice has a policy_id"),
-        only_values("invoice_status", ["OPEN", "PAID", "OVERDUE", "PAYOUT"],
-                    "invoice_status has valid values"),
+        rows(),
+        no_duplicates("invoice_id"),
+        no_missing("policy_id"),
+        only_values("invoice_status", ["OPEN", "PAID", "OVERDUE", "PAYOUT"]),
     ],
     "hr_raw.employee_events": [
-        rows("HR employee events exist"),
-        no_missing("employeeid", "No null employeeid in raw events"),
+        rows(),
+        no_missing("employeeid"),
     ],
     "hr_raw.org_unit_events": [
-        rows("HR org unit events exist"),
-        no_missing("orgunitid", "No null orgunitid in raw events"),
+        rows(),
+        no_missing("orgunitid"),
     ],
     "hr_silver.employee": [
-        rows("hr_silver.employee is not empty"),
-        no_duplicates("employee_id", "No duplicate employee_id in hr_silver"),
-        no_missing("last_name", "Every employee has a last_name"),
-        no_missing("entry_date", "Every employee has an entry_date"),
-        only_values("employment_status", ["ACTIVE", "INACTIVE", "DELETED"],
-                    "employment_status has valid values"),
-        only_pattern("email", r"^[\w.+-]+@[\w-]+\.[\w.-]+$",
-                     "Employee emails match expected format", "email IS NOT NULL"),
+        rows(),
+        no_duplicates("employee_id"),
+        no_missing("last_name"),
+        no_missing("entry_date"),
+        only_values("employment_status", ["ACTIVE", "INACTIVE", "DELETED"]),
+        only_pattern("email", r"^[\w.+-]+@[\w-]+\.[\w.-]+$", "email IS NOT NULL"),
     ],
     "hr_silver.org_unit": [
-        rows("hr_silver.org_unit is not empty"),
-        no_duplicates("org_unit_id", "No duplicate org_unit_id in hr_silver"),
-        no_missing("name", "Every org unit has a name"),
+        rows(),
+        no_duplicates("org_unit_id"),
+        no_missing("name"),
     ],
     "analytics.org_hierarchy": [
-        rows("analytics.org_hierarchy is not empty"),
+        rows(),
     ],
     "partner_raw.person_events": [
-        rows("Partner events exist"),
-        no_duplicates("eventid", "No duplicate partner event IDs"),
-        no_missing("personid", "No null personid"),
+        rows(),
+        no_duplicates("eventid"),
+        no_missing("personid"),
     ],
     "partner_silver.partner": [
-        rows("partner_silver.partner is not empty"),
-        no_duplicates("partner_id", "No duplicate partner_id in silver"),
-        only_pattern("insured_number", r"^VN-\d{8}$",
-                     "insured_number matches VN-XXXXXXXX format", "insured_number IS NOT NULL"),
+        rows(),
+        no_duplicates("partner_id"),
+        only_pattern("insured_number", r"^VN-\d{8}$", "insured_number IS NOT NULL"),
     ],
     "policy_raw.policy_events": [
-        rows("Policy events exist"),
-        no_duplicates("eventid", "No duplicate policy event IDs"),
-        no_missing("policyid", "No null policyid"),
+        rows(),
+        no_duplicates("eventid"),
+        no_missing("policyid"),
     ],
     "policy_silver.policy": [
-        rows("policy_silver.policy is not empty"),
-        no_duplicates("policy_id", "No duplicate policy_id in silver"),
-        only_values("policy_status", ["ACTIVE", "CANCELLED"], "policy_status has valid values"),
+        rows(),
+        no_duplicates("policy_id"),
+        only_values("policy_status", ["ACTIVE", "CANCELLED"]),
     ],
     "policy_gold.policy_detail": [
-        rows("policy_detail gold is not empty"),
-        no_duplicates("policy_id", "No duplicate policy_id in gold"),
-        same_rows("policy_silver.policy", "Every silver policy present in gold"),
+        rows(),
+        no_duplicates("policy_id"),
+        same_rows("policy_silver.policy"),
     ],
     "product_raw.product_events": [
-        rows("Product events exist"),
-        no_duplicates("eventid", "No duplicate product event IDs"),
-        no_missing("productid", "No null productid"),
+        rows(),
+        no_duplicates("eventid"),
+        no_missing("productid"),
     ],
     "product_silver.product": [
-        rows("product_silver.product is not empty"),
-        no_duplicates("product_id", "No duplicate product_id in silver"),
+        rows(),
+        no_duplicates("product_id"),
     ],
 }
 

@@ -33,17 +33,18 @@ class Model:
     version: str | None = None
     keep_first: tuple[str, ...] = ()
     first: str | None = None  # column holding the time of the first event
+    tie: bool = False  # whether events of one time are settled by the event id
 
 
 MODELS = {
     m.name: m
     for m in [
         Model("policy_silver.policy", "policy_raw.policy_events", silver.policy, "policy_id",
-              "updated_at", ("issued_at",), first="issued_at"),
+              "updated_at", ("issued_at",), first="issued_at", tie=True),
         Model("claims_silver.claim", "claims_raw.claims_events", silver.claim, "claim_id",
-              "updated_at", ("opened_at",), first="opened_at"),
+              "updated_at", ("opened_at",), first="opened_at", tie=True),
         Model("billing_silver.invoice", "billing_raw.billing_events", silver.invoice, "invoice_id",
-              first="created_at"),
+              first="created_at", tie=True),
         Model("partner_silver.partner", "partner_raw.person_events", silver.partner, "partner_id"),
         Model("product_silver.product", "product_raw.product_events", silver.product, "product_id"),
         Model("hr_silver.employee", "hr_raw.employee_events", silver.employee, "employee_id"),
@@ -94,8 +95,13 @@ def replay(
 # --- as a stream -----------------------------------------------------------------------------
 
 
+def _logged(model: Model, raw: DataFrame) -> DataFrame:
+    """What a batch adds to the log: its latest rows, with the event ids that settle ties."""
+    return model.build(raw, keep_tie=True) if model.tie else model.build(raw)
+
+
 def _log(spark: SparkSession, model: Model, path: str, raw: DataFrame) -> ChangeLog:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in model.build(raw).schema.fields)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _logged(model, raw).schema.fields)
     return ChangeLog(spark, f"{path}/log", schema)
 
 
@@ -109,21 +115,24 @@ def keep_current(raw: DataFrame, model: Model, path: str, *, once: bool = False)
     log = _log(spark, model, path, empty)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        log.append(model.build(batch), batch_id)
+        log.append(_logged(model, batch), batch_id)
 
     return each_batch(raw, handle, f"{path}/checkpoint", once=once)
 
 
 def current_state(spark: SparkSession, model: Model, path: str, raw_schema) -> DataFrame:
-    """The state a stream keeps: newest row per key, ties to the earlier batch, first time
-    over all batches.  Batches may have come in any order.
+    """The state a stream keeps: newest row per key, first time over all batches.
+
+    Ties are settled by the event id as in the batch models, without one by the earlier batch.
+    Batches may have come in any order.
     """
     empty = spark.createDataFrame([], raw_schema)
     names = model.build(empty).columns
     log = _log(spark, model, path, empty).read().withColumn("_earlier", -F.col("batch"))
     extras = [F.min(model.first).alias(model.first)] if model.first else []
     columns = [c for c in names if c not in (model.key, model.first)]
-    return latest_per_key(log, model.key, ["updated_at", "_earlier"], columns, extras=extras).select(names)
+    order = ["updated_at", *(["_tie"] if "_tie" in log.columns else []), "_earlier"]
+    return latest_per_key(log, model.key, order, columns, extras=extras).select(names)
 
 
 # --- as a full rebuild -----------------------------------------------------------------------

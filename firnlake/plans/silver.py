@@ -1,8 +1,10 @@
 """Silver models: the current state of every entity, from the raw event tables.
 
 Raw columns are the lower-cased JSON names, amounts and times still text.  Each model
-takes an optional inclusive interval ``(start, end)`` for incremental runs.  First-event
-times look at the whole raw table, like the merge that keeps them.
+takes an optional inclusive interval ``(start, end)`` for incremental runs, which reads only
+the event dates of the interval.  First-event times are looked up over the whole raw table,
+but only for the keys that occur in the interval.  Amounts and dates that cannot be read are
+NULL; :func:`unreadable` lists their events.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def with_event_time(raw: DataFrame) -> DataFrame:
     """Adds ``event_at``; a typed column written at landing is used as it is."""
     if "event_at" in raw.columns:
         return raw
-    return raw.withColumn("event_at", F.col("timestamp").cast("timestamp"))
+    return raw.withColumn("event_at", F.col("timestamp").try_cast("timestamp"))
 
 
 def _inside(interval: Interval) -> Column:
@@ -45,45 +47,78 @@ def _tie(raw: DataFrame) -> list[str]:
     return ["eventid"] if "eventid" in raw.columns else []
 
 
+def _current(
+    events: DataFrame, key: str, order: list[str], columns: list[str], interval: Interval, kind: str, first: str
+) -> DataFrame:
+    """Latest row per key with the time ``first`` of the key's earliest event of one kind."""
+    earliest = first_time("eventtype", kind, "event_at", first)
+    if interval is None:
+        return latest_per_key(events, key, order, columns, extras=[earliest])
+    recent = latest_per_key(within(events, interval), key, order, columns)
+    wanted = recent.select(F.col(key).alias("_wanted"))
+    begun = (
+        events.filter(F.col("eventtype") == kind).select(key, "event_at", "eventtype")
+        .join(wanted, F.col(key) == F.col("_wanted"), "left_semi").groupBy(key).agg(earliest)
+    )
+    return recent.join(begun, key, "left")
+
+
+# Raw columns that are read as amounts and as dates.
+AMOUNTS = ("premium", "insuredamount", "totalamount", "amountpaid", "settlementamount", "basepremium")
+DATES = ("coveragestartdate", "duedate", "paidat", "claimdate", "entrydate", "exitdate", "validfrom", "validto")
+
+
+def unreadable(raw: DataFrame) -> DataFrame:
+    """Events with an amount, date or time that cannot be read, and the ``reason``."""
+    kinds = {**dict.fromkeys(AMOUNTS, MONEY), **dict.fromkeys(DATES, "date"), "timestamp": "timestamp"}
+    wrong = [
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull(), f"{c} is no {kind.split('(')[0]}")
+        for c, kind in kinds.items() if c in raw.columns
+    ]
+    return raw.withColumn("reason", F.concat_ws(";", *wrong)).filter("reason != ''")
+
+
 POLICY_COLUMNS = [
     "policy_id", "policy_number", "partner_id", "product_id", "coverage_start_date",
     "premium_chf", "policy_status", "issued_at", "updated_at",
 ]
 
 
-def policy(raw: DataFrame, interval: Interval = None, *, carry_forward: bool = False) -> DataFrame:
+def policy(
+    raw: DataFrame, interval: Interval = None, *, carry_forward: bool = False, keep_tie: bool = False
+) -> DataFrame:
     """Latest of issued / changed / cancelled per policy.
 
     A later thin event blanks the fields it does not carry, unless ``carry_forward``.
+    ``keep_tie`` adds the id of the event that won as ``_tie``.
     """
+    tie = _tie(raw) if keep_tie else []
     events = with_event_time(raw).filter(
         F.col("eventtype").isin("PolicyIssued", "PolicyCancelled", "PolicyChanged")
     )
     columns = ["policynumber", "partnerid", "productid", "coveragestartdate", "premium",
                "eventtype", "event_at"]
     order = ["event_at", *_tie(raw)]
-    issued = first_time("eventtype", "PolicyIssued", "event_at", "issued_at")
     if carry_forward:
         inside = within(events, interval)
         state = carried_forward(inside, "policyid", order, columns)
+        issued = first_time("eventtype", "PolicyIssued", "event_at", "issued_at")
         first = events.groupBy("policyid").agg(issued)
         latest = state.join(first, "policyid", "left")
     else:
-        latest = latest_per_key(
-            events, "policyid", order, columns,
-            when=None if interval is None else _inside(interval), extras=[issued],
-        )
+        latest = _current(events, "policyid", order, columns + tie, interval, "PolicyIssued", "issued_at")
     return latest.select(
         F.col("policyid").alias("policy_id"),
         F.col("policynumber").alias("policy_number"),
         F.col("partnerid").alias("partner_id"),
         F.col("productid").alias("product_id"),
-        F.col("coveragestartdate").cast("date").alias("coverage_start_date"),
-        F.col("premium").cast(MONEY).alias("premium_chf"),
+        F.col("coveragestartdate").try_cast("date").alias("coverage_start_date"),
+        F.col("premium").try_cast(MONEY).alias("premium_chf"),
         F.when(F.col("eventtype") == "PolicyCancelled", "CANCELLED")
         .otherwise("ACTIVE").alias("policy_status"),
         "issued_at",
         F.col("event_at").alias("updated_at"),
+        *[F.col(c).alias("_tie") for c in tie],
     )
 
 
@@ -96,24 +131,24 @@ def coverage(raw: DataFrame, interval: Interval = None) -> DataFrame:
         F.col("coverageid").alias("coverage_id"),
         F.col("policyid").alias("policy_id"),
         F.col("coveragetype").alias("coverage_type"),
-        F.col("insuredamount").cast(MONEY).alias("insured_amount_chf"),
+        F.col("insuredamount").try_cast(MONEY).alias("insured_amount_chf"),
         F.col("event_at").alias("created_at"),
     )
 
 
-def invoice(raw: DataFrame, interval: Interval = None) -> DataFrame:
+def invoice(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False) -> DataFrame:
     """Latest billing event per invoice.  Payouts carry no invoice id and drop out."""
+    tie = _tie(raw) if keep_tie else []
     events = with_event_time(raw).filter(
         F.col("eventtype").isin(
             "InvoiceCreated", "PaymentReceived", "DunningInitiated", "PayoutTriggered"
         )
     )
-    latest = latest_per_key(
+    latest = _current(
         events, "invoiceid", ["event_at", *_tie(raw)],
         ["invoicenumber", "policyid", "partnerid", "policynumber", "billingcycle", "totalamount",
-         "duedate", "eventtype", "amountpaid", "paidat", "dunninglevel", "event_at"],
-        when=None if interval is None else _inside(interval),
-        extras=[first_time("eventtype", "InvoiceCreated", "event_at", "created_at")],
+         "duedate", "eventtype", "amountpaid", "paidat", "dunninglevel", "event_at", *tie],
+        interval, "InvoiceCreated", "created_at",
     )
     kind = F.col("eventtype")
     return latest.select(
@@ -123,40 +158,42 @@ def invoice(raw: DataFrame, interval: Interval = None) -> DataFrame:
         F.col("partnerid").alias("partner_id"),
         F.col("policynumber").alias("policy_number"),
         F.col("billingcycle").alias("billing_cycle"),
-        F.col("totalamount").cast(MONEY).alias("total_amount_chf"),
-        F.col("duedate").cast("date").alias("due_date"),
+        F.col("totalamount").try_cast(MONEY).alias("total_amount_chf"),
+        F.col("duedate").try_cast("date").alias("due_date"),
         F.when(kind == "PaymentReceived", "PAID")
         .when(kind == "DunningInitiated", "OVERDUE")
         .when(kind == "PayoutTriggered", "PAYOUT")
         .otherwise("OPEN").alias("invoice_status"),
-        F.col("amountpaid").cast(MONEY).alias("amount_paid_chf"),
-        F.col("paidat").cast("date").alias("paid_at"),
+        F.col("amountpaid").try_cast(MONEY).alias("amount_paid_chf"),
+        F.col("paidat").try_cast("date").alias("paid_at"),
         F.col("dunninglevel").alias("dunning_level"),
         "created_at",
         F.col("event_at").alias("updated_at"),
+        *[F.col(c).alias("_tie") for c in tie],
     )
 
 
-def claim(raw: DataFrame, interval: Interval = None) -> DataFrame:
+def claim(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False) -> DataFrame:
     """Latest claim event per claim; the status comes from the payload."""
+    tie = _tie(raw) if keep_tie else []
     events = with_event_time(raw).filter(
         F.col("eventtype").isin("ClaimOpened", "ClaimUnderReview", "ClaimSettled", "ClaimRejected")
     )
-    latest = latest_per_key(
+    latest = _current(
         events, "claimid", ["event_at", *_tie(raw)],
-        ["claimnumber", "policyid", "description", "claimdate", "status", "event_at"],
-        when=None if interval is None else _inside(interval),
-        extras=[first_time("eventtype", "ClaimOpened", "event_at", "opened_at")],
+        ["claimnumber", "policyid", "description", "claimdate", "status", "event_at", *tie],
+        interval, "ClaimOpened", "opened_at",
     )
     return latest.select(
         F.col("claimid").alias("claim_id"),
         F.col("claimnumber").alias("claim_number"),
         F.col("policyid").alias("policy_id"),
         "description",
-        F.col("claimdate").cast("date").alias("claim_date"),
+        F.col("claimdate").try_cast("date").alias("claim_date"),
         "status",
         "opened_at",
         F.col("event_at").alias("updated_at"),
+        *[F.col(c).alias("_tie") for c in tie],
     )
 
 
@@ -204,7 +241,7 @@ def address(raw: DataFrame) -> DataFrame:
         a["postalCode"].alias("postal_code"),
         a["city"].alias("city"),
         a["land"].alias("country"),
-        a["validFrom"].cast("date").alias("valid_from"),
+        a["validFrom"].try_cast("date").alias("valid_from"),
         "encrypted",
         F.col("event_at").alias("updated_at"),
     )
@@ -224,7 +261,7 @@ def product(raw: DataFrame, interval: Interval = None) -> DataFrame:
         F.col("productid").alias("product_id"),
         F.col("name").alias("product_name"),
         F.col("productline").alias("product_line"),
-        F.col("basepremium").cast(MONEY).alias("base_premium_chf"),
+        F.col("basepremium").try_cast(MONEY).alias("base_premium_chf"),
         "status",
         deleted.alias("deleted"),
         F.when(deleted, True).when(F.col("status") == "DEPRECATED", True)
@@ -255,7 +292,7 @@ def employee(raw: DataFrame, interval: Interval = None) -> DataFrame:
         F.col("jobtitle").alias("job_title"),
         "department",
         F.col("orgunitid").alias("org_unit_id"),
-        F.col("entrydate").cast("date").alias("entry_date"),
+        F.col("entrydate").try_cast("date").alias("entry_date"),
         active.alias("active"),
         deleted.alias("deleted"),
         F.when(deleted, "DELETED").when(~active, "INACTIVE").otherwise("ACTIVE")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,11 +48,14 @@ def local_session(cpus: int = 8, app: str = "firnlake", memory: str = "12g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single machine, tests), a temporary one is set.
+    Only where the session names none and runs on a single machine (tests), a temporary one is
+    set; on a cluster the executors could not see it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="firnlake-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

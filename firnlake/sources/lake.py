@@ -32,7 +32,7 @@ def _filesystem(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _filesystem(spark, path)
     return fs.exists(p)
 
@@ -133,11 +133,12 @@ class ChangeLog:
 def append_range(df: DataFrame, path: str, time: str, day: str = "event_date") -> None:
     """Load of a date range: the days in ``df`` replace those days of the table.
 
-    The table is partitioned by day and only the touched days are rewritten.
+    The table is partitioned by day and only the touched days are rewritten.  Rows are dealt
+    by ranges of (day, row hash), so that a day gets files in proportion to its rows.
     """
     (
         df.withColumn(day, F.col(time).cast("date"))
-        .repartition(day, F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+        .repartitionByRange(day, F.xxhash64(*df.columns))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(day)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,7 +146,7 @@ SEARCH_LOG = (
 
 
 def translate_search(messages: DataFrame, keys: DataFrame) -> DataFrame:
-    """person.v1.state decrypted; tombstones delete; unreadable names are rejected."""
+    """person.v1.state decrypted; tombstones delete; a field that cannot be read rejects its message."""
     p = _stamped(
         messages,
         "personId string, firstName string, name string, dateOfBirth string, "
@@ -164,6 +165,11 @@ def translate_search(messages: DataFrame, keys: DataFrame) -> DataFrame:
         plain("firstName").alias("first_name"), plain("dateOfBirth").alias("birth"),
         plain("socialSecurityNumber").alias("social_security_number"),
         F.col("insuredNumber").alias("insured_number"), deleted.alias("deleted"),
+        reduce(
+            Column.__or__,
+            [encrypted & F.coalesce(F.col(c).startswith("vault:"), F.lit(False)) & plain(c).isNull()
+             for c in ("name", "firstName", "dateOfBirth", "socialSecurityNumber")],
+        ).alias("sealed"),
     )
     nameless = is_blank("last_name") | is_blank("first_name")
     bad_birth = ~is_blank("birth") & F.col("birth").try_cast("date").isNull()
@@ -172,11 +178,12 @@ def translate_search(messages: DataFrame, keys: DataFrame) -> DataFrame:
             "date_of_birth": F.col("birth").try_cast("date"),
             "reason": _reason(
                 (is_blank("partner_id"), "personId is missing"),
+                (~F.col("deleted") & F.col("sealed"), "cannot decrypt"),
                 (~F.col("deleted") & nameless, "name or firstName is missing"),
                 (~F.col("deleted") & bad_birth, "dateOfBirth is not a date"),
             ),
         }
-    ).drop("birth")
+    ).drop("birth", "sealed")
 
 
 def search_view(log: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from firnlake.contracts import CONTRACTS
+from firnlake.contracts import CONTRACTS, split_valid, with_reason
+from firnlake.sources.lake import exists
 from firnlake.sources.topics import parse
 
 COMMIT_INTERVAL = "10 seconds"  # fixed: how often landed rows become visible
@@ -24,8 +26,13 @@ def land_topic(
     messages: DataFrame, topic: str, raw_path: str, checkpoint: str, *, once: bool = False,
     interval: str = COMMIT_INTERVAL,
 ) -> StreamingQuery:
-    """One query per topic: parsed rows appended to ``raw_path``/``topic``, by event date."""
-    rows = parse(messages, CONTRACTS[topic])
+    """One query per topic: parsed rows appended to ``raw_path``/``topic``, by event date.
+
+    Messages that break the topic's contract are left to :func:`land_rejects`.
+    """
+    contract = CONTRACTS[topic]
+    good, _ = split_valid(messages.filter(F.col("topic") == topic), contract)
+    rows = parse(good, contract)
     writer = (
         rows.writeStream.format("parquet")
         .queryName(f"land {topic} {checkpoint[-8:]}")
@@ -43,6 +50,19 @@ def land_topics(
     return [land_topic(messages, t, raw_path, checkpoint, **kwargs) for t in topics]
 
 
+def land_rejects(
+    messages: DataFrame, path: str, checkpoint: str, *, once: bool = False, interval: str = COMMIT_INTERVAL
+) -> StreamingQuery:
+    """Dead letters of the landing: messages of all topics that break their contract, text kept."""
+    bad = with_reason(messages).filter("reason != ''")
+    writer = (
+        bad.select("topic", "key", "value", "created_at", "reason").writeStream.format("parquet")
+        .queryName(f"reject {checkpoint[-8:]}")
+        .option("checkpointLocation", f"{checkpoint}/_rejects").option("path", path).outputMode("append")
+    )
+    return _triggered(writer, once, interval).start()
+
+
 def each_batch(
     messages: DataFrame, handler: BatchHandler, checkpoint: str, *, once: bool = False,
     interval: str = COMMIT_INTERVAL,
@@ -63,12 +83,55 @@ def dead_letters(path: str, rejects: DataFrame, batch_id: int) -> None:
     )
 
 
-def without_repeats(events: DataFrame, id_column: str, time: str, delay: str = "7 days") -> DataFrame:
-    """Each event id once, for at-least-once input.
+def _days(spark: SparkSession, path: str, days: Sequence[str], schema: str) -> DataFrame:
+    """The rows stored for some days; folders of other days are not even listed."""
+    stored = f"{schema}, event_date date, batch bigint"
+    there = [f"{path}/event_date={d}" for d in days if exists(spark, f"{path}/event_date={d}")]
+    if not there:
+        return spark.createDataFrame([], stored)
+    return spark.read.schema(stored).option("basePath", path).parquet(*there)
+
+
+def without_repeats(
+    events: DataFrame, id_column: str, time: str, path: str, *, once: bool = False, interval: str = COMMIT_INTERVAL
+) -> StreamingQuery:
+    """Each event id once, for at-least-once input, however late an event or its repeat comes.
 
-    Ids are remembered for ``delay`` of event time; it must exceed the redelivery distance.
+    New events are kept below ``path`` by event date and batch (read them with :func:`passed_on`),
+    and a batch is compared with the dates it touches only.  A repeat carries the time of its
+    original.  A batch that is delivered again replaces its own rows.
     """
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_column])
+    spark = events.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    stored = f"{path}/passed"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumn("event_date", F.col(time).cast("date")).persist()
+        try:
+            # at most one value per calendar day of the batch
+            days = [r[0] for r in dated.select(F.coalesce(F.col("event_date").cast("string"), F.lit(NO_DATE))).distinct().collect()]
+            seen = _days(spark, stored, days, schema).filter(F.col("batch") < batch_id)
+            fresh = dated.dropDuplicates([id_column]).join(seen.select(id_column), id_column, "left_anti")
+            (
+                fresh.withColumn("batch", F.lit(batch_id).cast("bigint"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("event_date", "batch").parquet(stored)
+            )
+        finally:
+            dated.unpersist()
+
+    return each_batch(events, handle, f"{path}/checkpoint", once=once, interval=interval)
+
+
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # fixed: the folder of rows without a date
+
+
+def passed_on(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What :func:`without_repeats` has passed on so far."""
+    if not exists(spark, f"{path}/passed"):
+        return spark.createDataFrame([], schema)
+    stored = StructType([*schema.fields]).add("event_date", "date").add("batch", "long")
+    return spark.read.schema(stored).parquet(f"{path}/passed").select(*schema.names)
 
 
 def finish(queries: Sequence[StreamingQuery], timeout: int | None = None) -> None:

@@ -21,8 +21,13 @@ MONEY = "decimal(15,2)"
 _plans: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget_plans() -> None:
+    """Called when a query starts: plans hold file listings, and files may have come since."""
+    _plans.clear()
+
+
 def planned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Build the plan of a derived table once per application and folder (no data is kept)."""
+    """Build the plan of a derived table once per query and folder (no data is kept)."""
 
     @wraps(fn)
     def reuse(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,20 +19,19 @@ from firnlake.streaming import reactions, read_models, run
 from firnlake.workload import queries as q
 from firnlake.workload.queries import query
 
-PER_BATCH = 64  # files per micro-batch
+PER_BATCH = 3  # files per micro-batch; a staged topic has FILES at least, so every stream has several
+FILES = 9
 
 
-def staged(spark, messages: DataFrame, label: str) -> str:
-    """Messages written once, spread over files as over the partitions of a topic."""
+def staged(spark, messages: DataFrame, label: str, deliveries: int = 1) -> str:
+    """Messages written once (or again, as later deliveries), spread over files as over the
+    partitions of a topic."""
     path = new_path(spark, f"topic-{label}")
-    write_topics(messages.repartition(spark.sparkContext.defaultParallelism), path)
+    for _ in range(deliveries):
+        write_topics(messages.repartition(FILES), path)
     return path
 
 
-def delivered_twice(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("_copy")
-
-
 def _read_model(spark, messages: DataFrame, model: read_models.ReadModel, label: str) -> str:
     source = staged(spark, messages.filter(F.col("topic").isin(*model.topics)), label)
     home = new_path(spark, label)
@@ -136,8 +135,8 @@ def stream_policy_snapshot(spark, d):
 _INVOICE_ID = q._uuid_sql("concat('invoice:', policyid)")
 
 
-def _billed(spark, messages: DataFrame, label: str) -> DataFrame:
-    source, home = staged(spark, messages, label), new_path(spark, label)
+def _billed(spark, messages: DataFrame, label: str, deliveries: int) -> DataFrame:
+    source, home = staged(spark, messages, label, deliveries), new_path(spark, label)
     stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
     run.finish([reactions.bill_policies(stream, home, once=True)])
     return reactions.invoices(spark, home)
@@ -152,9 +151,9 @@ def _billed(spark, messages: DataFrame, label: str) -> DataFrame:
         FROM policy_evt WHERE eventtype = 'PolicyIssued'""",
 )
 def stream_invoices(spark, d):
-    """One invoice per policy although every message is delivered twice."""
+    """One invoice per policy although every message comes again in a later batch."""
     issued = q.policy_messages(spark, d).filter(F.col("topic") == "policy.v1.issued")
-    invoices = _billed(spark, delivered_twice(issued), "invoices")
+    invoices = _billed(spark, issued, "invoices", deliveries=2)
     return invoices.select("invoice_id", "policy_id", "billing_cycle", "total_amount_chf", "due_date",
                            "line_text", "status")
 
@@ -205,34 +204,70 @@ def stream_payout(spark, d):
 
 @query(
     "stream_insured_numbers",
-    """SELECT partnerid AS partner_id, concat('VN-', lpad(CAST(n AS VARCHAR), 8, '0')) AS insured_number
-       FROM (SELECT partnerid, row_number() OVER (ORDER BY first_at, partnerid) AS n
-             FROM (SELECT partnerid, min(event_at) AS first_at FROM policy_evt WHERE eventtype = 'PolicyIssued'
-                   AND partnerid IN (SELECT personid FROM person) GROUP BY 1))""",
+    """SELECT partnerid AS partner_id, TRUE AS own_number, TRUE AS in_sequence
+       FROM policy_evt WHERE eventtype = 'PolicyIssued' AND partnerid IN (SELECT personid FROM person) GROUP BY 1""",
 )
 def stream_insured_numbers(spark, d):
-    """All policies in one batch, so the sequence follows their order."""
+    """Numbers given over several batches, each policy delivered twice.
+
+    Which partner gets which number follows the delivery; what must hold is that every
+    partner has one number, no number is given twice, and the numbers run from 1 without gaps.
+    """
     issued = q.policy_messages(spark, d).filter(F.col("topic") == "policy.v1.issued")
-    source, home = staged(spark, issued, "issued"), new_path(spark, "numbers")
+    source, home = staged(spark, issued, "issued", deliveries=2), new_path(spark, "numbers")
     people = q.star.persons(spark, d).select(
         F.col("personid").alias("partner_id"), F.lit(None).cast("string").alias("insured_number")
     )
-    stream = stream_messages(spark, source, files_per_trigger=100_000)
+    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
     run.finish([reactions.assign_numbers(stream, people, home, once=True)])
-    return reactions.numbers(spark, home).select("partner_id", "insured_number")
+    given = reactions.numbers(spark, home)
+    holders = given.groupBy(F.col("insured_number").alias("held")).agg(F.count(F.lit(1)).alias("holders"))
+    total = given.count()
+    return given.join(holders, F.col("insured_number") == F.col("held")).groupBy("partner_id").agg(
+        ((F.count(F.lit(1)) == 1) & (F.max("holders") == 1)).alias("own_number"),
+        F.max("sequence").between(1, total).alias("in_sequence"),
+    )
 
 
 @query("stream_without_repeats", "SELECT eventid AS event_id, event_at FROM claim_evt WHERE eventtype = 'ClaimOpened'")
 def stream_without_repeats(spark, d):
-    """Events delivered twice are passed on once."""
+    """Events delivered twice, the repeats in later batches, are passed on once; none is too late."""
     opened = q.claim_messages(spark, d).filter(F.col("topic") == "claims.v1.opened")
-    source, home = staged(spark, delivered_twice(opened), "repeats"), new_path(spark, "once")
-    stream = stream_messages(spark, source, files_per_trigger=100_000)
+    source, home = staged(spark, opened, "repeats", deliveries=2), new_path(spark, "once")
+    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
     events = parse(stream, CONTRACTS["claims.v1.opened"]).select(F.col("eventid").alias("event_id"), "event_at")
-    once = run.without_repeats(events, "event_id", "event_at", delay="60 days")
-    started = (
-        once.writeStream.format("parquet").option("path", f"{home}/out")
-        .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-    )
-    run.finish([started])
-    return spark.read.schema(once.schema).parquet(f"{home}/out")
+    run.finish([run.without_repeats(events, "event_id", "event_at", home, once=True)])
+    return run.passed_on(spark, home, events.schema)
+
+
+_TOPIC_OF_POLICY = """CASE eventtype WHEN 'PolicyIssued' THEN 'policy.v1.issued' WHEN 'PolicyChanged'
+    THEN 'policy.v1.changed' ELSE 'policy.v1.cancelled' END"""
+
+
+@query(
+    "stream_landing_rejects",
+    f"""SELECT topic, reason, count(*) AS messages FROM (
+           SELECT {_TOPIC_OF_POLICY} AS topic,
+                  CASE WHEN cents % 7 = 0 THEN 'not a JSON object' WHEN eventtype = 'PolicyIssued' AND productid IS NULL
+                       THEN 'missing:productId' END AS reason FROM policy_evt
+           UNION ALL
+           SELECT 'product.v1.state', CASE WHEN base < 1000 THEN 'type:basePremium' END
+           FROM product_evt WHERE eventtype = 'ProductState')
+        WHERE reason IS NOT NULL GROUP BY ALL""",
+)
+def stream_landing_rejects(spark, d):
+    """Cut-off texts, wrong types and missing fields become dead letters with their text; the rest lands."""
+    policies = q.policy_messages(spark, d)
+    premium = (F.get_json_object("value", "$.premium").cast("decimal(15,2)") * 100).cast("bigint")
+    cut = F.when(premium % 7 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    products = q.product_messages(spark, d).filter(F.col("topic") == "product.v1.state")
+    base = F.get_json_object("value", "$.basePremium").cast("decimal(15,2)")
+    typed = F.when(base < 1000, F.regexp_replace("value", r'"basePremium":[0-9.]+', '"basePremium":"much"')).otherwise(F.col("value"))
+    sent = policies.withColumn("value", cut).unionByName(products.withColumn("value", typed))
+    source, home = staged(spark, sent, "broken"), new_path(spark, "landing-rejects")
+    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
+    topics = ["policy.v1.issued", "policy.v1.changed", "policy.v1.cancelled", "product.v1.state"]
+    landing = run.land_topics(stream, topics, f"{home}/raw", f"{home}/checkpoint", once=True)
+    run.finish([*landing, run.land_rejects(stream, f"{home}/rejects", f"{home}/checkpoint", once=True)])
+    rejects = spark.read.parquet(f"{home}/rejects").filter("value is not null")
+    return rejects.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("messages"))

@@ -68,20 +68,22 @@ def test_tags_and_mask(spark):
 def test_checks(spark):
     df = spark.createDataFrame([("1", "OPEN", "a@b.ch"), ("1", "XX", None), (None, None, "bad")], "id string, s string, m string")
     checks = [
-        quality.rows("r"), quality.no_duplicates("id", "d"), quality.no_missing("id", "m"),
-        quality.only_values("s", ["OPEN"], "v"), quality.only_pattern("m", r"^\S+@\S+$", "p", "m IS NOT NULL"),
-        quality.no_duplicates("s", "d2"), quality.same_rows("o", "same"),
+        quality.rows(), quality.no_duplicates("id"), quality.no_missing("id"),
+        quality.only_values("s", ["OPEN"]), quality.only_pattern("m", r"^\S+@\S+$", "m IS NOT NULL"),
+        quality.no_duplicates("s"), quality.same_rows("o"),
     ]
     got = {r.check_name: (r.measured, r.passed) for r in quality.check_table("t", df, checks, {"o": spark.range(5)}).collect()}
-    assert got == {"r": (3, True), "d": (1, False), "m": (1, False), "v": (1, False), "p": (1, False),
-                   "d2": (0, True), "same": (2, False)}
+    assert got == {
+        "has rows": (3, True), "id unique": (1, False), "id present": (1, False), "s in list": (1, False),
+        "m in form": (1, False), "s unique": (0, True), "as many rows as o": (2, False),
+    }
 
 
 def test_checks_of_an_empty_table(spark):
     df = spark.createDataFrame([], "id string")
     got = {r.check_name: (r.measured, r.passed)
-           for r in quality.check_table("t", df, [quality.rows("r"), quality.no_duplicates("id", "d"), quality.no_missing("id", "m")]).collect()}
-    assert got == {"r": (0, False), "d": (0, True), "m": (0, True)}
+           for r in quality.check_table("t", df, [quality.rows(), quality.no_duplicates("id"), quality.no_missing("id")]).collect()}
+    assert got == {"has rows": (0, False), "id unique": (0, True), "id present": (0, True)}
 
 
 def test_contract_problems(spark):
@@ -92,7 +94,7 @@ def test_contract_problems(spark):
         good.replace("PolicyCancelled", "Other"), "[]", "no json", None,
     ]
     df = spark.createDataFrame([(r,) for r in rows], "value string")
-    got = [r[0] for r in df.select(c.problems("value")).collect()]
+    got = [r[0] for r in df.select(c.problems(contracts.as_map("value"))).collect()]
     assert got == ["", "missing:policyId", "extra:aa,zz", "value:eventType", "not a JSON object", "not a JSON object",
                    "not a JSON object"]
     ok, bad = contracts.split_valid(df, c)

@@ -116,6 +116,18 @@ def test_search_view_tombstone_and_unreadable(spark, tmp_path):
     assert [r.key for r in read_models.rejected(spark, home).collect()] == ["3"]
 
 
+@pytest.mark.parametrize("field", ["name", "firstName", "dateOfBirth", "socialSecurityNumber"])
+def test_search_view_rejects_a_sealed_field(spark, tmp_path, field):
+    """Each of the four encrypted fields that cannot be read rejects its message."""
+    keys = spark.createDataFrame([("1", bytes(range(32)))], "partner_id string, key binary")
+    clear = {"name": "Muster", "firstName": "A", "dateOfBirth": "1980-02-03", "socialSecurityNumber": "756.1"}
+    rows = [("person.v1.state", "1", {"personId": "1", "deleted": False, "encrypted": True, **clear, field: "vault:v1:AAAA"})]
+    home, model = str(tmp_path / "home"), read_models.search_model(keys)
+    deliver(spark, tmp_path, [messages(spark, rows)], lambda s: read_models.maintain(s, model, home, once=True))
+    assert read_models.current(spark, model, home).isEmpty()
+    assert [(r.key, r.reason) for r in read_models.rejected(spark, home).collect()] == [("1", "cannot decrypt")]
+
+
 def issued(policy, partner="x", premium="100.00"):
     return {"policyId": policy, "policyNumber": f"POL-{policy}", "partnerId": partner, "premium": premium,
             "productId": "pr", "coverageStartDate": "2024-02-01"}
@@ -215,10 +227,24 @@ def test_without_repeats(spark, tmp_path):
     for part in (rows[:4], rows[4:]):
         write_topics(messages(spark, part), source)
         events = parse(stream_messages(spark, source), CONTRACTS["claims.v1.opened"]).select("eventid", "event_at")
-        q = (run.without_repeats(events, "eventid", "event_at").writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-        run.finish([q])
-    assert sorted(r.eventid for r in spark.read.parquet(out).collect()) == ["e0", "e1", "e2"]
+        run.finish([run.without_repeats(events, "eventid", "event_at", out, once=True)])
+    assert sorted(r.eventid for r in run.passed_on(spark, out, events.schema).collect()) == ["e0", "e1", "e2"]
+
+
+def test_late_first_events_pass(spark, tmp_path):
+    """No event is too late, in whatever batches the deliveries come."""
+    days = ["2024-03-01", "2024-03-02", "2024-01-01", "2024-03-01", "2024-01-01"]
+    ids = ["a", "b", "late", "a", "late"]
+    for size in (1, 2, 5):
+        source, home = str(tmp_path / f"t{size}"), str(tmp_path / f"o{size}")
+        rows = [("claims.v1.opened", "c", {"eventId": i, "timestamp": f"{d}T00:00:00Z"}) for i, d in zip(ids, days, strict=True)]
+        rows.append(("claims.v1.opened", "c", {"eventId": "undated", "timestamp": "?"}))
+        for at in range(0, len(rows), size):
+            write_topics(messages(spark, rows[at : at + size]), source)
+            events = parse(stream_messages(spark, source), CONTRACTS["claims.v1.opened"]).select("eventid", "event_at")
+            run.finish([run.without_repeats(events, "eventid", "event_at", home, once=True)])
+        got = sorted(r.eventid for r in run.passed_on(spark, home, events.schema).collect())
+        assert got == ["a", "b", "late", "undated"]
 
 
 def test_compaction(spark):
