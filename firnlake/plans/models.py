@@ -138,17 +138,20 @@ def current_state(spark: SparkSession, model: Model, path: str, raw_schema) -> D
 # --- as a full rebuild -----------------------------------------------------------------------
 
 
-def build_lake(spark: SparkSession, raw: dict[str, DataFrame], keys: DataFrame | None = None) -> list[str]:
+def build_lake(
+    spark: SparkSession, raw: dict[str, DataFrame], keys: DataFrame | None = None, folder: str | None = None
+) -> list[str]:
     """Rebuild all silver and gold tables in the session catalog from the raw tables.
 
     Silver tables are written first and gold reads them back, so each model is computed once.
-    ``keys`` adds the decrypted partner table.
+    ``keys`` adds the decrypted partner table; ``folder`` holds the files instead of the warehouse.
     """
     create_namespaces(spark)
     written: list[str] = []
 
     def save(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        writer = df.write.mode("overwrite").format("parquet")
+        (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(name)
         written.append(name)
         return spark.table(name)
 

@@ -130,14 +130,15 @@ class ChangeLog:
         newest.write.mode("overwrite").parquet(f"{self.path}/base={before_batch}")
 
 
-def append_range(df: DataFrame, path: str, time: str, day: str = "event_date") -> None:
-    """Load of a date range: the days in ``df`` replace those days of the table.
+def append_range(df: DataFrame, path: str, time: str, day: str = "event_date", unit: str = "day") -> None:
+    """Load of a date range: the days (or months) in ``df`` replace those of the table.
 
-    The table is partitioned by day and only the touched days are rewritten.  Rows are dealt
-    by ranges of (day, row hash), so that a day gets files in proportion to its rows.
+    The table is partitioned by the first day of each ``unit`` and only touched ones are
+    rewritten.  Rows are dealt by ranges of (day, row hash), so that a day gets files in
+    proportion to its rows.
     """
     (
-        df.withColumn(day, F.col(time).cast("date"))
+        df.withColumn(day, F.date_trunc(unit, time).cast("date"))
         .repartitionByRange(day, F.xxhash64(*df.columns))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

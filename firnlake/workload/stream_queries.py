@@ -6,6 +6,8 @@ streams over that folder until the input is used up, and returns what they maint
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,3 +273,26 @@ def stream_landing_rejects(spark, d):
     run.finish([*landing, run.land_rejects(stream, f"{home}/rejects", f"{home}/checkpoint", once=True)])
     rejects = spark.read.parquet(f"{home}/rejects").filter("value is not null")
     return rejects.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(
+    "stream_landing_hr",
+    f"""SELECT topic, count(*) FILTER (reason = '') AS landed, count(*) FILTER (reason <> '') AS rejected
+        FROM ({q._REPORT}) WHERE topic LIKE 'hr.%' OR topic LIKE '%coverage%' GROUP BY 1""",
+)
+def stream_landing_hr(spark, d):
+    """Employee, unit and coverage topics landed as streams, with their reject sink."""
+    sent = q.hr_messages(spark, d).unionByName(q.coverage_messages(spark, d))
+    source, home = staged(spark, sent, "hr"), new_path(spark, "landing-hr")
+    stream = stream_messages(spark, source, files_per_trigger=4 * PER_BATCH)
+    topics = [t for t in CONTRACTS if t.startswith("hr.") or "coverage" in t]
+    landing = run.land_topics(stream, topics, f"{home}/raw", f"{home}/checkpoint", once=True)
+    run.finish([*landing, run.land_rejects(stream, f"{home}/rejects", f"{home}/checkpoint", once=True)])
+    one, none = F.lit(1), F.lit(0)
+    counts = [
+        spark.read.schema(parse(stream, CONTRACTS[t]).schema).parquet(f"{home}/raw/{t}")
+        .select(F.lit(t).alias("topic"), one.alias("landed"), none.alias("rejected"))
+        for t in topics
+    ]
+    counts.append(spark.read.parquet(f"{home}/rejects").select("topic", none.alias("landed"), one.alias("rejected")))
+    return reduce(DataFrame.unionByName, counts).groupBy("topic").agg(F.sum("landed").alias("landed"), F.sum("rejected").alias("rejected"))
