@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnlake.llm.common import stored, table, text_or_empty
@@ -188,10 +188,14 @@ def bands(text: str) -> np.ndarray | None:
 # -- Spark ------------------------------------------------------------------------------------
 
 
+def _id(text: Column) -> Column:
+    """The document's id, or a negative one derived from its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-2) - F.abs(F.shiftright(F.xxhash64(text), 1)))
+
+
 def _with_keys(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    made_up = F.lit(-2) - F.abs(F.shiftright(F.xxhash64(text), 1))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), made_up).alias("id"), F.md5(text).alias("key"), text.alias("text"))
+    return docs.select(_id(text).alias("id"), F.md5(text).alias("key"), text.alias("text"))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,17 +311,15 @@ def _classes(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class."""
     classes = near_duplicates(docs, similarity)
-    kept = classes.where("id = class_id AND key = kept_key").groupBy("id", "key").agg(F.count(F.lit(1)).alias("copies"))
-    kept = stored(kept.select(F.col("id").alias("k_id"), F.col("key").alias("k_key"), "copies"), "dart-kept")
+    kept = classes.where("id = class_id AND key = kept_key").groupBy("id", "key").agg(F.count(F.lit(1)).alias("__copies"))
+    kept = stored(kept.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__copies"), "dart-kept")
     text = text_or_empty()
-    made_up = F.lit(-2) - F.abs(F.shiftright(F.xxhash64(text), 1))
-    same = (F.coalesce(docs["doc_id"].cast("long"), made_up) == F.col("k_id")) & (F.md5(text) == F.col("k_key"))
+    same = (_id(text) == F.col("__id")) & (F.md5(text) == F.col("__key"))
     found = docs.join(kept, same)
-    repeated = found.where("copies > 1")
-    if kept.where("copies > 1").isEmpty():
+    if kept.where("__copies > 1").isEmpty():
         return found.select(*docs.columns)
-    single = repeated.dropDuplicates(["k_id", "k_key"])
-    return found.where("copies = 1").select(*docs.columns).union(single.select(*docs.columns))
+    single = found.where("__copies > 1").dropDuplicates(["__id", "__key"])
+    return found.where("__copies = 1").select(*docs.columns).union(single.select(*docs.columns))
 
 
 def op3_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -118,43 +118,43 @@ def mix(
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     total = F.floor(F.lit(float(share)) * F.sum("capacity").over(Window.partitionBy(F.lit(0))) / max_epochs)
     plan = budgets(leaves, weights, total, max_epochs).select(
-        *[F.col(c).alias(f"p_{c}") for c in LEVELS],
-        F.floor(F.col("leaf_budget") / F.col("leaf_tokens")).cast("int").alias("whole_epochs"),
-        (F.col("leaf_budget") % F.col("leaf_tokens")).alias("rest"),
+        *[F.col(c).alias(f"__p_{c}") for c in LEVELS],
+        F.floor(F.col("leaf_budget") / F.col("leaf_tokens")).cast("int").alias("__whole"),
+        (F.col("leaf_budget") % F.col("leaf_tokens")).alias("__rest"),
     )
     plan = stored(plan, "mixing-plan")
-    leaf = [f"p_{c}" for c in LEVELS]
+    leaf = [f"__p_{c}" for c in LEVELS]
 
     def planned(rows: DataFrame, columns: list[str]) -> DataFrame:
         """Members of the leaves with their place in the begun epoch."""
-        key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.col("doc_id").cast("string")))
+        key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("__whole").cast("string"), F.col("doc_id").cast("string")))
         on = [F.col(a) == F.col(b) for a, b in zip(columns, leaf, strict=True)]
         return rows.join(plan, on).withColumn("__key", key)
 
     # where the budget of the begun epoch ends: first by slots of the hash, then inside one slot
-    begun = planned(slim, list(LEVELS)).where("rest > 0").withColumn("__slot", F.substring("__key", 1, DIGITS))
+    begun = planned(slim, list(LEVELS)).where("__rest > 0").withColumn("__slot", F.substring("__key", 1, DIGITS))
     upto = Window.partitionBy(*leaf).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     edge = (
-        begun.groupBy(*leaf, "__slot", "rest")
+        begun.groupBy(*leaf, "__slot", "__rest")
         .agg(F.sum("tokens").alias("__in_slot"))
         .withColumn("__before", F.coalesce(F.sum("__in_slot").over(upto), F.lit(0)))
-        .where("__before < rest AND __before + __in_slot >= rest")
+        .where("__before < __rest AND __before + __in_slot >= __rest")
         .select(*leaf, "__slot", "__before")
     )
     inside = Window.partitionBy(*leaf).orderBy("__key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
         begun.join(edge, [*leaf, "__slot"])
         .withColumn("__sum", F.col("__before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-        .where("__sum < rest")
+        .where("__sum < __rest")
         .groupBy(*leaf)
         .agg(F.max("__key").alias("__last"))
-        .select(*[F.col(c).alias(f"l_{c}") for c in leaf], "__last")
+        .select(*[F.col(c).alias(f"__l_{c}") for c in leaf], "__last")
     )
-    marked = planned(sized, ["domain", "__lang", "__source"]).join(ends, [F.col(c) == F.col(f"l_{c}") for c in leaf], "left")
-    taken = F.coalesce((F.col("rest") > 0) & (F.col("__key") <= F.col("__last")), F.lit(False))
+    marked = planned(sized, ["domain", "__lang", "__source"]).join(ends, [F.col(c) == F.col(f"__l_{c}") for c in leaf], "left")
+    taken = F.coalesce((F.col("__rest") > 0) & (F.col("__key") <= F.col("__last")), F.lit(False))
     return (
-        marked.where((F.col("whole_epochs") > 0) | taken)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole_epochs") - 1 + taken.cast("int"))))
+        marked.where((F.col("__whole") > 0) | taken)
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1 + taken.cast("int"))))
         .select(*kept, "domain", "tokens", "epoch")
     )
 

@@ -401,7 +401,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with repeated strings cut out of text, and n_chars (if there) set to what is left."""
-    spans = covered(_rows(docs), length, gram, hot, shard_bytes).select(F.col("id").alias("s_id"), F.col("tie").alias("s_tie"), "spans")
+    spans = covered(_rows(docs), length, gram, hot, shard_bytes).select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -411,10 +411,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             out.append(_without(text.encode(), merged).decode(errors="ignore"))
         return pd.Series(out)
 
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("s_id")) & (F.xxhash64(text_or_empty()) == F.col("s_tie"))
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__tie"))
     joined = docs.join(spans, key, "left")
-    left = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("cut"))
-    joined = joined.withColumn("cut", cut(text_or_empty(), F.coalesce("spans", F.array().cast("array<struct<first:int,end:int>>"))))
+    left = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.col("__cut"))
+    joined = joined.withColumn("__cut", cut(text_or_empty(), F.coalesce("__spans", F.array().cast("array<struct<first:int,end:int>>"))))
     columns = [left.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     result = joined.select(*columns)
     if "n_chars" in docs.columns:
