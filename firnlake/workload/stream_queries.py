@@ -21,8 +21,13 @@ from firnlake.streaming import reactions, read_models, run
 from firnlake.workload import queries as q
 from firnlake.workload.queries import query
 
-PER_BATCH = 3  # files per micro-batch; a staged topic has FILES at least, so every stream has several
-FILES = 9
+FILES = 9  # per topic and delivery
+BATCHES = 3  # micro-batches of every stream, whatever the machine
+
+
+def feed(spark, source: str, topics: int = 1, deliveries: int = 1) -> DataFrame:
+    """The staged messages as a stream of ``BATCHES`` micro-batches."""
+    return stream_messages(spark, source, files_per_trigger=FILES * topics * deliveries // BATCHES)
 
 
 def staged(spark, messages: DataFrame, label: str, deliveries: int = 1) -> str:
@@ -37,7 +42,7 @@ def staged(spark, messages: DataFrame, label: str, deliveries: int = 1) -> str:
 def _read_model(spark, messages: DataFrame, model: read_models.ReadModel, label: str) -> str:
     source = staged(spark, messages.filter(F.col("topic").isin(*model.topics)), label)
     home = new_path(spark, label)
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
+    stream = feed(spark, source, len(model.topics))
     run.finish([read_models.maintain(stream, model, home, once=True)])
     return home
 
@@ -47,7 +52,7 @@ def stream_landing(spark, d):
     """Claim topics landed one query per topic, then the claim model over the raw rows."""
     source, home = staged(spark, q.claim_messages(spark, d), "claims"), new_path(spark, "landing")
     topics = [t for t in CONTRACTS if t.startswith("claims.")]
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
+    stream = feed(spark, source, len(topics))
     run.finish(run.land_topics(stream, topics, f"{home}/raw", f"{home}/checkpoint", once=True))
     landed = [spark.read.schema(parse(stream, CONTRACTS[t]).schema).parquet(f"{home}/raw/{t}") for t in topics]
     return silver.claim(union_wide(landed))
@@ -58,7 +63,7 @@ def stream_silver_policy(spark, d):
     """The policy model kept current from its topics as a stream equals the batch model."""
     source, home = staged(spark, q.policy_messages(spark, d), "policies"), new_path(spark, "silver-policy")
     topics = [t for t in CONTRACTS if t.startswith("policy.")]
-    raw = raw_table(stream_messages(spark, source, files_per_trigger=PER_BATCH), topics)
+    raw = raw_table(feed(spark, source, 3), topics)
     model = MODELS["policy_silver.policy"]
     run.finish([keep_current(raw, model, home, once=True)])
     return current_state(spark, model, home, raw.schema)
@@ -139,8 +144,7 @@ _INVOICE_ID = q._uuid_sql("concat('invoice:', policyid)")
 
 def _billed(spark, messages: DataFrame, label: str, deliveries: int) -> DataFrame:
     source, home = staged(spark, messages, label, deliveries), new_path(spark, label)
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
-    run.finish([reactions.bill_policies(stream, home, once=True)])
+    run.finish([reactions.bill_policies(feed(spark, source, 1, deliveries), home, once=True)])
     return reactions.invoices(spark, home)
 
 
@@ -171,8 +175,7 @@ def stream_cancel_cascade(spark, d):
     source, home = new_path(spark, "topic-cascade"), new_path(spark, "cascade")
     for topic in ("policy.v1.issued", "policy.v1.cancelled"):
         write_topics(messages.filter(F.col("topic") == topic), source)
-        stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
-        run.finish([reactions.bill_policies(stream, home, once=True)])
+        run.finish([reactions.bill_policies(stream_messages(spark, source), home, once=True)])
     return reactions.invoices(spark, home).select("policy_id", "status")
 
 
@@ -194,8 +197,7 @@ def stream_payout(spark, d):
     q.s_invoice(spark, d).select(
         "policy_id", "partner_id", "invoice_id", F.col("created_at").alias("invoice_date")
     ).write.parquet(known)
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
-    paid = reactions.payouts(stream, spark.read.parquet(known))
+    paid = reactions.payouts(feed(spark, source), spark.read.parquet(known))
     started = (
         paid.writeStream.format("parquet").option("path", f"{home}/out")
         .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
@@ -220,8 +222,7 @@ def stream_insured_numbers(spark, d):
     people = q.star.persons(spark, d).select(
         F.col("personid").alias("partner_id"), F.lit(None).cast("string").alias("insured_number")
     )
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
-    run.finish([reactions.assign_numbers(stream, people, home, once=True)])
+    run.finish([reactions.assign_numbers(feed(spark, source, deliveries=2), people, home, once=True)])
     given = reactions.numbers(spark, home)
     holders = given.groupBy(F.col("insured_number").alias("held")).agg(F.count(F.lit(1)).alias("holders"))
     total = given.count()
@@ -236,8 +237,7 @@ def stream_without_repeats(spark, d):
     """Events delivered twice, the repeats in later batches, are passed on once; none is too late."""
     opened = q.claim_messages(spark, d).filter(F.col("topic") == "claims.v1.opened")
     source, home = staged(spark, opened, "repeats", deliveries=2), new_path(spark, "once")
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
-    events = parse(stream, CONTRACTS["claims.v1.opened"]).select(F.col("eventid").alias("event_id"), "event_at")
+    events = parse(feed(spark, source, deliveries=2), CONTRACTS["claims.v1.opened"]).select(F.col("eventid").alias("event_id"), "event_at")
     run.finish([run.without_repeats(events, "event_id", "event_at", home, once=True)])
     return run.passed_on(spark, home, events.schema)
 
@@ -267,7 +267,7 @@ def stream_landing_rejects(spark, d):
     typed = F.when(base < 1000, F.regexp_replace("value", r'"basePremium":[0-9.]+', '"basePremium":"much"')).otherwise(F.col("value"))
     sent = policies.withColumn("value", cut).unionByName(products.withColumn("value", typed))
     source, home = staged(spark, sent, "broken"), new_path(spark, "landing-rejects")
-    stream = stream_messages(spark, source, files_per_trigger=PER_BATCH)
+    stream = feed(spark, source, 4)
     topics = ["policy.v1.issued", "policy.v1.changed", "policy.v1.cancelled", "product.v1.state"]
     landing = run.land_topics(stream, topics, f"{home}/raw", f"{home}/checkpoint", once=True)
     run.finish([*landing, run.land_rejects(stream, f"{home}/rejects", f"{home}/checkpoint", once=True)])
@@ -284,8 +284,8 @@ def stream_landing_hr(spark, d):
     """Employee, unit and coverage topics landed as streams, with their reject sink."""
     sent = q.hr_messages(spark, d).unionByName(q.coverage_messages(spark, d))
     source, home = staged(spark, sent, "hr"), new_path(spark, "landing-hr")
-    stream = stream_messages(spark, source, files_per_trigger=4 * PER_BATCH)
     topics = [t for t in CONTRACTS if t.startswith("hr.") or "coverage" in t]
+    stream = feed(spark, source, len(topics))
     landing = run.land_topics(stream, topics, f"{home}/raw", f"{home}/checkpoint", once=True)
     run.finish([*landing, run.land_rejects(stream, f"{home}/rejects", f"{home}/checkpoint", once=True)])
     one, none = F.lit(1), F.lit(0)
