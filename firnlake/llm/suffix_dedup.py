@@ -314,6 +314,8 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         .where("n > 1")
         .select("anchor", (F.col("lo") == F.col("hi")).alias("alike"))
     )
+    # written first: a join of two plain shuffles is one that AQE can split at a hot anchor
+    anchors = stored(anchors, "suffix-anchors")
     hits = stored(found.join(anchors, "anchor"), "suffix-hits")
     # one copy of each different segment of an anchor
     kinds = (
