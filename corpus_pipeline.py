@@ -11,6 +11,7 @@ from firnlake.llm.common import stored, table
 WEIGHTS = {"domain": {"*": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "*": 1}, "source": {"*": 1}}
 SHARE = 0.8  # tokens to keep, so that oversized sources give way
 SEED = 20
+PASSAGE = 51  # words: repeated passages of over 50 words go, besides op6's repeated strings
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -24,8 +25,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without the byte strings that occur at several places."""
-    return suffix_dedup.remove_repeats(docs)
+    """Documents without the byte strings and the passages of over 50 words that occur at several places."""
+    return suffix_dedup.remove_repeats(docs, words=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -23,11 +23,17 @@ Defined results: text is taken as UTF-8; a null text is empty. Texts shorter tha
 lose a byte. Rows that are equal in id and text are documents of their own, so all their strings
 repeat. Null ids are handled like others. Empty tables give no rows. ``remove_repeats`` keeps all
 columns and rows; removing bytes may split a character, whose other bytes then go too.
+
+``remove_repeats`` can also cut passages of ``words`` words (runs of bytes other than U+0020 and U+0009
+to U+000D) that start at several places, however few bytes they have and whatever white space is
+between them. Each word becomes a code of ``CODE`` bytes, its hash, and the strings of ``words`` codes
+are found as above. A passage goes from its first word to its last.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +50,8 @@ GRAM = 160
 HOT = 20_000
 SHARD_BYTES = 4 << 20
 PIECE_BYTES = 1 << 19
+CODE = 6  # bytes of a word's code
+KEPT_WORDS = 300_000
 
 _U = np.uint64
 
@@ -401,22 +409,73 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with repeated strings cut out of text, and n_chars (if there) set to what is left."""
-    spans = covered(_rows(docs), length, gram, hot, shard_bytes).select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans"))
+class Codes(dict):
+    """Code of a word; the table is bounded, later words are hashed anew."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        code = hashlib.blake2b(word, digest_size=CODE).digest()
+        if len(self) < KEPT_WORDS and len(word) < 64:
+            self[word] = code
+        return code
+
+
+_CODES = Codes()
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """``rows`` with the codes of the words in place of the bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [b"".join(map(_CODES.__getitem__, x.as_py().split())) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "tie", "bytes"])
+
+    return rows.mapInArrow(run, "id long, tie long, bytes binary")
+
+
+def _word_spans(data: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Bytes of the text that spans of its codes stand for; only whole codes count."""
+    whole = [(-(-first // CODE), end // CODE) for first, end in spans]
+    whole = merge_spans([(a, b) for a, b in whole if b - a >= words])
+    if not whole:
+        return []
+    places = [x.span() for x in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    return [(places[a][0], places[b - 1][1]) for a, b in whole]
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, words: int | None = None
+) -> DataFrame:
+    """``docs`` with repeated strings cut out of text, and n_chars (if there) set to what is left.
+
+    With ``words``, repeated passages of so many words go as well.
+    """
+    rows = _rows(docs)
+    spans = covered(rows, length, gram, hot, shard_bytes).select("id", "tie", "spans")
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    if words:
+        passages = covered(_coded(rows), words * CODE, words * CODE * 2 // 5, hot, shard_bytes)
+        both = spans.withColumn("passages", none).unionByName(passages.select("id", "tie", none.alias("spans"), F.col("spans").alias("passages")))
+        spans = both.groupBy("id", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("passages")).alias("passages"))
+    else:
+        spans = spans.withColumn("passages", none)
+    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in ("id", "tie", "spans", "passages")])
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, found: pd.Series, passages: pd.Series) -> pd.Series:
         out = []
-        for text, spans_ in zip(texts, found, strict=True):
-            merged = merge_spans([(s["first"], s["end"]) for s in spans_])
-            out.append(_without(text.encode(), merged).decode(errors="ignore"))
+        for text, spans_, passages_ in zip(texts, found, passages, strict=True):
+            data = text.encode()
+            listed = [(s["first"], s["end"]) for s in spans_]
+            if len(passages_):
+                listed += _word_spans(data, [(s["first"], s["end"]) for s in passages_], words)
+            out.append(_without(data, merge_spans(listed)).decode(errors="ignore"))
         return pd.Series(out)
 
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__tie"))
     joined = docs.join(spans, key, "left")
     left = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.col("__cut"))
-    joined = joined.withColumn("__cut", cut(text_or_empty(), F.coalesce("__spans", F.array().cast("array<struct<first:int,end:int>>"))))
+    joined = joined.withColumn("__cut", cut(text_or_empty(), F.coalesce("__spans", none), F.coalesce("__passages", none)))
     columns = [left.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     result = joined.select(*columns)
     if "n_chars" in docs.columns:

@@ -1,6 +1,7 @@
 """The corpus pipeline against its stages done one after the other in plain Python."""
 
 import hashlib
+import random
 import zlib
 
 import corpus_pipeline
@@ -73,3 +74,29 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf):
             assert done.columns == odd.columns
         pieces = corpus_pipeline.STAGES[-1][1](spark, done, sf)
         assert pieces.agg(F.count(F.lit(1))).first()[0] >= (rows is odd)
+
+
+def test_repeated_passages_of_over_50_words_are_cut(spark, sf):
+    rng = random.Random(8)
+
+    def words(n, size):
+        return [f"{rng.randrange(10**size):0{size}d}" for _ in range(n)]
+
+    # 50 words stay, however long; 51 and more go, however short, and whatever white space is between them
+    planted = {n: words(n, 2 + n % 4) for n in (50, 51, 52, 55, 58, 61, 63, 65)}
+    assert all(len(" ".join(p)) < 400 for p in planted.values())
+    rows, want = [], {}
+    for n, passage in planted.items():
+        for k in range(2):
+            before, after = words(70, 8), words(40, 8)
+            rows.append((100 * n + k, "\n".join([" ".join(before), (" ", "  ")[k].join(passage), " ".join(after)])))
+            want[100 * n + k] = before + (passage if n <= 50 else []) + after
+    long = words(20, 30)  # few words, over 400 bytes: still cut by bytes
+    for k in range(2):
+        before = words(70, 8)
+        rows.append((k, " ".join([*before, *long, "."])))
+        want[k] = before + ["."]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text.split() for r in corpus_pipeline.cut_repeats(spark, docs, sf).collect()}
+    assert {i: t for i, t in got.items() if i > 1} == {i: t for i, t in want.items() if i > 1}
+    assert all(not set(long[1:-1]) & set(got[k]) for k in range(2))
