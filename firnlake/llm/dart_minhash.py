@@ -12,9 +12,13 @@ plus k log k, whatever the weights.
 
 Equal texts become one node first. ``BANDS`` bands of ``ROWS`` coordinates give buckets; in each
 bucket the nodes are compared with its smallest and largest node, not with each other. Where that
-leaves nodes of a bucket in different classes, its members are dealt again by pairs of bands, which
-separates unlike texts and keeps like ones together, and compared once more. Every comparison is an
-exact weighted Jaccard similarity of at least ``SIMILARITY``. Classes are connected components.
+leaves nodes of a bucket in different classes, all pairs of such nodes that can still be alike are
+found exactly, by their rare shingles: with shingles in one order for all texts, rare ones first, two
+texts that share ``o`` of their ``n`` and ``m`` shingles have a common one among the first n - o + 1
+and m - o + 1. A template shared by thousands of unlike texts lies behind those places, so it makes no
+pairs. Shingles are ordered by counts of hash slots; slots that mix shingles cost time, not pairs.
+Every comparison is an exact weighted Jaccard similarity of at least ``SIMILARITY``. Classes are
+connected components.
 
 Buckets and copies are summed in each task before the shuffle and joined back on their key, where
 AQE splits hot keys; no bucket is gathered in one task and no link reaches the driver.
@@ -43,6 +47,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 KEPT_WORDS = 300_000
+SLOTS = 1 << 20
 
 _U = np.uint64
 
@@ -238,6 +243,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.withColumn("shared", shared).where(F.col("shared") >= similarity * (n_a + n_b - F.col("shared"))).select("a", "b")
 
 
+def _tag_counts(sets: DataFrame) -> np.ndarray:
+    """How many nodes have a shingle of each hash slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            tags = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts += np.bincount((tags & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+    summed = sets.select("tags").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
+    return counts
+
+
+def _possible_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of nodes with different roots that can be alike; ``sets`` has node, root and tags."""
+    shared = sets.sparkSession.sparkContext.broadcast(_tag_counts(sets))
+    part = similarity / (1 + similarity)  # of both sizes: the least number of common tags
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            out = []
+            for node, root, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tags = listed.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                n = len(tags)
+                wide = n - int(np.ceil(similarity * n - 1e-6)) + 1  # beside the least partner; beside an equal or larger one:
+                narrow = n - int(np.ceil(2 * part * n - 1e-6)) + 1
+                first = tags[np.lexsort((tags, counts[tags & _U(SLOTS - 1)]))[:wide]]
+                place = np.arange(len(first))
+                out.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), root), np.full(len(first), n), place, place < narrow))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["tag", "node", "root", "n", "place", "narrow"]
+                )
+
+    tags = stored(sets.mapInArrow(run, "tag long, node long, root long, n int, place int, narrow boolean"), "dart-tags")
+    ends = tags.groupBy("tag").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("narrow").alias("any"))
+    ends = stored(ends.where("lo < hi AND any").select("tag"), "dart-ends")
+    tags = stored(tags.join(ends, "tag"), "dart-tags")
+    one = tags.where("narrow").select("tag", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "n", "place")])
+    two = tags.select("tag", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "place")])
+    least = F.ceil(F.lit(part) * (F.col("n_1") + F.col("n_2")) - 1e-6)
+    met = one.join(two, "tag").where("root_1 <> root_2 AND n_1 <= n_2")
+    met = met.where((F.col("place_1") <= F.col("n_1") - least) & (F.col("place_2") <= F.col("n_2") - least))
+    return met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of a link; root is the smallest node of its component."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -273,17 +331,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = _with_same_ids(links, signed, nodes)
     roots = components(links)
 
-    # buckets that hold several classes: once more, by pairs of bands
+    # buckets that hold several classes: all pairs of their nodes that can be alike
     def rooted(frame: DataFrame, node: str, name: str) -> DataFrame:
         found = roots.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
         return frame.join(found, F.col(node) == F.col("r_node"), "left").withColumn(name, F.coalesce("r_root", node)).drop("r_node", "r_root")
 
-    mixed = rooted(stars, "node", "root").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    again = stars.select("bucket", "node").join(mixed, "bucket").join(nodes.select("node", "bands"), "node")
-    finer = again.select("node", "bucket", F.explode("bands").alias("band")).where("band <> bucket")
-    finer = finer.select("node", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("fine")).distinct()
-    more = _pairs(_stars(finer, "fine")).join(pairs, ["a", "b"], "left_anti")
-    more = rooted(rooted(more, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b")
+    placed = stored(rooted(stars, "node", "root").select("bucket", "node", "root"), "dart-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    open_nodes = stored(placed.join(mixed, "bucket").select("node", "root").distinct(), "dart-open")
+    if open_nodes.isEmpty():
+        return _classes(signed, nodes, roots)
+    more = _possible_pairs(open_nodes.join(sets, "node").select("node", "root", "tags"), similarity).join(pairs, ["a", "b"], "left_anti")
     added = stored(_verified(more, sets, similarity), "dart-links")
     if not added.isEmpty():
         roots = components(links.union(added))

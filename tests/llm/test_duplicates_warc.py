@@ -163,3 +163,26 @@ def test_archives_round_trip(spark, tmp_path):
             want.append((i, len(data), digest, "response" if refers is None else "revisit", refers, url))
         assert Counter(tuple(r)[:6] for r in got) == Counter(want)
     assert warc.write_archives(pages.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_pairs_inside_a_large_template_group(spark):
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(500)]
+    count = iter(range(10**9))
+
+    def own(n):
+        return [f"o{next(count)}" for _ in range(n)]
+
+    texts = [template + own(80) for _ in range(300)]
+    for _ in range(200):  # 0.82 to each other, 0.756 to all others
+        both = own(24)
+        texts += [template + both + own(56) for _ in range(2)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(order[i], " ".join(t)) for i, t in enumerate(texts)]
+    want = {order[i]: order[i] for i in range(300)}
+    for i in range(300, len(texts), 2):
+        want[order[i]] = want[order[i + 1]] = min(order[i : i + 2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.class_id for r in dart_minhash.near_duplicates(docs).collect()}
+    assert got == want
