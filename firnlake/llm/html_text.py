@@ -2,7 +2,9 @@
 
 A page is parsed into a tree. Parts that are never article text go by what they are: scripts,
 styles, forms, menus, page headers and footers, sidebars, and elements whose class, id or role says
-menu, advert, notice, comments and the like. Every block-level subtree that is left outside the
+menu, advert, notice, comments and the like. A class or id counts if one of its words is such a name as
+a whole or consists of such names alone (``cookie-notice``, not ``no-sidebar`` or ``related-work``). A name
+or a form never costs the page its only article or main, nor an article its heading block. Every block-level subtree that is left outside the
 article is hashed (tag, text and children); Spark counts on how many pages of a host each hash
 occurs. A subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages
 belongs to the site's template and is deleted. What remains of the ``article`` elements (else of
@@ -82,31 +84,40 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Element:
-    __slots__ = ("below", "dropped", "mark", "tag")
+    __slots__ = ("below", "dropped", "mark", "tag", "why")
 
-    def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.dropped, self.below = tag, dropped, []
+    def __init__(self, tag: str, why: str = ""):
+        self.tag, self.why, self.dropped, self.below = tag, why, why != "", []
         self.mark: bytes | None = None
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(word: str) -> bool:
+    """Whether a word of a class or id is a name, or names and numbers alone."""
+    pieces = [x for x in re.split(r"[-_]+|(?<=\D)(?=\d)", word) if x and not x.isdigit()]
+    return bool(pieces) and NAMES.issuperset(pieces)
+
+
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
+    """Why an element goes: "kind" is final, "name" and "header" depend on what it holds; "" if it stays."""
     if tag in DROPPED:
-        return True
+        return "name" if tag == "form" else "kind"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     for found in ATTRIBUTE.finditer(attributes):
         name = (found[1] or "hidden").lower()
         value = html.unescape(found[2] or found[3] or found[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "kind"
         if name == "role" and value in ROLES:
-            return True
+            return "name"
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id") and any(NAMES.intersection(re.split(r"[-_]+|(?<=\D)(?=\d)", word)) for word in re.split(r"\s+", value)):
+            return "kind"
+        if name in ("class", "id") and (words := [w for w in value.split() if _named(w)]):
             # a heading, or text marked inside a line, is no page part
-            return tag not in HEADINGS and (tag not in INLINE or not inside_article)
-    return False
+            if tag in HEADINGS or tag in INLINE and inside_article:
+                return ""
+            return "header" if inside_article and set(words) == {"header"} else "name"
+    return ""
 
 
 def parse(text: str) -> Element:
@@ -162,6 +173,40 @@ def parse(text: str) -> Element:
     return root
 
 
+def _settle_names(root: Element) -> None:
+    """Elements that go by a name stay if the page's only article (else its only main) is inside them."""
+    for wanted in ("article", "main"):
+        todo: list[tuple[Element, tuple]] = [(root, ())]
+        inside: list[tuple] = []
+        while todo:
+            e, above = todo.pop()
+            if e.tag == wanted and not e.dropped:
+                if not above:
+                    return  # one that nothing hides
+                inside.append(above)
+                continue
+            if e.why == "kind":
+                continue
+            above = (e, above) if e.dropped else above
+            todo.extend((x, above) for x in e.below if isinstance(x, Element))
+        for above in inside:
+            while above:
+                above[0].dropped = False
+                above = above[1]
+        if inside:
+            return
+
+
+def _holds_heading(element: Element) -> bool:
+    todo = [element]
+    while todo:
+        e = todo.pop()
+        if e.tag in HEADINGS:
+            return True
+        todo.extend(x for x in e.below if isinstance(x, Element) and not x.dropped)
+    return False
+
+
 def _settle_headers(element: Element, inside: bool = False) -> None:
     """Headers go, but the header of an article that holds its heading stays."""
     todo = [(element, inside)]
@@ -169,6 +214,8 @@ def _settle_headers(element: Element, inside: bool = False) -> None:
         e, within = todo.pop()
         for child in e.below:
             if isinstance(child, Element):
+                if child.why == "header" and within and _holds_heading(child):
+                    child.dropped = False
                 if child.tag == "header" and not (within and any(isinstance(x, Element) and x.tag in HEADINGS for x in child.below)):
                     child.dropped = True
                 if not child.dropped:
@@ -203,6 +250,7 @@ def _marked(root: Element) -> list[Element]:
 
 def tree(text: str) -> tuple[Element, list[Element]]:
     root = parse(text)
+    _settle_names(root)
     _settle_headers(root)
     return root, _marked(root)
 

@@ -147,3 +147,19 @@ def test_templates_per_host(spark):
         assert got[101].text == "Welcome to our site story 1"  # too few pages to be sure
         assert got[200].text == got[201].text == ""
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_names_do_not_cost_an_article():
+    def text(page):
+        return html_text.main_text(f"<body>{page}</body>", set())
+
+    article = "<article><h1>Title</h1><p>story</p></article>"
+    for name in ("class='has-sidebar'", "class='content no-sidebar'", "id='header-fixed'", "class='widget'", "role='dialog'"):
+        assert text(f"<div {name}><p>x</p>{article}</div>") == "Title story"
+    assert text(f"<form>{article}</form>") == "Title story"
+    assert text("<div class='sidebar'><main><p>story</p></main></div>") == "story"
+    assert text(f"{article}<div class='comments'><article>first!</article></div>") == "Title story"
+    for name in ("article-header", "header"):
+        assert text(f"<article><div class='{name}'><h1>Title</h1></div><p>story</p></article>") == "Title story"
+    assert text("<article><p>a</p><section class='related-work'><p>b</p></section></article>") == "a b"
+    assert text("<article><p>a</p><div class='cookie-notice'>c</div><div class='ad-3'>d</div><div class='related'><h2>r</h2></div></article>") == "a"
