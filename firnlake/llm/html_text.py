@@ -5,19 +5,19 @@ styles, forms, menus, page headers and footers, sidebars, and elements whose cla
 menu, advert, notice, comments and the like. A class or id counts if one of its words is such a name as
 a whole or consists of such names alone (``cookie-notice``, not ``no-sidebar`` or ``related-work``). A name
 or a form never costs the page its only article or main, nor an article its heading block. Every block-level subtree that is left outside the
-article is hashed (tag, text and children); Spark counts on how many pages of a host each hash
-occurs. A subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages
+article is hashed (tag, text and children), unless an article or main is inside it; Spark counts on how
+many different pages of a host each hash occurs. A subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages
 belongs to the site's template and is deleted. What remains of the ``article`` elements (else of
 ``main``, else of the body) is the text: character references decoded, white space inside a block
 one space, blocks joined by one space.
 
-The counts are combined in each task before the shuffle, so a host with a third of all pages sends
-one row per hash and task. Templates of a host are few by construction: at most its mean number of
+Copies of a page count once: hashes are first made distinct by host, hash and digest of the html, which
+deals a large host over all tasks, then counted. Templates of a host are few by construction: at most its mean number of
 subtrees over ``MIN_SHARE``. They are broadcast up to ``BROADCAST_ROWS`` rows in all and joined by
 host beyond that.
 
 Defined results: null or empty html gives an empty text. A null url is a host of its own (''). Each
-of repeated rows is a page and counts as one. Broken markup never fails: open elements end with
+of repeated rows gets its text. Broken markup never fails: open elements end with
 their parent, stray end tags are skipped, a cut-off tag is dropped. Other columns are ignored.
 """
 
@@ -230,7 +230,11 @@ def _marked(root: Element) -> list[Element]:
         order.append((e, article))
         todo.extend((x, article or x.tag == "article") for x in e.below if isinstance(x, Element) and not x.dropped)
     out = []
+    holding: set[int] = set()  # elements with an article or main inside
     for e, article in reversed(order):
+        holds = any(isinstance(x, Element) and not x.dropped and (x.tag in ("article", "main") or id(x) in holding) for x in e.below)
+        if holds:
+            holding.add(id(e))
         digest = blake2b(e.tag.encode(), digest_size=8)
         filled = False
         for x in e.below:
@@ -243,7 +247,7 @@ def _marked(root: Element) -> list[Element]:
                 digest.update(b"\0e" + x.mark)
                 filled = True
         e.mark = digest.digest() if filled else None
-        if filled and not article and e.tag not in INLINE and e.tag not in ("#root", "html", "body", "article", "main"):
+        if filled and not article and not holds and e.tag not in INLINE and e.tag not in ("#root", "html", "body", "article", "main"):
             out.append(e)
     return out
 
@@ -318,15 +322,19 @@ def find_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, marks = [], []
+            hosts, marks, pages_ = [], [], []
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [0, *subtree_marks(text)]  # 0 counts the host's pages
                 hosts.extend([host] * len(found))
                 marks.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(marks, pa.int64())], names=["host", "mark"])
+                page = _number(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                pages_.extend([page] * len(found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(pages_, pa.int64())], names=["host", "mark", "page"]
+            )
 
     rows = pages.select(_host_key(pages).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counts = rows.mapInArrow(run, "host long, mark long").groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.mapInArrow(run, "host long, mark long, page long").distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.where(f"n >= {min_pages} OR mark = 0"), "html-marks")
     sizes = counts.where("mark = 0").select(F.col("host"), F.col("n").alias("pages"))
     return counts.where("mark <> 0").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "mark")

@@ -163,3 +163,14 @@ def test_names_do_not_cost_an_article():
         assert text(f"<article><div class='{name}'><h1>Title</h1></div><p>story</p></article>") == "Title story"
     assert text("<article><p>a</p><section class='related-work'><p>b</p></section></article>") == "a b"
     assert text("<article><p>a</p><div class='cookie-notice'>c</div><div class='ad-3'>d</div><div class='related'><h2>r</h2></div></article>") == "a"
+
+
+def test_copies_are_no_template(spark):
+    one = "<body><div id='wrap'><p>by line</p><article><p>same story</p></article></div></body>"
+    two = "<body><div><p>same text</p></div></body>"
+    near = [f"<body><div id='wrap'><article><p>same story</p></article></div><p>{i}</p></body>" for i in range(20)]
+    rows = [(i, "http://a.com/x", one) for i in range(30)] + [(100 + i, "http://b.com/x", two) for i in range(30)]
+    rows += [(200 + i, f"http://c.com/{i}", h) for i, h in enumerate(near)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {i: "same text" if 100 <= i < 200 else "same story" for i, _, _ in rows}
