@@ -7,7 +7,10 @@ a whole or consists of such names alone (``cookie-notice``, not ``no-sidebar`` o
 or a form never costs the page its only article or main, nor an article its heading block. Every block-level subtree that is left outside the
 article is hashed (tag, text and children), unless an article or main is inside it; Spark counts on how
 many different pages of a host each hash occurs. A subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages
-belongs to the site's template and is deleted. What remains of the ``article`` elements (else of
+belongs to the site's template and is deleted. Block-level subtrees inside articles are counted apart, over
+different articles: those with the same first heading (else with the same content) are one, so that edited
+copies of an article do not make its paragraphs a template. Such a subtree goes if it recurs in at least
+``MIN_PAGES`` articles and ``ARTICLE_SHARE`` of the host's; headings, list items and table cells stay. What remains of the ``article`` elements (else of
 ``main``, else of the body) is the text: character references decoded, white space inside a block
 one space, blocks joined by one space.
 
@@ -37,6 +40,7 @@ from firnlake.llm.url_filter import host_and_path
 
 MIN_PAGES = 10
 MIN_SHARE = 0.3
+ARTICLE_SHARE = 0.5
 BROADCAST_ROWS = 50_000
 
 # HTML element names by their role.
@@ -83,6 +87,11 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+# inside articles these are no blocks of their own
+PIECES = HEADINGS | {"li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "col", "br", "hr", "figcaption", "summary"}
+INSIDE = b"\0a"
+
+
 class Element:
     __slots__ = ("below", "dropped", "mark", "tag", "why")
 
@@ -222,14 +231,20 @@ def _settle_headers(element: Element, inside: bool = False) -> None:
                     todo.append((child, within or child.tag in ("article", "main")))
 
 
-def _marked(root: Element) -> list[Element]:
-    """Hashes kept block-level subtrees bottom-up, without recursion; returns those that may be template."""
-    order, todo = [], [(root, False)]
+def _marked(root: Element) -> tuple[list[tuple[Element, int, int]], list[int]]:
+    """Hashes kept block-level subtrees bottom-up, without recursion.
+
+    Returns those that may be template, each with its number and the number of its article (0 outside
+    articles), and the numbers of the articles.
+    """
+    order, todo = [], [(root, None)]
     while todo:
         e, article = todo.pop()
         order.append((e, article))
-        todo.extend((x, article or x.tag == "article") for x in e.below if isinstance(x, Element) and not x.dropped)
-    out = []
+        within = article or (e if e.tag == "article" else None)
+        todo.extend((x, within) for x in reversed(e.below) if isinstance(x, Element) and not x.dropped)
+    found: list[tuple[Element, Element | None, bytes]] = []
+    heading: dict[int, bytes] = {}  # of an article: its first heading
     holding: set[int] = set()  # elements with an article or main inside
     for e, article in reversed(order):
         holds = any(isinstance(x, Element) and not x.dropped and (x.tag in ("article", "main") or id(x) in holding) for x in e.below)
@@ -247,32 +262,43 @@ def _marked(root: Element) -> list[Element]:
                 digest.update(b"\0e" + x.mark)
                 filled = True
         e.mark = digest.digest() if filled else None
-        if filled and not article and not holds and e.tag not in INLINE and e.tag not in ("#root", "html", "body", "article", "main"):
-            out.append(e)
-    return out
-
-
-def tree(text: str) -> tuple[Element, list[Element]]:
+        if not filled:
+            continue
+        if article is not None and e.tag in HEADINGS:
+            heading[id(article)] = e.mark  # the last one met is the first of the page
+        if not holds and e.tag not in INLINE and e.tag not in ("#root", "html", "body", "article", "main"):
+            if article is None:
+                found.append((e, None, e.mark))
+            elif e.tag not in PIECES:
+                found.append((e, article, blake2b(INSIDE + e.mark, digest_size=8).digest()))
+    name = {id(e): _number(heading.get(id(e), e.mark)) for e, article in order if e.tag == "article" and article is None and e.mark}
+    return [(e, _number(mark), name[id(article)] if article else 0) for e, article, mark in found], list(name.values())
+
+
+def tree(text: str) -> tuple[Element, list[tuple[Element, int, int]], list[int]]:
     root = parse(text)
     _settle_names(root)
     _settle_headers(root)
-    return root, _marked(root)
+    return root, *_marked(root)
 
 
 def _number(mark: bytes) -> int:
     return int.from_bytes(mark, "little", signed=True)
 
 
-def subtree_marks(text: str) -> list[int]:
-    """Distinct hashes of the page's possible template parts."""
-    return sorted({_number(e.mark) for e in tree(text)[1]})
+def subtree_marks(text: str) -> list[tuple[int, int, bool]]:
+    """Distinct (hash, page or article, whether inside articles) of possible template parts; hash 0 counts pages and articles."""
+    page = _number(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+    _, parts, articles = tree(text)
+    inside = {(mark, article, True) for _, mark, article in parts if article} | {(0, a, True) for a in articles}
+    return [(0, page, False), *sorted({(mark, page, False) for _, mark, article in parts if not article}), *sorted(inside)]
 
 
 def main_text(text: str, templates: set[int]) -> str:
-    root, parts = tree(text)
+    root, parts, _ = tree(text)
     if templates:
-        for e in parts:
-            if _number(e.mark) in templates:
+        for e, mark, _ in parts:
+            if mark in templates:
                 e.dropped = True
     for wanted in ("article", "main", "body"):
         tops = _tops(root, wanted)
@@ -322,22 +348,23 @@ def find_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, marks, pages_ = [], [], []
+            hosts, marks, units, inside = [], [], [], []
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [0, *subtree_marks(text)]  # 0 counts the host's pages
+                found = subtree_marks(text)
                 hosts.extend([host] * len(found))
-                marks.extend(found)
-                page = _number(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
-                pages_.extend([page] * len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(pages_, pa.int64())], names=["host", "mark", "page"]
-            )
+                marks.extend(m for m, _, _ in found)
+                units.extend(u for _, u, _ in found)
+                inside.extend(i for _, _, i in found)
+            arrays = [pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(units, pa.int64()), pa.array(inside, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "mark", "unit", "inside"])
 
     rows = pages.select(_host_key(pages).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counts = rows.mapInArrow(run, "host long, mark long, page long").distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
+    units = rows.mapInArrow(run, "host long, mark long, unit long, inside boolean").distinct()
+    counts = units.groupBy("host", "inside", "mark").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.where(f"n >= {min_pages} OR mark = 0"), "html-marks")
-    sizes = counts.where("mark = 0").select(F.col("host"), F.col("n").alias("pages"))
-    return counts.where("mark <> 0").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "mark")
+    sizes = counts.where("mark = 0").select("host", "inside", F.col("n").alias("units"))
+    share = F.when(F.col("inside"), F.lit(max(ARTICLE_SHARE, min_share))).otherwise(F.lit(min_share))
+    return counts.where("mark <> 0").join(sizes, ["host", "inside"]).where(F.col("n") >= share * F.col("units")).select("host", "mark")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

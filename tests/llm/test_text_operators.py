@@ -174,3 +174,21 @@ def test_copies_are_no_template(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert got == {i: "same text" if 100 <= i < 200 else "same story" for i, _, _ in rows}
+
+
+def test_template_blocks_inside_articles(spark):
+    box = "<div class='x7f'><h3>Our letter</h3><p>Write to us</p></div>"
+
+    def page(i, story, block=box):
+        return f"<body><article><h1>Head {i}</h1><p>{story}</p>{block}<p>quoted</p></article></body>"
+
+    rows = [(i, f"http://a.com/{i}", page(i, f"story {i}").replace("<p>quoted</p>", "<p>quoted</p>" * (i % 3 == 0))) for i in range(40)]
+    # edited copies of one article: a host's only recurring paragraphs are its own text
+    rows += [(100 + i, f"http://b.com/{i}", page(0, "same", f"<p>edit {i}</p>")) for i in range(40)]
+    rows += [(200 + i, f"http://c.com/{i}", page(i, f"story {i}")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = {i: f"Head {i} story {i}" + " quoted" * (i % 3 == 0) for i in range(40)}
+    want |= {100 + i: f"Head 0 same edit {i} quoted" for i in range(40)}
+    want |= {200 + i: f"Head {i} story {i} Our letter Write to us quoted" for i in range(5)}
+    for bound in (1000, 0):
+        assert {r.page_id: r.text for r in html_text.extract(pages, broadcast_rows=bound).collect()} == want
