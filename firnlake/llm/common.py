@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** ``bits`` places of a column of 64-bit hashes: of fixed size, whatever the number of rows."""
+    slot = F.col(column).bitwiseAND((1 << bits) - 1)
+    place, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    found = hashes.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)

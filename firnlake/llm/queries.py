@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firnlake.llm import dart_minhash, html_text, imatch, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from firnlake.llm import collocations, dart_minhash, html_text, imatch, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_html_text": html_text.op10_html_text,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
     "op2_url_filter": url_filter.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
