@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firnlake.llm import collocations, dart_minhash, html_text, imatch, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from firnlake.llm import collocations, conversation_repair, dart_minhash, html_text, imatch, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_html_text": html_text.op10_html_text,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op13_collocations": collocations.op13_collocations,
 }
 
