@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firnlake.llm import collocations, conversation_repair, dart_minhash, html_text, imatch, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from firnlake.llm import collocations, conversation_repair, dart_minhash, html_text, imatch, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_html_text": html_text.op10_html_text,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
     "op2_url_filter": url_filter.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op12_ngram_join": ngram_join.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
