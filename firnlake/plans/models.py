@@ -1,7 +1,11 @@
 """The lake's models: what each reads, how it loads, and runs over intervals.
 
-A model can be kept three ways: by interval runs that merge into a snapshot, as a stream
+A model can be kept three ways: by interval runs that merge into a bucketed table, as a stream
 whose batches are logged and folded when read, or by a full rebuild of all tables.
+
+Interval runs over raw tables stored by ``event_date`` keep an index of first-event times beside
+the model's table: key and earliest time, made once from all dates and min-merged with each run's
+interval.  So no later run reads a date outside its interval.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from firnlake.operators.latest import latest_per_key
 from firnlake.operators.merge import upsert, upsert_newer
 from firnlake.plans import gold, silver
 from firnlake.session import new_path
-from firnlake.sources.lake import ChangeLog, SnapshotTable, create_namespaces
-from firnlake.streaming.run import each_batch
+from firnlake.sources.buckets import BucketTable
+from firnlake.sources.lake import ChangeLog, create_namespaces
+from firnlake.streaming.run import CONDENSE_EVERY, dead_letters, each_batch
 
 BACKFILL_START = "2024-01-01"  # fixed: first day of a backfill when none is given
 
@@ -34,17 +39,21 @@ class Model:
     keep_first: tuple[str, ...] = ()
     first: str | None = None  # column holding the time of the first event
     tie: bool = False  # whether events of one time are settled by the event id
+    raw_key: str | None = None  # the key's name in the raw table
+    first_kind: str | None = None  # kind of the first event
 
 
 MODELS = {
     m.name: m
     for m in [
         Model("policy_silver.policy", "policy_raw.policy_events", silver.policy, "policy_id",
-              "updated_at", ("issued_at",), first="issued_at", tie=True),
+              "updated_at", ("issued_at",), first="issued_at", tie=True,
+              raw_key="policyid", first_kind="PolicyIssued"),
         Model("claims_silver.claim", "claims_raw.claims_events", silver.claim, "claim_id",
-              "updated_at", ("opened_at",), first="opened_at", tie=True),
+              "updated_at", ("opened_at",), first="opened_at", tie=True,
+              raw_key="claimid", first_kind="ClaimOpened"),
         Model("billing_silver.invoice", "billing_raw.billing_events", silver.invoice, "invoice_id",
-              first="created_at", tie=True),
+              first="created_at", tie=True, raw_key="invoiceid", first_kind="InvoiceCreated"),
         Model("partner_silver.partner", "partner_raw.person_events", silver.partner, "partner_id"),
         Model("product_silver.product", "product_raw.product_events", silver.product, "product_id"),
         Model("hr_silver.employee", "hr_raw.employee_events", silver.employee, "employee_id"),
@@ -65,10 +74,27 @@ def merged(
     return upsert_newer(target, source, key, version, keep_first)
 
 
-def run_interval(table: SnapshotTable, model: Model, raw: DataFrame, interval: tuple) -> DataFrame:
+def _least(target: DataFrame | None, source: DataFrame) -> DataFrame:
+    both = source if target is None else target.unionByName(source)
+    return both.groupBy("key").agg(F.min("first_at").alias("first_at"))
+
+
+def first_index(table: BucketTable, model: Model, raw: DataFrame, interval: tuple) -> DataFrame:
+    """First-event times of at least the keys of the interval, after the index took in its events."""
+    index = BucketTable(table.spark, f"{table.path}/first-events", "key", table.buckets)
+    reach = None if index.manifest() is None else interval
+    index.merge(silver.first_events(raw, model.raw_key, model.first_kind, reach), _least)
+    keys = silver.within(silver.with_event_time(raw), interval).filter(F.col(model.raw_key).isNotNull()).select(F.col(model.raw_key).alias("key"))
+    return index.lookup(keys)
+
+
+def run_interval(table: BucketTable, model: Model, raw: DataFrame, interval: tuple) -> DataFrame:
     """Load one interval of a model and return the new state of its table."""
-    source = model.build(raw, interval)
-    table.write(merged(table.read(), source, model.key, model.version, model.keep_first))
+    if model.first_kind and "event_date" in raw.columns:
+        source = model.build(raw, interval, begun=first_index(table, model, raw, interval))
+    else:
+        source = model.build(raw, interval)
+    table.merge(source, lambda t, s: merged(t, s, model.key, model.version, model.keep_first))
     return table.read()
 
 
@@ -86,9 +112,9 @@ def replay(
 
     Writing each version ends its lineage, so the plan does not grow with the intervals.
     """
-    table = SnapshotTable(spark, new_path(spark, label))
+    table = BucketTable(spark, new_path(spark, label), key)
     for interval in intervals:
-        table.write(merged(table.read(), build(interval), key, version, keep_first))
+        table.merge(build(interval), lambda t, s: merged(t, s, key, version, keep_first))
     return table.read()
 
 
@@ -105,21 +131,53 @@ def _log(spark: SparkSession, model: Model, path: str, raw: DataFrame) -> Change
     return ChangeLog(spark, f"{path}/log", schema)
 
 
-def keep_current(raw: DataFrame, model: Model, path: str, *, once: bool = False):
+def _unusable(model: Model, batch: DataFrame) -> DataFrame:
+    """Raw rows whose amounts or dates cannot be read, as dead letters."""
+    bad = silver.unreadable(batch)
+    key = F.col(model.raw_key) if model.raw_key else F.lit(None).cast("string")
+    return bad.select(
+        F.lit(model.raw).alias("topic"), key.alias("key"),
+        F.to_json(F.struct(*[F.col(c) for c in batch.columns])).alias("value"),
+        F.current_timestamp().alias("created_at"), "reason",
+    )
+
+
+def keep_current(raw: DataFrame, model: Model, path: str, *, once: bool = False, condense_every: int = CONDENSE_EVERY):
     """Keep a model current from its raw rows as a stream.
 
-    Each batch logs the latest row per key it saw; nothing stored is rewritten.
+    Each batch logs the latest row per key it saw; nothing stored is rewritten.  Rows with values
+    that cannot be read go to the dead letters as well.  The log is condensed from time to time.
     """
     spark: SparkSession = raw.sparkSession
     empty = spark.createDataFrame([], raw.schema)
     log = _log(spark, model, path, empty)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        log.append(_logged(model, batch), batch_id)
+        if batch_id and batch_id % condense_every == 0:
+            _condense(log, model, batch_id)
+        batch = batch.persist()
+        try:
+            log.append(_logged(model, batch), batch_id)
+            dead_letters(f"{path}/dead-letters", _unusable(model, batch), batch_id)
+        finally:
+            batch.unpersist()
 
     return each_batch(raw, handle, f"{path}/checkpoint", once=once)
 
 
+def _condense(log: ChangeLog, model: Model, batch_id: int) -> None:
+    """The newest row per key so far, with the earliest first time."""
+    rows = log.read(batch_id)
+    newest = _newest(rows, model, [c for c in rows.columns if c not in (model.key, model.first)])
+    log.write_base(newest.select(rows.columns), batch_id)
+
+
+def _newest(rows: DataFrame, model: Model, columns: Sequence[str]) -> DataFrame:
+    extras = [F.min(model.first).alias(model.first)] if model.first else []
+    order = ["updated_at", *(["_tie"] if "_tie" in rows.columns else []), "_earlier"]
+    return latest_per_key(rows.withColumn("_earlier", -F.col("batch")), model.key, order, columns, extras=extras)
+
+
 def current_state(spark: SparkSession, model: Model, path: str, raw_schema) -> DataFrame:
     """The state a stream keeps: newest row per key, first time over all batches.
 
@@ -128,11 +186,8 @@ def current_state(spark: SparkSession, model: Model, path: str, raw_schema) -> D
     """
     empty = spark.createDataFrame([], raw_schema)
     names = model.build(empty).columns
-    log = _log(spark, model, path, empty).read().withColumn("_earlier", -F.col("batch"))
-    extras = [F.min(model.first).alias(model.first)] if model.first else []
-    columns = [c for c in names if c not in (model.key, model.first)]
-    order = ["updated_at", *(["_tie"] if "_tie" in log.columns else []), "_earlier"]
-    return latest_per_key(log, model.key, order, columns, extras=extras).select(names)
+    log = _log(spark, model, path, empty).read()
+    return _newest(log, model, [c for c in names if c not in (model.key, model.first)]).select(names)
 
 
 # --- as a full rebuild -----------------------------------------------------------------------

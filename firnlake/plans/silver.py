@@ -1,10 +1,11 @@
 """Silver models: the current state of every entity, from the raw event tables.
 
 Raw columns are the lower-cased JSON names, amounts and times still text.  Each model
-takes an optional inclusive interval ``(start, end)`` for incremental runs, which reads only
-the event dates of the interval.  First-event times are looked up over the whole raw table,
-but only for the keys that occur in the interval.  Amounts and dates that cannot be read are
-NULL; :func:`unreadable` lists their events.
+takes an optional inclusive interval ``(start, end)`` for incremental runs.  Of a table stored by
+``event_date`` only the folders of the interval are read; the times of first events then come from
+an index (``begun``, see :mod:`firnlake.plans.models`), or, without one, from a scan of the first
+events of all dates.  Other tables are read once for both.  Amounts and dates that cannot be
+read are NULL; :func:`unreadable` lists their events.
 """
 
 from __future__ import annotations
@@ -47,19 +48,32 @@ def _tie(raw: DataFrame) -> list[str]:
     return ["eventid"] if "eventid" in raw.columns else []
 
 
+def first_events(raw: DataFrame, key: str, kind: str, interval: Interval = None) -> DataFrame:
+    """(key, first_at): time of the earliest event of a kind, of the interval or of all events."""
+    events = within(with_event_time(raw), interval)
+    events = events.filter((F.col("eventtype") == kind) & F.col(key).isNotNull() & F.col("event_at").isNotNull())
+    return events.groupBy(F.col(key).alias("key")).agg(F.min("event_at").alias("first_at"))
+
+
 def _current(
-    events: DataFrame, key: str, order: list[str], columns: list[str], interval: Interval, kind: str, first: str
+    events: DataFrame, key: str, order: list[str], columns: list[str], interval: Interval, kind: str, first: str,
+    begun: DataFrame | None = None,
 ) -> DataFrame:
     """Latest row per key with the time ``first`` of the key's earliest event of one kind."""
     earliest = first_time("eventtype", kind, "event_at", first)
     if interval is None:
         return latest_per_key(events, key, order, columns, extras=[earliest])
+    if begun is None and "event_date" not in events.columns:
+        return latest_per_key(events, key, order, columns, when=_inside(interval), extras=[earliest])
     recent = latest_per_key(within(events, interval), key, order, columns)
-    wanted = recent.select(F.col(key).alias("_wanted"))
-    begun = (
-        events.filter(F.col("eventtype") == kind).select(key, "event_at", "eventtype")
-        .join(wanted, F.col(key) == F.col("_wanted"), "left_semi").groupBy(key).agg(earliest)
-    )
+    if begun is None:
+        wanted = recent.select(F.col(key).alias("_wanted"))
+        begun = (
+            events.filter(F.col("eventtype") == kind).select(key, "event_at", "eventtype")
+            .join(wanted, F.col(key) == F.col("_wanted"), "left_semi").groupBy(key).agg(earliest)
+        )
+    else:
+        begun = begun.select(F.col("key").alias(key), F.col("first_at").alias(first))
     return recent.join(begun, key, "left")
 
 
@@ -85,7 +99,8 @@ POLICY_COLUMNS = [
 
 
 def policy(
-    raw: DataFrame, interval: Interval = None, *, carry_forward: bool = False, keep_tie: bool = False
+    raw: DataFrame, interval: Interval = None, *, carry_forward: bool = False, keep_tie: bool = False,
+    begun: DataFrame | None = None,
 ) -> DataFrame:
     """Latest of issued / changed / cancelled per policy.
 
@@ -106,7 +121,7 @@ def policy(
         first = events.groupBy("policyid").agg(issued)
         latest = state.join(first, "policyid", "left")
     else:
-        latest = _current(events, "policyid", order, columns + tie, interval, "PolicyIssued", "issued_at")
+        latest = _current(events, "policyid", order, columns + tie, interval, "PolicyIssued", "issued_at", begun)
     return latest.select(
         F.col("policyid").alias("policy_id"),
         F.col("policynumber").alias("policy_number"),
@@ -136,7 +151,9 @@ def coverage(raw: DataFrame, interval: Interval = None) -> DataFrame:
     )
 
 
-def invoice(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False) -> DataFrame:
+def invoice(
+    raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False, begun: DataFrame | None = None
+) -> DataFrame:
     """Latest billing event per invoice.  Payouts carry no invoice id and drop out."""
     tie = _tie(raw) if keep_tie else []
     events = with_event_time(raw).filter(
@@ -148,7 +165,7 @@ def invoice(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False
         events, "invoiceid", ["event_at", *_tie(raw)],
         ["invoicenumber", "policyid", "partnerid", "policynumber", "billingcycle", "totalamount",
          "duedate", "eventtype", "amountpaid", "paidat", "dunninglevel", "event_at", *tie],
-        interval, "InvoiceCreated", "created_at",
+        interval, "InvoiceCreated", "created_at", begun,
     )
     kind = F.col("eventtype")
     return latest.select(
@@ -173,7 +190,9 @@ def invoice(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False
     )
 
 
-def claim(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False) -> DataFrame:
+def claim(
+    raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False, begun: DataFrame | None = None
+) -> DataFrame:
     """Latest claim event per claim; the status comes from the payload."""
     tie = _tie(raw) if keep_tie else []
     events = with_event_time(raw).filter(
@@ -182,7 +201,7 @@ def claim(raw: DataFrame, interval: Interval = None, *, keep_tie: bool = False)
     latest = _current(
         events, "claimid", ["event_at", *_tie(raw)],
         ["claimnumber", "policyid", "description", "claimdate", "status", "event_at", *tie],
-        interval, "ClaimOpened", "opened_at",
+        interval, "ClaimOpened", "opened_at", begun,
     )
     return latest.select(
         F.col("claimid").alias("claim_id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +28,31 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _filesystem(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p)
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already, whoever made it."""
+    fs, p = filesystem(spark, path)
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    return True
+
+
 def _numbers(spark: SparkSession, path: str, prefix: str, start: int | None = None) -> list[int]:
     """The numbers N, from ``start`` on, of the committed sub-folders ``prefix``N."""
-    fs, p = _filesystem(spark, path)
+    fs, p = filesystem(spark, path)
     if not fs.exists(p):
         return []
     found = []
@@ -59,11 +72,14 @@ class SnapshotTable:
     """A table rewritten as a whole: each write is a new version, readers see the newest
     finished one, and a path being read is never overwritten.
 
-    A repeated write of the same version replaces it, so a retried job does no harm.
+    A version is claimed by creating a file that must not exist, so two writers never take one; the
+    newest ``kept`` versions stay.  A repeated write of a named version replaces it, so a retried job
+    does no harm.  Large tables under frequent loads are better kept in buckets
+    (:class:`firnlake.sources.buckets.BucketTable`).
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, kept: int = 10):
+        self.spark, self.path, self.kept = spark, path.rstrip("/"), kept
 
     def versions(self) -> list[int]:
         return _numbers(self.spark, self.path, "version=")
@@ -74,11 +90,19 @@ class SnapshotTable:
             return None
         return self.spark.read.parquet(f"{self.path}/version={done[-1]}")
 
+    def _claim(self) -> int:
+        done = self.versions()
+        version = done[-1] + 1 if done else 0
+        while not create_new(self.spark, f"{self.path}/_claims/{version}"):
+            version += 1
+        return version
+
     def write(self, df: DataFrame, version: int | None = None) -> int:
-        if version is None:
-            done = self.versions()
-            version = done[-1] + 1 if done else 0
+        version = self._claim() if version is None else version
         df.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        for old in self.versions()[: -self.kept]:
+            fs, p = filesystem(self.spark, f"{self.path}/version={old}")
+            fs.delete(p, True)
         return version
 
 
@@ -119,6 +143,10 @@ class ChangeLog:
             return self.spark.createDataFrame([], schema)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def only(self, batch_id: int) -> DataFrame:
+        """What one batch has logged."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
+
     def condense(self, before_batch: int, key: Sequence[str], order: Sequence[str]) -> None:
         """Write the base of all batches before ``before_batch``: the newest row per ``key``.
 
@@ -127,7 +155,18 @@ class ChangeLog:
         log = self.read(before_batch)
         rest = [c for c in log.columns if c not in key]
         newest = latest_per_key(log, key, order, rest)
-        newest.write.mode("overwrite").parquet(f"{self.path}/base={before_batch}")
+        self.write_base(newest, before_batch)
+
+    def write_base(self, df: DataFrame, before_batch: int) -> None:
+        """A base, and an end of what the base before it has replaced: folders stay few."""
+        df.write.mode("overwrite").parquet(f"{self.path}/base={before_batch}")
+        older = [n for n in _numbers(self.spark, self.path, "base=") if n < before_batch]
+        if not older:
+            return
+        gone = [f"batch={n}" for n in _numbers(self.spark, self.path, "batch=") if n < older[-1]]
+        for name in [*gone, *[f"base={n}" for n in older[:-1]]]:
+            fs, p = filesystem(self.spark, f"{self.path}/{name}")
+            fs.delete(p, True)
 
 
 def append_range(df: DataFrame, path: str, time: str, day: str = "event_date", unit: str = "day") -> None:
@@ -147,7 +186,20 @@ def append_range(df: DataFrame, path: str, time: str, day: str = "event_date", u
     )
 
 
-def rebuild(df: DataFrame, path: str, sort: Sequence[str] = ()) -> None:
-    """Full rebuild of a mart; sorting within files tightens their min/max statistics."""
+def rebuild(df: DataFrame, path: str, sort: Sequence[str] = (), kept: int = 2) -> None:
+    """Full rebuild of a mart (read it with :func:`rebuilt`).
+
+    The rows are written aside as a new version; it counts once it is finished, so readers never see a gap,
+    a job that reads the mart may rebuild it, and a job that fails leaves the old rows.  Sorting within files
+    tightens their min/max statistics.
+    """
     out = df.sortWithinPartitions(*sort) if sort else df
-    out.write.mode("overwrite").parquet(path)
+    SnapshotTable(df.sparkSession, path, kept).write(out)
+
+
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version of a rebuilt mart."""
+    found = SnapshotTable(spark, path).read()
+    if found is None:
+        raise FileNotFoundError(path)
+    return found

@@ -1,6 +1,11 @@
+import glob
+import io
+import os
 import random
+from contextlib import redirect_stdout
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -8,7 +13,8 @@ from conftest import as_set
 from firnlake.operators import lookup, merge, ordered
 from firnlake.operators.latest import latest_per_key
 from firnlake.plans.models import MODELS, run_interval
-from firnlake.sources.lake import ChangeLog, SnapshotTable, append_range
+from firnlake.sources.buckets import BucketTable
+from firnlake.sources.lake import ChangeLog, SnapshotTable, append_range, rebuild, rebuilt
 
 T0 = datetime(2024, 1, 1)
 ROW = "k string, v string, first timestamp, at timestamp"
@@ -86,6 +92,113 @@ def test_snapshot_versions_and_repeated_write(spark, tmp_path):
     assert table.versions() == [0, 1] and table.read().count() == 7
 
 
+def test_two_writers_take_two_versions_and_old_ones_go(spark, tmp_path):
+    one, two = (SnapshotTable(spark, str(tmp_path / "t"), kept=2) for _ in range(2))
+    assert (one._claim(), two._claim()) == (0, 1)  # both have read the same state
+    for _ in range(4):
+        one.write(spark.range(3))
+    assert len(one.versions()) == 2
+
+
+def test_rebuild_that_fails_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    rebuild(spark.range(4), path, ["id"])
+    broken = spark.range(100).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("no")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        rebuild(broken, path)
+    assert rebuilt(spark, path).count() == 4
+    rebuild(rebuilt(spark, path).filter("id > 0"), path)  # from itself
+    assert rebuilt(spark, path).count() == 3
+
+
+def bucket_files(path):
+    """Files and their times, by bucket folder."""
+    return {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{path}/data/*/_bucket=*/*.parquet")}
+
+
+def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = BucketTable(spark, path, "k", buckets=16)
+    assert table.read() is None and table.lookup(spark.createDataFrame([("a",)], "k string")) is None
+    rows = lambda ks, v: spark.createDataFrame([(f"k{i}", v) for i in ks] + [(None, v)], "k string, v int")
+    merged = lambda t, s: s if t is None else merge.upsert(t, s, "k")
+    table.merge(rows(range(200), 1), merged)
+    first, before = table.manifest(), bucket_files(path)
+    table.merge(rows([3, 300], 2), merged)
+    second = table.manifest()
+    hit = {str(b) for b in table.touched(rows([3, 300], 0).filter("k is not null"))}
+    assert {b for b in second["folders"] if second["folders"][b] != first["folders"].get(b)} == hit and len(hit) <= 2
+    after = bucket_files(path)
+    assert all(after[f] == t for f, t in before.items())
+    assert as_set(table.read()) == {(f"k{i}", 2 if i == 3 else 1) for i in range(200)} | {("k300", 2)}
+    found = table.lookup(rows([3], 0).filter("k is not null"))
+    assert {f.split("/_bucket=")[1].split("/")[0] for f in found.inputFiles()} <= hit
+    table.merge(spark.createDataFrame([], "k string, v int"), merged)
+    assert table.manifest()["version"] == second["version"]
+
+
+def test_writers_side_by_side_lose_nothing(spark, tmp_path):
+    """A second writer that commits in between is merged into, not overwritten."""
+    path = str(tmp_path / "t")
+    one, two = (BucketTable(spark, path, "k", buckets=4) for _ in range(2))
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k string, v int")
+    plain = lambda t, s: s if t is None else merge.upsert(t, s, "k")
+    one.merge(row("a", 1), plain)
+    calls = []
+
+    def slow(t, s):
+        calls.append(1)
+        if len(calls) == 1:
+            two.merge(row("b", 2), plain)
+            two.merge(row("c", 3), plain)
+        return plain(t, s)
+
+    one.merge(row("a", 9), slow)
+    assert len(calls) == 2 and as_set(one.read()) == {("a", 9), ("b", 2), ("c", 3)}
+    assert one.versions() == [1, 2, 3]
+
+
+def test_a_writer_that_dies_while_claiming_blocks_nobody(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = BucketTable(spark, path, "k", buckets=2, kept=1)
+    plain = lambda t, s: s if t is None else merge.upsert(t, s, "k")
+    row = lambda k: spark.createDataFrame([(k,)], "k string")
+    table.merge(row("a"), plain)
+    with open(f"{path}/manifests/{1:012d}.json", "w") as file:
+        file.write('{"buckets": 2')
+    assert as_set(table.read()) == {("a",)}
+    table.merge(row("b"), plain)
+    assert as_set(table.read()) == {("a",), ("b",)}
+    used = set(table.manifest()["folders"].values())
+    left = {os.path.relpath(p, path) for p in glob.glob(f"{path}/data/*/_bucket=*")}
+    assert used <= left
+
+
+def test_runs_over_dated_tables_read_their_dates_only(spark, tmp_path, sf):
+    """With the index of first events no run but the first reads a date outside its interval."""
+    from firnlake.plans import silver
+    from firnlake.plans.models import first_index
+    from firnlake.workload import starschema as star
+
+    raw = silver.with_event_time(star.claims_events(spark, sf)).withColumn("event_date", F.col("event_at").cast("date"))
+    raw.write.partitionBy("event_date").parquet(str(tmp_path / "raw"))
+    stored = spark.read.parquet(str(tmp_path / "raw"))
+    model = MODELS["claims_silver.claim"]
+    table = BucketTable(spark, str(tmp_path / "claim"), "claim_id", buckets=4)
+    intervals = [("2024-01-15", "2024-01-31 23:59:59"), ("2024-01-01", "2024-01-20"), ("2024-01-18", "2024-01-22")]
+    for interval in intervals:
+        run_interval(table, model, stored, interval)
+    assert as_set(table.read()) == as_set(silver.claim(raw).filter("updated_at <= '2024-01-31 23:59:59'"))
+    begun = first_index(table, model, stored, intervals[-1])
+    for df in (model.build(stored, intervals[-1], begun=begun), silver.first_events(stored, "claimid", "ClaimOpened", intervals[-1])):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            df.explain("formatted")
+        scans = [x for x in out.getvalue().split("Scan parquet") if "eventtype" in x.split("ReadSchema")[-1].split("\n")[0] and "ReadSchema" in x]
+        filters = [line for x in scans for line in x.splitlines() if line.startswith("PartitionFilters")]
+        assert filters and all("2024-01-18" in f and "2024-01-22" in f for f in filters)
+
+
 def test_change_log_batches_replace_themselves(spark, tmp_path):
     log = ChangeLog(spark, str(tmp_path / "log"), "id bigint")
     assert log.read().count() == 0
@@ -113,7 +226,7 @@ def test_model_interval_run(spark, tmp_path, sf):
 
     raw = star.claims_events(spark, sf)
     model = MODELS["claims_silver.claim"]
-    table = SnapshotTable(spark, str(tmp_path / "claim"))
+    table = BucketTable(spark, str(tmp_path / "claim"), "claim_id", buckets=4)
     for interval in [("2024-01-15", "2024-01-31 23:59:59"), ("2024-01-01", "2024-01-20")]:
         run_interval(table, model, raw, interval)
     assert as_set(table.read()) == as_set(silver.claim(raw).filter("updated_at <= '2024-01-31 23:59:59'"))
