@@ -3,7 +3,9 @@ from datetime import date, datetime, timedelta
 
 import pytest
 
-from firnlake.operators.intervals import resolve_validity
+from pyspark.sql import functions as F
+
+from firnlake.operators.intervals import components, resolve_validity
 
 SCHEMA = ("partner_id string, address_type string, address_id string, action string, valid_from date, "
           "valid_to date, arrived_at timestamp, arrival_id long")
@@ -16,10 +18,10 @@ def entries(spark, rows):
     )
 
 
-def run(spark, rows):
+def run(spark, rows, **kwargs):
     return {
         (r.partner_id, r.address_type, r.address_id): (r.valid_from, r.valid_to)
-        for r in resolve_validity(entries(spark, rows)).collect()
+        for r in resolve_validity(entries(spark, rows), **kwargs).collect()
     }
 
 
@@ -105,3 +107,24 @@ def test_random_against_brute_force(spark):
         a = f"a{rng.randrange(i + 1)}" if act == "UPDATE" else f"a{i}"
         rows.append((p, rng.choice(["RESIDENCE", "DELIVERY"]), a, act, f, e))
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, hot=5) == brute(rows)
+
+
+def test_a_hot_person_lies_in_many_components(spark):
+    """Spans of one person over many years: they fall apart into components that are folded one by one."""
+    rng = random.Random(11)
+    rows, starts = [], []
+    for i in range(4000):
+        move = rng.randrange(i) if i and rng.random() < 0.1 else None
+        day = rng.randrange(60_000) if move is None else starts[move] + rng.randrange(40)
+        starts.append(day)
+        f = D(1900, 1, 1) + timedelta(days=day)
+        e = None if day > 59_500 and rng.random() < 0.3 else f + timedelta(days=rng.randrange(20))
+        rows.append(("hot", "RESIDENCE", f"a{i if move is None else move}", "ADD" if move is None else "UPDATE", f, e))
+    rows += [("cold", "RESIDENCE", f"c{i}", "ADD", D(2020, 1, 1 + i), None) for i in range(5)]
+    assert run(spark, rows, hot=100) == brute(rows)
+    days = entries(spark, rows).filter("valid_to is null or valid_from <= valid_to").selectExpr(
+        "partner_id", "address_type", "address_id", "unix_date(valid_from) AS lo", "coalesce(unix_date(valid_to), 2147483647) AS hi")
+    parts = components(days).groupBy("partner_id").agg(F.countDistinct("part").alias("n")).collect()
+    n = {r.partner_id: r.n for r in parts}
+    assert n["hot"] > 50 and n["cold"] == 1
