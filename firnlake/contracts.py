@@ -5,6 +5,8 @@ A contract compiles to a read schema and to check expressions over the message t
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -60,32 +62,56 @@ class Contract:
     # --- checks over the JSON text -------------------------------------------------------
 
     def problems(self, found: Column) -> Column:
-        """What is wrong with a message: '' or e.g. ``missing:premium;extra:foo``.
-
-        ``found`` is the text parsed to a map (:func:`as_map`), NULL if it is no JSON object.
-        """
-        keys = F.map_keys(found)
-        needed = F.array(*[F.lit(f) for f in self.required])
-        known = F.array(*[F.lit(f) for f in self.fields])
-        missing = F.array_join(F.array_except(needed, keys), ",")
-        extra = F.array_join(F.sort_array(F.array_except(keys, known)), ",")
-        wrong = [
-            F.when(~F.try_element_at(found, F.lit(name)).isin(*allowed), f"value:{name}")
-            for name, allowed in self.allowed.items()
-        ]
-        for f in self.schema.fields:
-            text = F.try_element_at(found, F.lit(f.name))
-            if isinstance(f.dataType, T.ArrayType):
-                wrong.append(F.when(~text.startswith("["), f"type:{f.name}"))
-            elif not isinstance(f.dataType, T.StringType):
-                wrong.append(F.when(text.isNotNull() & text.try_cast(f.dataType).isNull(), f"type:{f.name}"))
-        listed = F.concat_ws(
-            ";",
-            F.when(missing != "", F.concat(F.lit("missing:"), missing)),
-            F.when(extra != "", F.concat(F.lit("extra:"), extra)),
-            *wrong,
-        )
-        return F.when(found.isNull(), "not a JSON object").otherwise(listed)
+        """What is wrong with a message of this topic (:func:`problems_by`)."""
+        spec = self.spec()
+        kinds = sorted({k["kind"] for k in spec["kinds"]} - {"array"})
+        return problems_by(found, F.from_json(F.lit(json.dumps(spec)), _SPEC), kinds)
+
+    def spec(self) -> dict:
+        """The checks as data: needed and known fields, allowed values, and fields that are no text."""
+        kinds = [(f.name, "array" if isinstance(f.dataType, T.ArrayType) else f.dataType.simpleString()) for f in self.schema.fields]
+        return {
+            "required": list(self.required), "known": list(self.fields),
+            "allowed": [{"name": n, "values": list(v)} for n, v in self.allowed.items()],
+            "kinds": [{"name": n, "kind": k} for n, k in kinds if k != "string"],
+        }
+
+
+_SPEC = (
+    "struct<required:array<string>,known:array<string>,allowed:array<struct<name:string,values:array<string>>>,"
+    "kinds:array<struct<name:string,kind:string>>>"
+)
+
+
+def problems_by(found: Column, spec: Column, kinds: Sequence[str]) -> Column:
+    """What is wrong with a message: '' or e.g. ``missing:premium;extra:foo``.
+
+    ``found`` is the text parsed to a map (:func:`as_map`), NULL if it is no JSON object; ``spec`` the checks of its
+    topic as data, so that one expression serves all topics.
+    """
+    keys = F.map_keys(found)
+    missing = F.array_join(F.array_except(spec["required"], keys), ",")
+    extra = F.array_join(F.sort_array(F.array_except(keys, spec["known"])), ",")
+
+    def value(check: Column) -> Column:
+        text = F.try_element_at(found, check["name"])
+        return F.when(text.isNotNull() & ~F.array_contains(check["values"], text), F.concat(F.lit("value:"), check["name"]))
+
+    def typed(check: Column) -> Column:
+        text = F.try_element_at(found, check["name"])
+        wrong = F.when(check["kind"] == "array", ~text.startswith("["))
+        for kind in kinds:
+            wrong = wrong.when(check["kind"] == kind, text.isNotNull() & text.try_cast(kind).isNull())
+        return F.when(wrong, F.concat(F.lit("type:"), check["name"]))
+
+    listed = F.concat_ws(
+        ";",
+        F.when(missing != "", F.concat(F.lit("missing:"), missing)),
+        F.when(extra != "", F.concat(F.lit("extra:"), extra)),
+        F.transform(spec["allowed"], value),
+        F.transform(spec["kinds"], typed),
+    )
+    return F.when(found.isNull(), "not a JSON object").otherwise(listed)
 
 
 def as_map(text: Column | str = "value") -> Column:
@@ -301,13 +327,18 @@ def with_reason(
 
     The text is parsed once.  Topics without a contract are judged by ``every_topic``, if given.
     """
-    parsed = messages.withColumn("_found", as_map("value"))
-    found = F.col("_found")
-    reason = F.lit("unknown topic") if every_topic is None else every_topic.problems(found)
-    for topic, contract in contracts.items():
-        if contract is not every_topic:
-            reason = F.when(F.col("topic") == topic, contract.problems(found)).otherwise(reason)
-    return parsed.withColumn("reason", reason).drop("_found")
+    known = {t: c.spec() for t, c in contracts.items()}
+    every = every_topic.spec() if every_topic else None
+    kinds = sorted({k["kind"] for s in [*known.values(), *([every] if every else [])] for k in s["kinds"]} - {"array"})
+    if every and all(c is every_topic for c in contracts.values()):
+        spec = F.from_json(F.lit(json.dumps(every)), _SPEC)
+    else:
+        spec = F.try_element_at(F.from_json(F.lit(json.dumps(known)), f"map<string,{_SPEC}>"), F.col("topic"))
+        spec = F.coalesce(spec, F.from_json(F.lit(json.dumps(every)), _SPEC)) if every else spec
+    # each is evaluated once per message
+    parsed = messages.withColumns({"_found": as_map("value"), "_spec": spec})
+    reason = problems_by(F.col("_found"), F.col("_spec"), kinds)
+    return parsed.withColumn("reason", F.when(F.col("_spec").isNull(), "unknown topic").otherwise(reason)).drop("_found", "_spec")
 
 
 def contract_report(messages: DataFrame, contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
@@ -319,23 +350,15 @@ def contract_report(messages: DataFrame, contracts: dict[str, Contract] = CONTRA
     )
 
 
-def duplicate_keys(messages: DataFrame, contract: Contract) -> DataFrame:
-    """Values of the contract's unique fields that occur more than once."""
-    parts = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(f).alias("field"), F.get_json_object("value", f"$.{f}").alias("key")
-                )
-                for f in contract.unique
-            ]
-        )
-    ).alias("u")
-    return (
-        messages.select(parts)
-        .select("u.*")
-        .filter(F.col("key").isNotNull())
-        .groupBy("field", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-    )
+def duplicates(messages: DataFrame, contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
+    """(topic, field, key, n): repeated values of the unique fields of all topics, in one pass.
+
+    Counts are summed in each task, so a value with a third of all messages is no hot key.
+    """
+    fields = None
+    for topic, contract in contracts.items():
+        if contract.unique:
+            listed = F.array(*[F.struct(F.lit(f).alias("field"), F.get_json_object("value", f"$.{f}").alias("key")) for f in contract.unique])
+            fields = F.when(F.col("topic") == topic, listed) if fields is None else fields.when(F.col("topic") == topic, listed)
+    found = messages.select("topic", F.explode(fields).alias("u")).select("topic", "u.*").filter(F.col("key").isNotNull())
+    return found.groupBy("topic", "field", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from firnlake.contracts import CONTRACTS, split_valid, with_reason
 from firnlake.sources.lake import exists
-from firnlake.sources.topics import parse
+from firnlake.sources.topics import MESSAGE, parse
 
 COMMIT_INTERVAL = "10 seconds"  # fixed: how often landed rows become visible
+CONDENSE_EVERY = 200  # batches between two bases of a log
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+REJECT = "topic string, key string, value string, created_at timestamp, reason string"
 
 BatchHandler = Callable[[DataFrame, int], None]
 
@@ -50,6 +55,54 @@ def land_topics(
     return [land_topic(messages, t, raw_path, checkpoint, **kwargs) for t in topics]
 
 
+def land_all(
+    messages: DataFrame, raw_path: str, checkpoint: str, *, topics: Sequence[str] = tuple(CONTRACTS),
+    unit: str = "day", once: bool = False, interval: str = COMMIT_INTERVAL,
+) -> StreamingQuery:
+    """All topics and their rejects landed by one query: a batch is read and checked once.
+
+    The rows of a topic go to ``raw_path``/topic by event date and batch (read them with :func:`landed`),
+    messages that break their contract, or belong to no topic, to ``raw_path``/_rejects by batch.  A batch
+    that is delivered again replaces its own files.  ``unit`` month or year makes fewer folders when a
+    batch holds a long history.
+    """
+    folder = "event_date" if unit == "day" else f"event_{unit}"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        known = {t: CONTRACTS[t] for t in topics}
+        checked = with_reason(batch, known).persist()
+        try:
+            # at most one value per contract, and one for the rest
+            present = {r.topic for r in checked.select(F.when(F.col("topic").isin(*topics), F.col("topic")).alias("topic")).distinct().collect()}
+            dead_letters(f"{raw_path}/_rejects", checked.filter("reason != ''"), batch_id)
+            good = checked.filter("reason = ''")
+            for topic in sorted(present - {None}):
+                rows = parse(good, CONTRACTS[topic]).withColumn("batch", F.lit(batch_id).cast("bigint"))
+                if unit != "day":
+                    rows = rows.withColumn(folder, F.date_trunc(unit, "event_date").cast("date"))
+                # a day's rows of a batch in a few files, not one from every task
+                (
+                    rows.repartition(folder, F.pmod(F.xxhash64(*rows.columns[:3]), F.lit(FILES_A_FOLDER)))
+                    .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                    .partitionBy(folder, "batch").parquet(f"{raw_path}/{topic}")
+                )
+        finally:
+            checked.unpersist()
+
+    return each_batch(messages, handle, f"{checkpoint}/_all", once=once, interval=interval)
+
+
+FILES_A_FOLDER = 4  # a hot day of a batch is at most so many files of a topic
+
+
+def landed(spark: SparkSession, raw_path: str, topic: str) -> DataFrame:
+    """The rows of a topic that :func:`land_all` has landed so far, whatever its unit."""
+    empty = parse(spark.createDataFrame([], MESSAGE), CONTRACTS[topic])
+    if not exists(spark, f"{raw_path}/{topic}"):
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{raw_path}/{topic}").select(*empty.columns)
+
+
 def land_rejects(
     messages: DataFrame, path: str, checkpoint: str, *, once: bool = False, interval: str = COMMIT_INTERVAL
 ) -> StreamingQuery:
@@ -65,14 +118,14 @@ def land_rejects(
 
 def each_batch(
     messages: DataFrame, handler: BatchHandler, checkpoint: str, *, once: bool = False,
-    interval: str = COMMIT_INTERVAL,
+    interval: str = COMMIT_INTERVAL, output: str = "append",
 ) -> StreamingQuery:
-    """Run ``handler(batch, batch_id)`` per micro-batch.
+    """Run ``handler(batch, batch_id)`` per micro-batch; ``output`` update gives changed groups.
 
     A batch may be delivered again after a failure; handlers write to places named by the
     batch id, so that the second delivery replaces the first.
     """
-    writer = messages.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    writer = messages.writeStream.foreachBatch(handler).outputMode(output).option("checkpointLocation", checkpoint)
     return _triggered(writer, once, interval).start()
 
 
@@ -92,6 +145,33 @@ def _days(spark: SparkSession, path: str, days: Sequence[str], schema: str) -> D
     return spark.read.schema(stored).option("basePath", path).parquet(*there)
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """State of streams on the executors' disks, unless the session names another store."""
+    if spark.conf.get(STATE_STORE, None) in (None, "", _MEMORY):
+        spark.conf.set(STATE_STORE, ON_DISK)
+
+
+# Fixed value: Spark's own default, which holds all keys in memory.
+_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def keep_rejects(
+    messages: DataFrame, reason: Column, path: str, checkpoint: str, *, once: bool = False, interval: str = COMMIT_INTERVAL
+) -> StreamingQuery:
+    """Dead letters of a stream whose handler does not see single messages: those with a ``reason``."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        dead_letters(path, batch.withColumn("reason", reason).filter("reason != ''"), batch_id)
+
+    return each_batch(messages, handle, checkpoint, once=once, interval=interval)
+
+
+def _identity(id_column: str, columns: Sequence[str]) -> Column:
+    """The event's id; of an event without one, the hash of all it says."""
+    said = F.to_json(F.struct(*[F.col(c) for c in columns]))
+    return F.coalesce(F.concat(F.lit("id:"), F.col(id_column).cast("string")), F.concat(F.lit("said:"), F.sha2(said, 256)))
+
+
 def without_repeats(
     events: DataFrame, id_column: str, time: str, path: str, *, once: bool = False, interval: str = COMMIT_INTERVAL
 ) -> StreamingQuery:
@@ -99,11 +179,13 @@ def without_repeats(
 
     New events are kept below ``path`` by event date and batch (read them with :func:`passed_on`),
     and a batch is compared with the dates it touches only.  A repeat carries the time of its
-    original.  A batch that is delivered again replaces its own rows.
+    original.  An event without id is known by all its columns; of different events with one id in a batch
+    the earliest stays, then the first by text.  A batch that is delivered again replaces its own rows.
     """
     spark = events.sparkSession
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
     stored = f"{path}/passed"
+    names = events.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         dated = batch.withColumn("event_date", F.col(time).cast("date")).persist()
@@ -111,7 +193,11 @@ def without_repeats(
             # at most one value per calendar day of the batch
             days = [r[0] for r in dated.select(F.coalesce(F.col("event_date").cast("string"), F.lit(NO_DATE))).distinct().collect()]
             seen = _days(spark, stored, days, schema).filter(F.col("batch") < batch_id)
-            fresh = dated.dropDuplicates([id_column]).join(seen.select(id_column), id_column, "left_anti")
+            seen = seen.select(_identity(id_column, names).alias("_seen")).distinct()
+            row = F.struct(*[F.col(c) for c in (*names, "event_date")])
+            order = F.struct(F.col(time), F.to_json(row))
+            single = dated.groupBy(_identity(id_column, names).alias("_event")).agg(F.min_by(row, order).alias("_row"))
+            fresh = single.join(seen, F.col("_event") == F.col("_seen"), "left_anti").select("_row.*")
             (
                 fresh.withColumn("batch", F.lit(batch_id).cast("bigint"))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

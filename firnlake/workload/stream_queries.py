@@ -15,6 +15,7 @@ from firnlake.contracts import CONTRACTS
 from firnlake.plans import silver
 from firnlake.plans.models import MODELS, current_state, keep_current
 from firnlake.session import new_path
+from firnlake.sources.buckets import BucketTable
 from firnlake.sources.outbox import write_topics
 from firnlake.sources.topics import parse, raw_table, stream_messages, union_wide
 from firnlake.streaming import reactions, read_models, run
@@ -144,7 +145,7 @@ _INVOICE_ID = q._uuid_sql("concat('invoice:', policyid)")
 
 def _billed(spark, messages: DataFrame, label: str, deliveries: int) -> DataFrame:
     source, home = staged(spark, messages, label, deliveries), new_path(spark, label)
-    run.finish([reactions.bill_policies(feed(spark, source, 1, deliveries), home, once=True)])
+    run.finish(reactions.bill_policies(feed(spark, source, 1, deliveries), home, once=True))
     return reactions.invoices(spark, home)
 
 
@@ -175,7 +176,7 @@ def stream_cancel_cascade(spark, d):
     source, home = new_path(spark, "topic-cascade"), new_path(spark, "cascade")
     for topic in ("policy.v1.issued", "policy.v1.cancelled"):
         write_topics(messages.filter(F.col("topic") == topic), source)
-        run.finish([reactions.bill_policies(stream_messages(spark, source), home, once=True)])
+        run.finish(reactions.bill_policies(stream_messages(spark, source), home, once=True))
     return reactions.invoices(spark, home).select("policy_id", "status")
 
 
@@ -190,20 +191,13 @@ def stream_cancel_cascade(spark, d):
     WHERE c.eventtype = 'ClaimSettled'""",
 )
 def stream_payout(spark, d):
-    """Settlements joined in flight with the payee of each policy."""
+    """Settlements joined in flight with the payee of each policy, read from the buckets they fall into."""
     settled = q.claim_messages(spark, d).filter(F.col("topic") == "claims.v1.settled")
-    source, home = staged(spark, settled, "settled"), new_path(spark, "payout")
-    known = new_path(spark, "payee-invoices")
-    q.s_invoice(spark, d).select(
-        "policy_id", "partner_id", "invoice_id", F.col("created_at").alias("invoice_date")
-    ).write.parquet(known)
-    paid = reactions.payouts(feed(spark, source), spark.read.parquet(known))
-    started = (
-        paid.writeStream.format("parquet").option("path", f"{home}/out")
-        .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-    )
-    run.finish([started])
-    return spark.read.schema(paid.schema).parquet(f"{home}/out")
+    source, home, payees = staged(spark, settled, "settled"), new_path(spark, "payout"), new_path(spark, "payees")
+    invoices = q.s_invoice(spark, d).select("policy_id", "partner_id", F.col("created_at").alias("invoice_date"), "invoice_id")
+    reactions.keep_payees(BucketTable(spark, payees, "policy_id"), invoices)
+    run.finish([reactions.pay_claims(feed(spark, source), payees, home, once=True)])
+    return reactions.paid_claims(spark, home)
 
 
 @query(
@@ -222,7 +216,7 @@ def stream_insured_numbers(spark, d):
     people = q.star.persons(spark, d).select(
         F.col("personid").alias("partner_id"), F.lit(None).cast("string").alias("insured_number")
     )
-    run.finish([reactions.assign_numbers(feed(spark, source, deliveries=2), people, home, once=True)])
+    run.finish(reactions.assign_numbers(feed(spark, source, deliveries=2), people, home, once=True))
     given = reactions.numbers(spark, home)
     holders = given.groupBy(F.col("insured_number").alias("held")).agg(F.count(F.lit(1)).alias("holders"))
     total = given.count()
@@ -275,6 +269,23 @@ def stream_landing_rejects(spark, d):
     return rejects.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
+@query(
+    "stream_landing_all",
+    f"SELECT topic, count(*) FILTER (reason = '') AS landed, count(*) FILTER (reason <> '') AS rejected FROM ({q._REPORT}) GROUP BY 1",
+)
+def stream_landing_all(spark, d):
+    """Every topic landed by one query, which reads and checks each batch once, with its rejects."""
+    sent = q.all_messages(spark, d)
+    source, home = staged(spark, sent, "all"), new_path(spark, "landing-all")
+    stream = feed(spark, source, len(CONTRACTS))
+    run.finish([run.land_all(stream, f"{home}/raw", f"{home}/checkpoint", unit="year", once=True)])
+    one, none = F.lit(1), F.lit(0)
+    counts = [run.landed(spark, f"{home}/raw", t).select(F.lit(t).alias("topic"), one.alias("landed"), none.alias("rejected")) for t in CONTRACTS]
+    rejects = spark.read.schema(run.REJECT).parquet(f"{home}/raw/_rejects")
+    counts.append(rejects.select("topic", none.alias("landed"), one.alias("rejected")))
+    return reduce(DataFrame.unionByName, counts).groupBy("topic").agg(F.sum("landed").alias("landed"), F.sum("rejected").alias("rejected"))
+
+
 @query(
     "stream_landing_hr",
     f"""SELECT topic, count(*) FILTER (reason = '') AS landed, count(*) FILTER (reason <> '') AS rejected

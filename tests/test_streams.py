@@ -1,4 +1,6 @@
 import json
+import os
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_set
 from firnlake.contracts import CONTRACTS
+from firnlake.sources.lake import ChangeLog
 from firnlake.sources.outbox import write_topics
 from firnlake.sources.topics import MESSAGE, parse, raw_table, stream_messages
 from firnlake.streaming import reactions, read_models, run
@@ -27,7 +30,8 @@ def deliver(spark, tmp_path, parts, start):
     source = str(tmp_path / "topics")
     for part in parts:
         write_topics(part.coalesce(1), source)
-        run.finish([start(stream_messages(spark, source))])
+        started = start(stream_messages(spark, source))
+        run.finish(started if isinstance(started, list) else [started])
 
 
 def chunks(rows, n):
@@ -167,29 +171,124 @@ def test_invoices_once_and_cancelled(spark, tmp_path):
         assert {r.key for r in read_models.rejected(spark, home).collect()} == {"3", "?"}
 
 
-def test_redelivered_batch_changes_nothing(spark, tmp_path):
-    """The handler of a batch may run twice; its second run replaces the first."""
-    from firnlake.sources.lake import ChangeLog
+def redeliver(home):
+    """Forget that the last batch was finished, as if the job had died before saying so."""
+    commits = os.path.join(home, "checkpoint", "commits")
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, name)):
+            os.remove(os.path.join(commits, name))
 
-    log = ChangeLog(spark, str(tmp_path / "log"), reactions.NUMBER_LOG)
-    people = spark.createDataFrame([("a", None), ("b", None), ("c", "VN-00000009")], "partner_id string, insured_number string")
-    batch = messages(spark, [("policy.v1.issued", "1", issued("1", "b")), ("policy.v1.issued", "2", issued("2", "a")),
-                             ("policy.v1.issued", "3", issued("3", "c")), ("policy.v1.issued", "4", issued("4", "nobody"))])
-    for _ in range(2):
-        taken = log.read(before_batch=0)
-        log.append(reactions.new_numbers(batch, people, taken, 0), 0)
-    assert as_set(log.read().select("partner_id", "insured_number")) == {("b", "VN-00000001"), ("a", "VN-00000002")}
 
+def test_billing_reads_no_history(spark, tmp_path):
+    """What was billed before is known from the keyed state: a batch neither reads nor needs the log."""
+    home = str(tmp_path / "home")
+    start = lambda s: reactions.bill_policies(s, home, once=True)
+    rows = [("policy.v1.issued", str(i), issued(str(i)), 0) for i in range(40)]
+    deliver(spark, tmp_path, [messages(spark, rows)], start)
+    log = ChangeLog(spark, f"{home}/log", reactions.INVOICE_LOG)
+    before = as_set(log.read())
+    for n in sorted(os.listdir(f"{home}/log")):
+        shutil.copytree(f"{home}/log/{n}", str(tmp_path / "kept" / n))
+        shutil.rmtree(f"{home}/log/{n}")
+    repeats = [("policy.v1.issued", "1", issued("1", premium="9.00"), 5), ("policy.v1.cancelled", "2", {"policyId": "2"}, 6),
+               ("policy.v1.issued", "new", issued("new"), 7)]
+    deliver(spark, tmp_path, [messages(spark, repeats)], start)
+    got = {(r.policy_id, str(r.total_amount_chf), r.status) for r in log.read().collect()}
+    assert got == {("1", "100.00", "OPEN"), ("2", "100.00", "CANCELLED"), ("new", "100.00", "OPEN")}
+    assert len(before) == 40
+
+
+def test_redelivered_billing_batch_changes_nothing(spark, tmp_path):
+    home = str(tmp_path / "home")
+    start = lambda s: reactions.bill_policies(s, home, once=True)
+    parts = [[("policy.v1.issued", "1", issued("1"), 0), ("policy.v1.issued", "2", issued("2"), 1)],
+             [("policy.v1.cancelled", "2", {"policyId": "2"}, 5), ("policy.v1.issued", "3", issued("3"), 6)]]
+    deliver(spark, tmp_path, [messages(spark, p) for p in parts], start)
+    want = as_set(ChangeLog(spark, f"{home}/log", reactions.INVOICE_LOG).read())
+    redeliver(home)
+    run.finish(start(stream_messages(spark, str(tmp_path / "topics"))))
+    assert as_set(ChangeLog(spark, f"{home}/log", reactions.INVOICE_LOG).read()) == want
+    assert {r.policy_id: r.status for r in reactions.invoices(spark, home).collect()} == {"1": "OPEN", "2": "CANCELLED", "3": "OPEN"}
+
+
+def test_cancellation_before_the_issue_changes_nothing(spark, tmp_path):
+    rows = [("policy.v1.cancelled", "1", {"policyId": "1"}, 0), ("policy.v1.issued", "1", issued("1"), 3)]
+    for n in (1, 2):
+        where = tmp_path / str(n)
+        deliver(spark, where, [messages(spark, c) for c in chunks(rows, n)], lambda s: reactions.bill_policies(s, str(where / "home"), once=True))
+        assert [r.status for r in reactions.invoices(spark, str(where / "home")).collect()] == ["OPEN"]
 
-def test_numbers_continue_over_batches(spark, tmp_path):
-    people = spark.createDataFrame([(p, None) for p in "abcd"], "partner_id string, insured_number string")
+
+def test_numbers_continue_over_batches_and_redelivery(spark, tmp_path):
+    people = spark.createDataFrame([(p, None) for p in "abcd"] + [("e", "VN-00000009")], "partner_id string, insured_number string")
     home = str(tmp_path / "home")
+    start = lambda s: reactions.assign_numbers(s, people, home, once=True)
     deliver(spark, tmp_path, [
-        messages(spark, [("policy.v1.issued", "1", issued("1", "b")), ("policy.v1.issued", "2", issued("2", "a"))]),
+        messages(spark, [("policy.v1.issued", "1", issued("1", "b")), ("policy.v1.issued", "2", issued("2", "a")),
+                         ("policy.v1.issued", "6", issued("6", "e")), ("policy.v1.issued", "7", issued("7", "nobody"))]),
         messages(spark, [("policy.v1.issued", "3", issued("3", "b")), ("policy.v1.issued", "4", issued("4", "d")),
                          ("policy.v1.issued", "5", {"policyId": "5"})]),
-    ], lambda s: reactions.assign_numbers(s, people, home, once=True))
-    assert as_set(reactions.numbers(spark, home).select("partner_id", "sequence")) == {("b", 1), ("a", 2), ("d", 3)}
+    ], start)
+    want = {("b", 1), ("a", 2), ("d", 3)}
+    assert as_set(reactions.numbers(spark, home).select("partner_id", "sequence")) == want
+    redeliver(home)
+    run.finish(start(stream_messages(spark, str(tmp_path / "topics"))))
+    assert as_set(reactions.numbers(spark, home).select("partner_id", "sequence")) == want
+    deliver(spark, tmp_path, [messages(spark, [("policy.v1.issued", "8", issued("8", "c"))])], start)
+    assert as_set(reactions.numbers(spark, home).select("partner_id", "sequence")) == want | {("c", 4)}
+    rejected = spark.read.schema(run.REJECT).parquet(f"{home}/dead-letters/unknown").unionByName(
+        spark.read.schema(run.REJECT).parquet(f"{home}/dead-letters/incomplete"))
+    assert {(r.key, r.reason) for r in rejected.collect()} == {("nobody", "partner is not known"), ("5", "partnerId is missing")}
+
+
+def test_invoice_between_two_batches_pays_out(spark, tmp_path):
+    payees, home = str(tmp_path / "payees"), str(tmp_path / "pay")
+    bills = lambda s: reactions.bill_policies(s, str(tmp_path / "bill"), payees=payees, once=True)
+    settled = lambda c, p, a="10.50": ("claims.v1.settled", c, {"claimId": c, "policyId": p, "settlementAmount": a})
+    pay = lambda rows: deliver(spark, tmp_path / "claims", [messages(spark, rows)], lambda s: reactions.pay_claims(s, payees, home, once=True))
+    pay([settled("c0", "p1")])
+    deliver(spark, tmp_path / "policies", [messages(spark, [("policy.v1.issued", "p1", issued("p1", "anna"))])], bills)
+    pay([settled("c1", "p1"), settled("c2", "p2"), settled("c3", "p1", None), settled("c4", "p1", "much"), settled(" ", "p1")])
+    deliver(spark, tmp_path / "policies", [messages(spark, [("policy.v1.issued", "p2", issued("p2", "bert"))])], bills)
+    pay([settled("c5", "p2")])
+    paid = {(r.claim_id, r.partner_id, str(r.settlement_amount_chf)) for r in reactions.paid_claims(spark, home).collect()}
+    assert paid == {("c1", "anna", "10.50"), ("c5", "bert", "10.50")}
+    assert {(r.key, r.reason) for r in read_models.rejected(spark, home).collect()} == {
+        ("c0", "no invoice of the policy"), ("c2", "no invoice of the policy"), ("c3", "settlementAmount is missing"),
+        ("c4", "settlementAmount is not a number"), (" ", "claimId is missing")}
+
+
+def test_all_topics_land_by_one_query(spark, tmp_path):
+    rows = [
+        ("claims.v1.opened", "c", {"eventId": "e1", "eventType": "ClaimOpened", "claimId": "c", "timestamp": "2024-01-01T10:00:00Z"}),
+        ("person.v1.deleted", "p", {"eventId": "e2", "eventType": "PersonDeleted", "personId": "p", "timestamp": "2024-01-02T10:00:00Z"}),
+        ("person.v1.deleted", "q", {"eventId": "e3", "eventType": "PersonDeleted", "personId": "q", "timestamp": "when?"}),
+        ("billing.v1.payment-received", "i", "no json"), ("other.topic", "x", {"a": 1}),
+    ]
+    raw = str(tmp_path / "raw")
+    start = lambda s: run.land_all(s, raw, str(tmp_path), once=True)
+    deliver(spark, tmp_path, [messages(spark, rows[:2]), messages(spark, rows[2:])], start)
+    deleted = run.landed(spark, raw, "person.v1.deleted")
+    assert deleted.columns == parse(messages(spark, rows), CONTRACTS["person.v1.deleted"]).columns
+    assert {(r.personid, str(r.event_date)) for r in deleted.collect()} == {("p", "2024-01-02"), ("q", "None")}
+    assert run.landed(spark, raw, "hr.v1.employee.state").isEmpty()
+    rejects = {(r.topic, r.reason.split(":")[0]) for r in spark.read.schema(run.REJECT).parquet(f"{raw}/_rejects").collect()}
+    assert rejects == {("claims.v1.opened", "missing"), ("billing.v1.payment-received", "not a JSON object"), ("other.topic", "unknown topic")}
+
+
+def test_events_without_id_are_kept(spark, tmp_path):
+    """Three events without id in one batch, one of them twice, and two different ones under one id."""
+    said = ["a", "b", "c", "a"]
+    rows = [("claims.v1.opened", "c", {"claimId": x, "timestamp": "2024-01-01T00:00:00Z"}) for x in said]
+    rows += [("claims.v1.opened", "c", {"eventId": "e", "claimId": x, "timestamp": f"2024-01-01T00:0{i}:00Z"}) for x, i in (("late", 5), ("early", 1))]
+    source, out = str(tmp_path / "topics"), str(tmp_path / "out")
+    for part in (rows, rows[:2]):
+        write_topics(messages(spark, part), source)
+        events = parse(stream_messages(spark, source), CONTRACTS["claims.v1.opened"]).select("eventid", "claimid", "event_at")
+        run.finish([run.without_repeats(events, "eventid", "event_at", out, once=True)])
+    got = sorted((r.eventid or "", r.claimid) for r in run.passed_on(spark, out, events.schema).collect())
+    assert got == [("", "a"), ("", "b"), ("", "c"), ("e", "early")]
 
 
 def test_payouts_use_newest_invoice(spark):
