@@ -15,9 +15,9 @@ the order of md5(seed, epoch, doc_id). The prefix ends with the document that re
 To find it without sorting a whole leaf in one task, the tokens of a leaf are first summed by the
 first digits of the hash (``16 ** DIGITS`` slots); only the slot in which the budget ends is sorted.
 
-Defined results: null domain, language or source is the group ''. A null text has no tokens.
-Documents with the same id tie in the order; the text's hash settles it, equal rows are taken or
-left together up to the budget. Leaves without a positive weight get nothing. A budget above the
+Defined results: null domain, language or source is the group ''. A null text has no tokens; a null id
+counts as ''. Documents with the same id, or none, tie in the order; the text's hash settles it, and of rows equal
+in both as many are taken as the budget needs. Leaves without a positive weight get nothing. A budget above the
 capacity of the whole tree takes everything. An empty table gives no rows. Other columns pass
 through; columns named like the result's are replaced.
 """
@@ -102,17 +102,18 @@ def mix(
     ``share`` is the token budget relative to the tokens of the table.
     """
     tokens = word_tokens() if tokens is None else tokens
-    kept = [c for c in docs.columns if c not in ("domain", "epoch", "tokens")]
+    kept = [c for c in docs.columns if c.lower() not in ("domain", "epoch", "tokens")]
     sized = docs.select(
         *kept,
         F.coalesce(domain, F.lit("")).alias("domain"),
         tokens.alias("tokens"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"),
+        F.xxhash64("text").alias("__tie"),
     )
     # the texts are read once for the figures and once for the result
     slim = stored(
-        sized.select("doc_id", "domain", F.col("__lang").alias("lang"), F.col("__source").alias("source"), "tokens", F.xxhash64("text").alias("tie")),
+        sized.select("doc_id", "domain", F.col("__lang").alias("lang"), F.col("__source").alias("source"), "tokens", "__tie"),
         "mixing-sizes",
     )
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
@@ -127,7 +128,8 @@ def mix(
 
     def planned(rows: DataFrame, columns: list[str]) -> DataFrame:
         """Members of the leaves with their place in the begun epoch."""
-        key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("__whole").cast("string"), F.col("doc_id").cast("string")))
+        name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("__whole").cast("string"), name))
         on = [F.col(a) == F.col(b) for a, b in zip(columns, leaf, strict=True)]
         return rows.join(plan, on).withColumn("__key", key)
 
@@ -141,20 +143,34 @@ def mix(
         .where("__before < __rest AND __before + __in_slot >= __rest")
         .select(*leaf, "__slot", "__before")
     )
-    inside = Window.partitionBy(*leaf).orderBy("__key", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*leaf).orderBy("__key", "__tie")
+    inside = order.rowsBetween(Window.unboundedPreceding, -1)
+    equal = Window.partitionBy(*leaf, "__key", "__tie")
+    last = F.struct("__key", "__tie", (F.row_number().over(order) - F.rank().over(order) + 1).alias("nth"), F.count(F.lit(1)).over(equal).alias("ties"))
     ends = (
         begun.join(edge, [*leaf, "__slot"])
         .withColumn("__sum", F.col("__before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+        .withColumn("__last", last)
         .where("__sum < __rest")
         .groupBy(*leaf)
-        .agg(F.max("__key").alias("__last"))
+        .agg(F.max("__last").alias("__last"))
         .select(*[F.col(c).alias(f"__l_{c}") for c in leaf], "__last")
     )
+    ends = stored(ends, "mixing-ends")
     marked = planned(sized, ["domain", "__lang", "__source"]).join(ends, [F.col(c) == F.col(f"__l_{c}") for c in leaf], "left")
-    taken = F.coalesce((F.col("__rest") > 0) & (F.col("__key") <= F.col("__last")), F.lit(False))
+    begins = F.col("__rest") > 0
+    tied = F.coalesce(begins & (F.col("__key") == F.col("__last.__key")) & (F.col("__tie") == F.col("__last.__tie")), F.lit(False))
+    before = F.coalesce(begins & (F.struct("__key", "__tie") <= F.struct("__last.__key", "__last.__tie")), F.lit(False))
+    marked = marked.withColumn("__taken", before)
+    if not ends.where("__last.nth < __last.ties").isEmpty():
+        # the budget ends among equal rows: they alone are numbered
+        parted = tied & (F.col("__last.nth") < F.col("__last.ties"))
+        number = F.row_number().over(Window.partitionBy(*leaf).orderBy("__tie"))
+        some = marked.where(parted).withColumn("__taken", number <= F.col("__last.nth"))
+        marked = marked.where(~parted).unionByName(some)
     return (
-        marked.where((F.col("__whole") > 0) | taken)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1 + taken.cast("int"))))
+        marked.where("__whole > 0 OR __taken")
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1 + F.col("__taken").cast("int"))))
         .select(*kept, "domain", "tokens", "epoch")
     )
 
@@ -220,9 +236,9 @@ WITH sized AS (
   SELECT sized.*, leaf_budget // leaf_tokens AS whole_epochs, leaf_budget % leaf_tokens AS rest
   FROM sized JOIN s4 USING (domain, l, s)
 ), k AS (
-  SELECT *, md5('8/' || whole_epochs || '/' || doc_id) AS key FROM p
+  SELECT *, md5('8/' || whole_epochs || '/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM p
 ), q AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY key, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k
 ), e AS (
   SELECT *, whole_epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS times FROM q
 )

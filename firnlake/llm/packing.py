@@ -61,10 +61,11 @@ class Encoder:
 
     The merges run in ``tiktoken`` with the ranks of the same file. A text whose white space is
     single separators falls into parts at its spaces that are encoded on their own; their ids are
-    kept in a table of bounded size; those not in it are encoded together. Other texts are encoded whole.
+    kept in a table of bounded size; those not in it are encoded together. Other texts are encoded whole, and
+    those that ``tiktoken`` gives up (a million blanks in a row) by the ``tokenizers`` library itself.
     """
 
-    KEPT = 200_000
+    KEPT = 50_000
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -79,6 +80,7 @@ class Encoder:
             for piece, rank in spec["model"]["vocab"].items()
             if piece not in special
         }
+        self.path, self.plain = path, None
         self.special = special
         self.coder = tiktoken.Encoding(
             "byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
@@ -88,9 +90,19 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        ids = self.coder.encode(text, allowed_special="all") if self.special else self.coder.encode_ordinary(text)
+        try:
+            ids = self.coder.encode(text, allowed_special="all") if self.special else self.coder.encode_ordinary(text)
+        except ValueError:  # the pattern's stack has an end
+            ids = self._plainly(text)
         return np.array(ids, dtype="<u4")
 
+    def _plainly(self, text: str) -> list[int]:
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return self.plain.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""

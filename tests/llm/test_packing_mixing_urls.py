@@ -32,6 +32,14 @@ def test_encoder_equals_tokenizer(tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(spark, tokenizer):
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "a b" + "\n" * 1_200_000 + " c", "x" + "\t \u00a0" * 400_000):
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, " " * 1_000_001), (2, "a b")], "doc_id long, text string")
+    assert packing.pack(docs).select("doc_id").distinct().count() == 2
+
+
 def test_pieces_tile_documents_and_windows(spark, tokenizer):
     rows = [(i if i != 3 else None, t, "other") for i, t in enumerate(TEXTS * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").repartition(3)
@@ -136,6 +144,19 @@ def test_mix_against_plain(spark):
     assert mixing.mix(docs.limit(0), weights, 0.5, domain).count() == 0
 
 
+def test_mix_keeps_its_budget_with_null_and_repeated_ids(spark):
+    rows = [(None if i % 10 else i, "one two three four five", "en", "s") for i in range(400)]
+    rows += [(7, "one two three four five", "en", "s")] * 300 + [(8, f"w{i} two three four five", "en", "s") for i in range(300)]
+    docs = spark.createDataFrame([(*r, i, i, "c") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, Epoch int, TOKENS int, Domain string")
+    for share in (0.1, 0.3, 0.5, 0.77, 0.95):
+        got = mixing.mix(docs.repartition(5), {}, share, F.lit("d"))
+        budget = int(share * 5 * len(rows))
+        taken = got.agg(F.sum("tokens")).first()[0]
+        assert budget <= taken < budget + 5
+    got = mixing.mix(docs, {}, 1.3, F.lit("d"), max_epochs=2)
+    assert 0 <= got.agg(F.sum("tokens")).first()[0] - int(1.3 * 5 * len(rows)) < 5
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://example.com", "https://WWW.Example.COM/en/x?q#f", "http://a.b.example.com/en/", "http://example.com/EN/",
     "http://x.net/es/1", "http://net/fr/", "http://x.net/frog", "http://com/", "http://telecom/", "http://a.com:80/", "ftp://q.example.com/en/a://b",
