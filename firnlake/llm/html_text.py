@@ -129,11 +129,46 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
     return ""
 
 
+SOFT = {"p", "tr", "td", "th", "tbody", "thead", "tfoot"}  # blocks that an end tag of an outer one may pass
+
+
+class Open:
+    """The open elements, with the places of each tag, so that none is searched for."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # not inline
+        self.hard: list[int] = []  # neither inline nor soft
+
+    def last(self, tag: str) -> int:
+        """The innermost open element of a tag, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, element: Element) -> None:
+        place, tag = len(self.stack), element.tag
+        self.stack.append(element)
+        self.places.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+            if tag not in SOFT:
+                self.hard.append(place)
+
+    def close(self, place: int) -> None:
+        """End the element at a place and all inside it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        for found in (self.blocks, self.hard):
+            while found and found[-1] >= place:
+                found.pop()
+
+
 def parse(text: str) -> Element:
-    """The tree of a page; children are elements and decoded texts."""
+    """The tree of a page; children are elements and decoded texts.  Time is in proportion to the text."""
     root = Element("#root")
-    stack, at, size = [root], 0, len(text)
-    articles = 0
+    open_, at, size = Open(root), 0, len(text)
+    stack = open_.stack
     search = TAG.search
     while at < size:
         found = search(text, at)
@@ -153,22 +188,17 @@ def parse(text: str) -> Element:
             break  # a tag that is cut off
         tag = name.lower()
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and (tag not in INLINE or all(e.tag in INLINE for e in stack[depth:])):
-                articles -= sum(e.tag == "article" for e in stack[depth:])
-                del stack[depth:]
-            elif depth:  # a misplaced inline end tag ends only that element's formatting
-                continue
+            depth = open_.last(tag)
+            # a misplaced inline end tag ends nothing
+            if depth and (tag not in INLINE or not open_.blocks or open_.blocks[-1] < depth):
+                open_.close(depth)
             continue
         if tag in ENDS_P or tag in CLOSES:
             closes, until = CLOSES.get(tag, ({"p"}, {"table", "td", "th", "button", "object"}))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in until or stack[i].tag not in INLINE and stack[i].tag not in ("p", "tr", "td", "th", "tbody", "thead", "tfoot"):
-                    break
-        element = Element(tag, _unwanted(tag, found[3], articles > 0))
+            ends = max(map(open_.last, closes))
+            if ends and ends >= max(open_.hard[-1] if open_.hard else 0, *map(open_.last, until)):
+                open_.close(ends)
+        element = Element(tag, _unwanted(tag, found[3], open_.last("article") > 0))
         stack[-1].below.append(element)
         if tag in VOID or found[4]:
             continue
@@ -177,8 +207,7 @@ def parse(text: str) -> Element:
             close = text.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else size
             continue
-        articles += tag == "article"
-        stack.append(element)
+        open_.push(element)
     return root
 
 

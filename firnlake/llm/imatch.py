@@ -1,14 +1,15 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame functions only.
 
-A term is a run of letters or digits, lower-cased, known by its slot: its hash modulo ``2 ** BITS``.
-Document frequencies are counted per slot over all documents. The lexicon holds the slots whose
-share of documents lies within ``BAND``; as slots are bounded, the lexicon is a bitmap of
-``2 ** BITS / 8`` bytes whatever the corpus, and so may be collected and used as a literal.
+A term is a run of letters or digits, lower-cased, known by its 64-bit hash. Document frequencies are
+counted per term over all documents, combined in each task. The lexicon holds the terms whose share of
+documents lies within ``BAND``. A document has some hundred different terms, so at most that number divided by the
+band's lower end can be in it, however many documents there are: the lexicon is collected and
+becomes a set in the plan.
 
-Of a text, the distinct slots in the lexicon are kept and sorted. The fingerprint hashes them once
+Of a text, the distinct terms in the lexicon are kept and sorted. The fingerprint hashes them once
 per lexicon subset: the lexicon is dealt at random into subsets, twice (``LEVELS``): coarse ones for
 short texts and finer ones, of which a part is used, for long texts.
-A text without a kept slot is fingerprinted over all its slots. Each subset gives four hex digits, or
+A text without a kept term is fingerprinted over all its terms. Each subset gives four hex digits, or
 ``----`` if the text has no term in it. The likeness of two fingerprints is the share of equal
 subsets among those filled in either, at the finer level if enough of it is filled, else at the
 coarse one; equal fingerprints have 1.
@@ -30,51 +31,38 @@ from pyspark.sql import functions as F
 from firnlake.llm.common import stored, table, text_or_empty
 from firnlake.llm.quality import bound_to
 
-BITS = 18
 BAND = (0.005, 0.05)
 LEVELS = ((16, 16), (128, 32))  # subsets that a lexicon deal makes, and how many of them are used
 FILLED = 4  # subsets of the finer deal that must be filled for it to count
 EMPTY = "----"
 
 
-def term_slots(text: Column, bits: int = BITS) -> Column:
-    """Distinct slots of the terms of a text."""
+def term_hashes(text: Column) -> Column:
+    """Distinct hashes of the terms of a text."""
     terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")))
+    return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, bits: int = BITS) -> Column:
-    """The slots within the band, as a bitmap of 64-bit words in a literal."""
-    slots = docs.select(F.explode(term_slots(text_or_empty(), bits)).alias("slot"))
-    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
+    """The terms within the band; at most the mean number of terms of a document divided by ``band[0]``."""
+    terms = docs.select(F.explode(term_hashes(text_or_empty())).alias("term"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = docs.count()
     inside = counts.where((F.col("n") >= F.lit(band[0] * total)) & (F.col("n") <= F.lit(band[1] * total)))
-    words = [0] * (1 << (bits - 6))
-    rows = (
-        inside.groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-        .collect()  # at most 2 ** (bits - 6) rows
-    )
-    for r in rows:
-        words[r.word] = r.bits
-    return F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
-
+    return inside.select("term").toArrow().column("term").to_pylist()
 
-def kept_slots(text: Column, bitmap: Column, bits: int = BITS) -> Column:
-    """Sorted distinct slots in the lexicon, or all slots if none is."""
 
-    def known(slot: Column) -> Column:
-        word = F.get(bitmap, F.shiftright(slot, 6))
-        return F.getbit(word, slot.bitwiseAND(F.lit(63))) == 1
+def kept_terms(text: Column, known: list[int]) -> Column:
+    """Sorted distinct terms in the lexicon, or all terms if none is."""
 
-    def choose(slots: Column) -> Column:
-        return bound_to(F.filter(slots, known), lambda k: F.when(F.size(k) > 0, k).otherwise(slots))
+    def choose(terms: Column) -> Column:
+        return bound_to(F.filter(terms, lambda t: t.isin(known)), lambda k: F.when(F.size(k) > 0, k).otherwise(terms))
 
-    return F.sort_array(bound_to(term_slots(text, bits), choose))
+    return F.sort_array(bound_to(term_hashes(text), choose))
 
 
-def fingerprint(text: Column, bitmap: Column, bits: int = BITS) -> Column:
-    """Hashes of the kept slots of each lexicon subset, in one text."""
+def fingerprint(text: Column, known: list[int]) -> Column:
+    """Hashes of the kept terms of each lexicon subset, in one text."""
 
     def code(members: Column) -> Column:
         digits = F.lpad(F.lower(F.hex(F.xxhash64(members).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
@@ -95,7 +83,7 @@ def fingerprint(text: Column, bitmap: Column, bits: int = BITS) -> Column:
             ),
         )
 
-    return bound_to(kept_slots(text, bitmap, bits), lambda k: F.concat(*[level(k, *deal) for deal in LEVELS]))
+    return bound_to(kept_terms(text, known), lambda k: F.concat(*[level(k, *deal) for deal in LEVELS]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,16 +128,16 @@ def next_documents(keys: DataFrame, order: list[str], parts: int) -> DataFrame:
     return found.select(*keys.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in order])
 
 
-def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, bits: int = BITS) -> DataFrame:
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, text and fingerprint of every document."""
-    bitmap = lexicon(docs, band, bits)
-    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("fingerprint", fingerprint(F.col("text"), bitmap, bits))
+    known = lexicon(docs, band)
+    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("fingerprint", fingerprint(F.col("text"), known))
 
 
-def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND, bits: int = BITS) -> DataFrame:
+def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of the documents and of their edited texts, and how alike they are."""
     spark = docs.sparkSession
-    bitmap = lexicon(docs, band, bits)
+    known = lexicon(docs, band)
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), text_or_empty().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -166,7 +154,7 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND, bits: int
     )
     roles = stored(roles.select("id", "tie", "n", "to_id", "to_tie", "to_half"), "imatch-roles")
     # one exchange of the texts serves both roles
-    whole = rows.withColumn("fingerprint", fingerprint(F.col("text"), bitmap, bits)).join(roles, ["id", "tie"])
+    whole = rows.withColumn("fingerprint", fingerprint(F.col("text"), known)).join(roles, ["id", "tie"])
     given = whole.select(
         F.col("to_id").alias("id"), F.col("to_tie").alias("tie"),
         F.struct(F.expr("left(text, to_half)").alias("head"), F.col("fingerprint").alias("next_fingerprint")).alias("given"),
@@ -179,7 +167,7 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND, bits: int
         "fingerprint",
         F.col("given.next_fingerprint").alias("next_fingerprint"),
         bound_to(
-            edited, lambda e: F.struct(F.sha2(e, 256).alias("sha256"), fingerprint(e, bitmap, bits).alias("fingerprint"))
+            edited, lambda e: F.struct(F.sha2(e, 256).alias("sha256"), fingerprint(e, known).alias("fingerprint"))
         ).alias("edited"),
     )
     edited_fingerprint = F.col("edited")["fingerprint"]

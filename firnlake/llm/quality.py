@@ -2,11 +2,13 @@
 
 Each text is measured once (words, characters in words, symbols, repeated lines, words in repeated
 8-word windows). Base limits reject very short and very repetitive texts. The other rules have no
-fixed cutoff: for each language and source a KLL sketch of each figure is built (combined in each
+fixed cutoff: for each language and source KLL sketches of each figure are built (combined in each
 task before the shuffle, so a hot source sends one sketch per task), and a text fails if a figure
-lies beyond ``REACH`` spreads outside the middle half of its group: above q75 + REACH * spread or
-below q25 - REACH * spread, where spread is q75 - q25 but at least the figure's ``floor``. Groups of
-fewer than ``MIN_ROWS`` texts use the merged sketch of their language, and languages of fewer use
+lies more than ``reach`` spreads (q75 - q25) outside the middle half of its group. Shares are 0 in most
+texts, which leaves no spread; they have a second sketch of the values above 0, and the upper limit
+is at least its quantile ``level``: a share fails if it is unusual among all texts of the group, and among
+those that have it at all. ``floor`` is a numerical guard against groups of equal values. Groups of fewer than
+``MIN_ROWS`` texts use the merged sketch of their language, and languages of fewer use
 that of all texts. The thresholds are joined back by language and source.
 
 Defined results: null texts have no words and fail the base limits; null language or source is a
@@ -27,21 +29,24 @@ from firnlake.llm.common import WHITE, stored, table, text_or_empty
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-REACH = 3.0
 MIN_ROWS = 200
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Figure:
-    """A figure with the least spread that is taken as spread, and whether low values fail too."""
+    """A figure, how many spreads are usual, the least spread, and the quantile of the values above 0 that still is.
+
+    Without ``level`` low values fail too.
+    """
 
     name: str
+    reach: float
     floor: float
-    low: bool = False
+    level: float | None = None
 
 
-FIGURES = (Figure("mean_word", 1.0, low=True), Figure("symbol_share", 0.1), Figure("dup_line_share", 0.17))
+FIGURES = (Figure("mean_word", 4.0, 0.05), Figure("symbol_share", 3.0, 0.003, level=0.1), Figure("dup_line_share", 3.0, 0.003, level=0.75))
 
 
 def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -126,37 +131,48 @@ def _ratios(measured: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, figures: tuple[Figure, ...] = FIGURES, reach: float = REACH, min_rows: int = MIN_ROWS) -> DataFrame:
+def thresholds(rated: DataFrame, figures: tuple[Figure, ...] = FIGURES, min_rows: int = MIN_ROWS) -> DataFrame:
     """lo_ and hi_ of each figure for each (lang, source)."""
     usable = rated.where("n_words > 0")
-    groups = stored(
-        usable.groupBy("lang", "source").agg(
-            F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(f.name)).alias(f.name) for f in figures]
-        ),
-        "quality-sketches",
-    )
-
-    def merged(keys: list[str], mark: str) -> DataFrame:
-        sums = [F.sum("n").alias(f"n_{mark}"), *[F.kll_merge_agg_double(f.name).alias(f"{mark}_{f.name}") for f in figures]]
-        return groups.groupBy(*[F.col(k).alias(f"{mark}_{k}") for k in keys]).agg(*sums)
+    # every figure, and its values above 0 under a name of their own
+    above = {f"{f.name}_above": F.when(F.col(f.name) > 0, F.col(f.name)) for f in figures if f.level is not None}
+    sketched = [f.name for f in figures] + list(above)
+    sketches = [F.kll_sketch_agg_double(F.col(c)).alias(c) for c in sketched]
+    counts = [F.count(F.col(c)).alias(f"n_{c}") for c in above]
+    groups = usable.withColumns(above).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *counts, *sketches)
+    groups = stored(groups, "quality-sketches")
+
+    def merged(keys: list[Column], mark: str) -> DataFrame:
+        sums = [F.sum(c).alias(f"{mark}_{c}") for c in ["n", *[f"n_{c}" for c in above]]]
+        return groups.groupBy(*keys).agg(*sums, *[F.kll_merge_agg_double(c).alias(f"{mark}_{c}") for c in sketched])
+
+    by_lang = merged([F.col("lang").alias("l_lang")], "l")
+    overall = merged([F.lit(0).alias("a_all")], "a")  # one row
+    joined = groups.join(by_lang, groups["lang"].eqNullSafe(by_lang["l_lang"])).withColumn("all", F.lit(0))
+    joined = joined.join(F.broadcast(overall), F.col("all") == F.col("a_all"))
+
+    def of_group(column: str) -> Column:
+        """A column of the group, of its language or of all, whichever has enough texts."""
+        return (
+            F.when(F.col("n") >= min_rows, F.col(column)).when(F.col("l_n") >= min_rows, F.col(f"l_{column}")).otherwise(F.col(f"a_{column}"))
+        )
 
-    by_lang, overall = merged(["lang"], "l"), merged([], "a")
-    joined = groups.join(by_lang, groups["lang"].eqNullSafe(by_lang["l_lang"])).join(overall, F.lit(True))
     columns = [F.col("lang").alias("t_lang"), F.col("source").alias("t_source")]
     for f in figures:
-        sketch = (
-            F.when(F.col("n") >= min_rows, F.col(f.name)).when(F.col("n_l") >= min_rows, F.col(f"l_{f.name}")).otherwise(F.col(f"a_{f.name}"))
-        )
-        q25, q75 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        spread = F.greatest(q75 - q25, F.lit(f.floor)) * reach
-        columns += [(q75 + spread).alias(f"hi_{f.name}"), (q25 - spread if f.low else F.lit(float("-inf"))).alias(f"lo_{f.name}")]
+        q25, q75 = (F.kll_sketch_get_quantile_double(of_group(f.name), F.lit(q)) for q in (0.25, 0.75))
+        spread = F.greatest(q75 - q25, F.lit(f.floor)) * f.reach
+        low, high = q25 - spread, q75 + spread
+        if f.level is not None:
+            usual = F.kll_sketch_get_quantile_double(of_group(f"{f.name}_above"), F.lit(f.level))
+            low, high = F.lit(float("-inf")), F.greatest(high, F.when(of_group(f"n_{f.name}_above") > 0, usual))
+        columns += [high.alias(f"hi_{f.name}"), low.alias(f"lo_{f.name}")]
     return joined.select(*columns)
 
 
-def judge(docs: DataFrame, figures: tuple[Figure, ...] = FIGURES, reach: float = REACH, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, figures: tuple[Figure, ...] = FIGURES, min_rows: int = MIN_ROWS) -> DataFrame:
     """Figures and verdicts of every document."""
     rated = _ratios(stored(measure(docs), "quality-figures"))
-    limits = stored(thresholds(rated, figures, reach, min_rows), "quality-limits")
+    limits = stored(thresholds(rated, figures, min_rows), "quality-limits")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     outside = F.lit(False)
     for f in figures:

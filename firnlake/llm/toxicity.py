@@ -46,7 +46,7 @@ ORDINARY_CODES = 3000
 TOXIC_CODES = 600
 THRESHOLD = 0.3
 STRIPPED = ".,;:!?\"'()[]{}#*$%&|<>-_"
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
 
 
 class Codes(dict):

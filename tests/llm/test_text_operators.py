@@ -50,6 +50,58 @@ def test_quality_figures_and_verdicts(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def plain_quantile(values, q):
+    values = sorted(values)
+    return values[max(0, min(len(values) - 1, -int(-q * len(values) // 1) - 1))]
+
+
+def test_quality_limits_against_plain_quantiles(spark):
+    """Groups of their own habits: small enough that the sketches hold every value (that of all texts does not)."""
+    rng = random.Random(8)
+    rows = []
+    for lang, source, mean, sign, n in [("en", "a", 5, 0.02, 180), ("en", "b", 9, 0.3, 150), ("de", None, 7, 0.0, 120), (None, "c", 4, 0.1, 30), ("fr", "d", 6, 0.5, 9)]:
+        for _ in range(n):
+            count = rng.randint(20, 60)
+            w = ["".join(rng.choice("abcdefgh") for _ in range(max(1, round(rng.gauss(mean, 1.5))))) for _ in range(count)]
+            w = [x + ("#" * rng.randint(1, 3) if rng.random() < sign else "") for x in w]
+            lines = [" ".join(w[i : i + 8]) for i in range(0, count, 8)]
+            lines += [rng.choice(lines)] * rng.choice([0, 0, 0, 0, 1, 4])
+            rows.append((len(rows), "\n".join(lines), lang, source))
+    rows += [(9000, "# " * 300, "en", "a"), (9001, None, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in quality.judge(docs, min_rows=50).collect()}
+    figures = {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, dup, _ = plain_figures(text)
+        if n:
+            lines = [x for x in text.split("\n") if x.strip()]
+            figures[i] = ((lang, source), (chars / n, symbols / n, dup / len(lines)))
+    limits = set()
+    for i, ((lang, source), mine) in figures.items():
+        group = [f for k, f in figures.values() if k == (lang, source)]
+        if len(group) < 50:
+            group = [f for k, f in figures.values() if k[0] == lang]
+        exact = len(group) >= 50
+        if not exact:
+            group = [f for _, f in figures.values()]
+        kept, his = not got[i].base_failed, []
+        for c, f in enumerate(quality.FIGURES):
+            values = [x[c] for x in group]
+            q25, q75 = plain_quantile(values, 0.25), plain_quantile(values, 0.75)
+            spread = f.reach * max(q75 - q25, f.floor)
+            high, low = q75 + spread, q25 - spread if f.level is None else float("-inf")
+            above = [x for x in values if x > 0]
+            if f.level is not None and above:
+                high = max(high, plain_quantile(above, f.level))
+            kept = kept and low <= mine[c] <= high
+            his.append(high)
+        near = 1e-9 if exact else 0.5
+        assert [abs(got[i][f"hi_{f.name}"] - h) < near for f, h in zip(quality.FIGURES, his, strict=True)] == [True] * 3
+        assert got[i].kept == kept or not exact
+        limits.add(tuple(round(got[i][f"hi_{f.name}"], 6) for f in quality.FIGURES))
+    assert len(limits) == 4 and 0 < sum(not r.kept for r in got.values()) < len(rows) // 4
+
+
 def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     rng = random.Random(5)
     plain = " ".join
@@ -192,3 +244,12 @@ def test_template_blocks_inside_articles(spark):
     want |= {200 + i: f"Head {i} story {i} Our letter Write to us quoted" for i in range(5)}
     for bound in (1000, 0):
         assert {r.page_id: r.text for r in html_text.extract(pages, broadcast_rows=bound).collect()} == want
+
+
+def test_long_malformed_pages_are_read_in_proportion():
+    import time
+
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<i>" + "<div>" * 100_000 + "</i>" * 100_000):
+        begun = time.process_time()
+        html_text.parse("<article>text</article>" + page)
+        assert time.process_time() - begun < 20
