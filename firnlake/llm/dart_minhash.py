@@ -25,8 +25,8 @@ AQE splits hot keys; no bucket is gathered in one task and no link reaches the d
 
 Defined results: words are lower-cased runs of non-white characters. Texts of fewer than five words
 are one shingle; texts without words are only like their exact copies; a null text is empty. The
-class id is the smallest doc_id of the class. Rows that repeat an id are one document, linked by any
-of their texts. Rows with a null id get a negative id derived from their text. Empty tables give no
+class id is the smallest doc_id of the class, null if it has none. Rows that repeat an id are one document,
+linked by any of their texts; rows with a null id are linked by their texts alone. Empty tables give no
 rows; other columns are ignored.
 """
 
@@ -37,16 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnlake.llm.common import stored, table, text_or_empty
+from firnlake.llm.common import fresh, stored, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 SLOTS = 1 << 20
 
 _U = np.uint64
@@ -193,14 +193,9 @@ def bands(text: str) -> np.ndarray | None:
 # -- Spark ------------------------------------------------------------------------------------
 
 
-def _id(text: Column) -> Column:
-    """The document's id, or a negative one derived from its text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-2) - F.abs(F.shiftright(F.xxhash64(text), 1)))
-
-
 def _with_keys(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.select(_id(text).alias("id"), F.md5(text).alias("key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(text).alias("key"), text.alias("text"))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,17 +310,19 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, key, class_id, kept_key) of every row; ``key`` is the md5 of the text.
 
-    ``kept_key`` is the key of the text that stands for the class: that of the smallest id.
+    ``class_id`` is the smallest id of the class, null if it has none. ``kept_key`` is the key of the text that
+    stands for the class: that of the smallest id, then the smallest key.
     """
     rows = _with_keys(docs)
     signed = stored(rows.mapInArrow(_signed, "id long, key string, bands array<long>"), "dart-signatures")
-    nodes = signed.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
-    nodes = stored(nodes, "dart-nodes")
+    nodes = signed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
+    # a node is a text: rows with one id may hold several
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "dart-nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     stars = stored(_stars(banded, "bucket"), "dart-stars")
     pairs = stored(_pairs(stars), "dart-pairs")
-    wanted = stars.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = rows.join(wanted, (rows["id"] == wanted["node"]) & (rows["key"] == wanted["key"])).select("node", "text")
+    wanted = stars.select("node").distinct().join(nodes.select("node", "least", F.col("key").alias("w_key")), "node")
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["least"]) & (rows["key"] == wanted["w_key"])).select("node", "text")
     sets = stored(texts.mapInArrow(_sets, "node long, tags array<long>").dropDuplicates(["node"]), "dart-sets")
     links = stored(_verified(pairs, sets, similarity), "dart-links")
     links = _with_same_ids(links, signed, nodes)
@@ -350,7 +347,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def _with_same_ids(links: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Also a link between the texts of rows that repeat an id."""
-    twice = signed.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("id")
+    twice = signed.where("id is not null").groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("id")
     twice = stored(twice, "dart-ids")
     if twice.isEmpty():
         return links
@@ -360,27 +357,29 @@ def _with_same_ids(links: DataFrame, signed: DataFrame, nodes: DataFrame) -> Dat
 
 
 def _classes(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    known = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
-    keepers = nodes.groupBy(F.col("node").alias("class_id")).agg(F.min("key").alias("kept_key"))
-    known = known.join(keepers, "class_id")
-    return signed.select("id", "key").join(known, "key").select("id", "key", "class_id", "kept_key")
+    known = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class"))
+    placed = stored(signed.select("id", "key").join(known, "key"), "dart-classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    named = placed.groupBy("class").agg(first).select("class", F.col("first.id").alias("class_id"), F.col("first.key").alias("kept_key"))
+    named = stored(named, "dart-names")
+    return placed.join(named, "class").select("id", "key", "class_id", "kept_key")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class."""
+    id_, key, copies = (fresh(docs, f"kept_{c}") for c in ("id", "key", "copies"))
     classes = near_duplicates(docs, similarity)
-    kept = classes.where("id = class_id AND key = kept_key").groupBy("id", "key").agg(F.count(F.lit(1)).alias("__copies"))
-    kept = stored(kept.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__copies"), "dart-kept")
-    text = text_or_empty()
-    same = (_id(text) == F.col("__id")) & (F.md5(text) == F.col("__key"))
+    kept = classes.where("id <=> class_id AND key = kept_key").groupBy("id", "key").agg(F.count(F.lit(1)).alias(copies))
+    kept = stored(kept.select(F.col("id").alias(id_), F.col("key").alias(key), copies), "dart-kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.md5(text_or_empty()) == F.col(key))
     found = docs.join(kept, same)
-    if kept.where("__copies > 1").isEmpty():
+    if kept.where(F.col(copies) > 1).isEmpty():
         return found.select(*docs.columns)
-    single = found.where("__copies > 1").dropDuplicates(["__id", "__key"])
-    return found.where("__copies = 1").select(*docs.columns).union(single.select(*docs.columns))
+    single = found.where(F.col(copies) > 1).dropDuplicates([id_, key])
+    return found.where(F.col(copies) == 1).select(*docs.columns).union(single.select(*docs.columns))
 
 
 def op3_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     classes = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
-    return classes.select(F.when(F.col("id") > -2, F.col("id")).alias("doc_id"), "class_id")
+    return classes.select(F.col("id").alias("doc_id"), "class_id")

@@ -9,10 +9,11 @@ of text, so the work is cut down to what can repeat, without losing a string:
    string starts fall into segments with a common anchor, about one per 120 bytes.
 2. Segments whose anchor occurs once cannot repeat. If all segments of an anchor are equal (128 bits
    of hash), they repeat whole. Both are settled by sums per anchor, combined in each task.
-3. Of the other segments one copy of each text is kept. They are shared out by anchor into shards;
-   each shard's suffixes are sorted by external induced sorting (``induced_sort``), which spills its
-   queues to the executor's own disk, and starts whose common prefix with a neighbour reaches
-   ``LENGTH`` repeat. So a shard may be far larger than memory.
+3. Of the other segments one copy of each text is kept. They are shared out by anchor into shards, and
+   those that share no region around the anchor with another one (``may_repeat``) are left out.
+   A shard's suffixes are sorted by external induced sorting (``induced_sort``), and starts whose common
+   prefix with a neighbour reaches ``LENGTH`` repeat. The sort spills its queues to the executor's own disk
+   beyond a bound on their tuples; shards of ``SHARD_BYTES`` stay below it, larger ones would not.
 4. An anchor with more than ``HOT`` different segments (a passage a little shorter than ``LENGTH``
    in a large part of all documents) is not put into one shard: its segments are split by
    start, each start being a 128-bit hash of its string, and the hashes are counted in Spark.
@@ -42,16 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnlake.llm.common import stored, table, text_or_empty
+from firnlake.llm.common import WHITE, fresh, stored, table, text_or_empty
 from firnlake.llm.induced_sort import sorted_suffixes
+from firnlake.llm.tokens import groups, kinds
+from firnlake.llm.tokens import words as words_of
 
 LENGTH = 400
 GRAM = 160
 HOT = 20_000
 SHARD_BYTES = 4 << 20
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
+REGIONS = 8  # regions around an anchor, one of which a repeated string must share
 CODE = 6  # bytes of a word's code
-KEPT_WORDS = 300_000
 
 _U = np.uint64
 
@@ -88,14 +91,9 @@ class Hasher:
         return x ^ (x >> _U(31))
 
 
-_HASHERS: list[Hasher] = []
-
-
-def _hashers() -> list[Hasher]:
-    """Two families; one table per worker process."""
-    if not _HASHERS:
-        _HASHERS.extend(Hasher(2 * PIECE_BYTES + 4 * LENGTH, seed) for seed in (11, 23))
-    return _HASHERS
+def _hashers(length: int) -> tuple[Hasher, Hasher]:
+    """Two families for blocks of texts; made for a task and given up with it."""
+    return Hasher(2 * PIECE_BYTES + 4 * length, 11), Hasher(2 * PIECE_BYTES + 4 * length, 23)
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -111,7 +109,7 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[starts], ahead[starts + width - 1])
 
 
-def segments(data: np.ndarray, owners: np.ndarray, length: int, gram: int):
+def segments(data: np.ndarray, owners: np.ndarray, length: int, gram: int, hashers: tuple[Hasher, Hasher]):
     """Of a block of texts laid end to end: begin, number of starts, anchor hash and text hash of segments.
 
     ``owners`` has the text number of every byte; no string reaches over two texts.
@@ -120,7 +118,7 @@ def segments(data: np.ndarray, owners: np.ndarray, length: int, gram: int):
     empty = np.empty(0, dtype=np.int64)
     if n < length:
         return empty, empty, empty, empty
-    one, two = _hashers()
+    one, two = hashers
     p1 = one.prefix(data)
     grams = np.arange(n - gram + 1)
     hashes = one.between(p1, grams, grams + gram)
@@ -177,12 +175,13 @@ SEGMENTS = "id long, tie long, begin int, starts int, anchor long, text long"
 
 def find_segments(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = _hashers(length)
         for batch in batches:
             ids, ties = (np.array(batch.column(i)) for i in (0, 1))
             column = batch.column(2)
             texts = ((i, column[i].as_py()) for i in range(len(column)))
             for data, owners, placed in _blocks(texts, length):
-                begin, starts, anchor, text = segments(data, owners, length, gram)
+                begin, starts, anchor, text = segments(data, owners, length, gram, hashers)
                 if not len(begin):
                     continue
                 part = owners[begin]
@@ -201,6 +200,56 @@ def find_segments(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 # -- repeated starts of different segments ----------------------------------------------------
 
 
+def may_repeat(parts: list[tuple[int, bytes]], length: int, gram: int, hasher: Hasher) -> np.ndarray:
+    """Which segments, given as (anchor, bytes), can share a string of ``length`` bytes with another one.
+
+    Of a string that two segments share, the anchor lies at one of length - gram + 1 places. Cut into
+    ``REGIONS`` ranges of ``step`` places, the string holds the region of length - step bytes that begins
+    at the range's end; so both segments have that region around their anchors. Regions are compared by hash.
+    """
+    sizes = np.array([len(x) for _, x in parts], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    anchors = np.array([a for a, _ in parts], dtype=np.int64)
+    step = -(-(length - gram) // REGIONS)
+    hit = np.zeros(len(parts), dtype=bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    limit = len(hasher.powers) - 1
+    first = 0
+    while first < len(parts):  # as many segments as the hasher's tables reach
+        last = max(first + 1, int(np.searchsorted(begins + sizes, begins[first] + limit, side="right")))
+        mine = slice(first, last)
+        at, size = begins[mine] - begins[first], sizes[mine]
+        if size[0] > limit:  # cannot be looked at in one go: kept
+            hit[first] = True
+            first = last
+            continue
+        data = np.frombuffer(b"".join(x for _, x in parts[mine]), dtype=np.uint8)
+        prefix = hasher.prefix(data)
+        grams = np.arange(max(0, len(data) - gram + 1))
+        owner = np.repeat(np.arange(len(at)), size)[: len(grams)]
+        same = hasher.between(prefix, grams, grams + gram).view(np.int64) == anchors[mine][owner]
+        # the anchor is the first such piece; one that runs over the end of a segment comes after it
+        places = np.flatnonzero(same)
+        owners, where = np.unique(owner[places], return_index=True)
+        lost = np.setdiff1d(np.arange(len(at)), owners)
+        hit[first + lost] = True
+        place = places[where]
+        for j in range(REGIONS):
+            begin = place - step * j
+            end = begin + length - step
+            whole = np.flatnonzero((begin >= at[owners]) & (end <= at[owners] + size[owners]))
+            region = hasher.between(prefix, begin[whole], end[whole]) + _U(j) * _U(0x9E3779B97F4A7C15)
+            found.append((first + owners[whole], region))
+        first = last
+    if found:
+        numbers, regions = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(regions, kind="stable")
+        equal = regions[order][1:] == regions[order][:-1]
+        hit[numbers[order[1:][equal]]] = True
+        hit[numbers[order[:-1][equal]]] = True
+    return hit
+
+
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """Of each text, the starts of strings of ``length`` bytes that begin at two places of the texts."""
     sizes = np.array([len(t) for t in texts])
@@ -259,16 +308,19 @@ def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return once.mapInArrow(run, "anchor long, text long, part binary")
 
 
-def _sort_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def _sort_shards(parts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """Repeated starts of segments; all segments of an anchor are in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _hashers(length)[0]
         shard: dict[tuple[int, int], bytes] = {}
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            found = [_as_runs(x) for x in repeated_starts(list(shard.values()), length)]
-            rows = [(a, t, r) for (a, t), r in zip(shard, found, strict=True) if r]
+            some = may_repeat([(a, x) for (a, _), x in shard.items()], length, gram, hasher)
+            left = {k: x for (k, x), y in zip(shard.items(), some, strict=True) if y}
+            found = [_as_runs(x) for x in repeated_starts(list(left.values()), length)] if left else []
+            rows = [(a, t, r) for (a, t), r in zip(left, found, strict=True) if r]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], RUN_TYPE)],
                 names=["anchor", "text", "runs"],
@@ -324,12 +376,15 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     )
     # written first: a join of two plain shuffles is one that AQE can split at a hot anchor
     anchors = stored(anchors, "suffix-anchors")
-    hits = stored(found.join(anchors, "anchor"), "suffix-hits")
+    hits = found.join(anchors, "anchor")
+    # rows equal in id and text are one here, with their number
+    hits = hits.groupBy("id", "tie", "begin", "starts", "anchor", "text", "alike").agg(F.count(F.lit(1)).alias("rows"))
+    hits = stored(hits, "suffix-hits")
     # one copy of each different segment of an anchor
     kinds = (
         hits.where("NOT alike")
         .groupBy("anchor", "text")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "tie", "begin", "starts")).alias("one"))
+        .agg(F.sum("rows").alias("copies"), F.min(F.struct("id", "tie", "begin", "starts")).alias("one"))
         .select("anchor", "text", "copies", "one.*")
     )
     kinds = stored(kinds, "suffix-kinds")
@@ -338,15 +393,16 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     parts = _cut_out(rows, kinds, length)
     if some_big:
         parts = stored(parts, "suffix-parts")
-        runs = _sort_shards(parts.join(big, "anchor", "left_anti"), length, shard_bytes).unionByName(_count_strings(parts.join(big, "anchor"), length))
+        runs = _sort_shards(parts.join(big, "anchor", "left_anti"), length, gram, shard_bytes).unionByName(_count_strings(parts.join(big, "anchor"), length))
     else:
-        runs = _sort_shards(parts, length, shard_bytes)
+        runs = _sort_shards(parts, length, gram, shard_bytes)
     runs = stored(runs, "suffix-runs")
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("starts") - 1).alias("last")))
     settled = kinds.select("anchor", "text", "copies", "starts").join(runs, ["anchor", "text"], "left")
     settled = settled.select(
         F.col("anchor").alias("s_anchor"), F.col("text").alias("s_text"), F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs")
     ).where("runs is not null")
+    settled = stored(settled, "suffix-settled")
     different = hits.where("NOT alike").join(settled, (F.col("anchor") == F.col("s_anchor")) & (F.col("text") == F.col("s_text")))
     spans = hits.where("alike").select("id", "tie", "begin", "starts", whole.alias("runs")).unionByName(
         different.select("id", "tie", "begin", "starts", "runs")
@@ -409,17 +465,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-class Codes(dict):
-    """Code of a word; the table is bounded, later words are hashed anew."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        code = hashlib.blake2b(word, digest_size=CODE).digest()
-        if len(self) < KEPT_WORDS and len(word) < 64:
-            self[word] = code
-        return code
-
-
-_CODES = Codes()
+_WORD_KINDS = kinds(WHITE.encode())
 
 
 def _coded(rows: DataFrame) -> DataFrame:
@@ -427,7 +473,12 @@ def _coded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [b"".join(map(_CODES.__getitem__, x.as_py().split())) for x in batch.column(2)]
+            out: list[bytes] = []
+            for _, data, bounds in groups(batch.column(2)):
+                found = words_of(data, bounds, _WORD_KINDS, lower=False)
+                codes = found.hashes[0].view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+                ends = np.searchsorted(found.owner, np.arange(len(bounds))) * CODE
+                out += [codes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "tie", "bytes"])
 
     return rows.mapInArrow(run, "id long, tie long, bytes binary")
@@ -459,7 +510,8 @@ def remove_repeats(
         spans = both.groupBy("id", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("passages")).alias("passages"))
     else:
         spans = spans.withColumn("passages", none)
-    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in ("id", "tie", "spans", "passages")])
+    id_, tie, found, more, left = (fresh(docs, f"cut_{c}") for c in ("id", "tie", "spans", "passages", "text"))
+    spans = spans.select(F.col("id").alias(id_), F.col("tie").alias(tie), F.col("spans").alias(found), F.col("passages").alias(more))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series, passages: pd.Series) -> pd.Series:
@@ -472,15 +524,14 @@ def remove_repeats(
             out.append(_without(data, merge_spans(listed)).decode(errors="ignore"))
         return pd.Series(out)
 
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__tie"))
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col(id_)) & (F.xxhash64(text_or_empty()) == F.col(tie))
     joined = docs.join(spans, key, "left")
-    left = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.col("__cut"))
-    joined = joined.withColumn("__cut", cut(text_or_empty(), F.coalesce("__spans", none), F.coalesce("__passages", none)))
-    columns = [left.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    result = joined.select(*columns)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        result = result.withColumn("n_chars", F.length(F.col("text")).cast(kind))
+    joined = joined.withColumn(left, cut(text_or_empty(), F.coalesce(found, none), F.coalesce(more, none)))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.col(left))
+    result = joined.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in docs.columns])
+    for c in docs.columns:
+        if c.lower() == "n_chars":
+            result = result.withColumn(c, F.length(F.col("text")).cast(docs.schema[c].dataType))
     return result
 
 

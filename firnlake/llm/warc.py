@@ -217,7 +217,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         if writer is not None:
             writer.close()
 
-    return stored(rows.mapInArrow(run, CAPTURES), "warc-captures")
+    # a second attempt of a task must write the same bytes
+    return stored(rows.sortWithinPartitions("page_id", "sha1", "url").mapInArrow(run, CAPTURES), "warc-captures")
 
 
 CAPTURE_TYPES = pa.schema([("page_id", pa.int64()), ("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -324,8 +325,16 @@ def find_captures(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
     return wanted.repartitionByRange(count, "key").sortWithinPartitions("key").mapInArrow(run, CAPTURES)
 
 
-def read_records(captures: DataFrame, folder: str) -> DataFrame:
-    """The records at the captures' byte ranges."""
+def read_records(captures: DataFrame, folder: str, total_bytes: int | None = None) -> DataFrame:
+    """The records at the captures' byte ranges, by regions of the archives.
+
+    ``total_bytes`` of the archives give the number of tasks; without it there are as many as shuffle partitions.
+    """
+    context = captures.sparkSession.sparkContext
+    if total_bytes is None:
+        tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        tasks = max(context.defaultParallelism, 1 + total_bytes // REGION_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(f"{folder}/archives")
@@ -346,7 +355,7 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
                 yield _batch(out, RECORD_TYPES)
 
     region = F.floor(F.col("offset") / REGION_BYTES)
-    ranges = captures.select("file", "offset", "length").repartition(F.col("file"), region).sortWithinPartitions("file", "offset")
+    ranges = captures.select("file", "offset", "length").repartition(tasks, F.col("file"), region).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(run, RECORDS)
 
 
@@ -354,6 +363,8 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC records and read back through the capture index."""
     pages = table(spark, folder, "pages")
     place = new_path(spark, "warc")
-    parts = write_index(write_archives(pages, place, min_bytes=0), place)
+    captures = write_archives(pages, place, min_bytes=0)
+    total = captures.agg(F.sum("length")).first()[0] or 0
+    parts = write_index(captures, place)
     keys = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
-    return read_records(find_captures(keys, parts, place), place)
+    return read_records(find_captures(keys, parts, place), place, total)

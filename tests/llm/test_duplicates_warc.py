@@ -75,6 +75,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert dart_minhash.deduplicate(lost).count() == 2
 
 
+def test_odd_ids_keep_their_texts(spark):
+    """Negative and null ids, and two texts under one id with a near copy of each."""
+    rng = random.Random(14)
+
+    def text(seed):
+        return " ".join(f"w{random.Random(seed * 1000 + i).randrange(500)}" for i in range(120))
+
+    def near(t):
+        words = t.split()
+        words[rng.randrange(120)] = "other"
+        return " ".join(words)
+
+    one, two = text(1), text(2)
+    rows = [(1, one), (1, two), (2, near(one)), (3, near(two)), (-5, text(3)), (-9, near(text(3))), (None, text(4)), (None, near(text(4))), (None, text(3)), (40, text(5))]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, kept_id int, __copies int, node int")
+    got = Counter((r.id, r.class_id) for r in dart_minhash.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (-5, -9), (-9, -9), (None, -9), (None, None), (None, None), (40, 40)])
+    kept = dart_minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, -9, None, 40])
+
+
 @pytest.mark.parametrize("memory,base", [(1 << 20, 1 << 20), (4, 2)])
 def test_induced_sort_against_plain_sort(memory, base):
     rng = random.Random(7)
@@ -130,11 +152,47 @@ def test_long_texts_in_parts(spark, monkeypatch):
     texts = ["".join(rng.choice("abcd") for _ in range(1000)).encode() for _ in range(3)]
     texts.append(texts[0][150:420] + texts[1][:90])
     for data, owners, placed in suffix_dedup._blocks(enumerate(texts), 40):
-        begin, starts, _, _ = suffix_dedup.segments(data, owners, 40, 12)
+        begin, starts, _, _ = suffix_dedup.segments(data, owners, 40, 12, suffix_dedup._hashers(40))
         covered = sorted((placed[owners[b]][0], b - placed[owners[b]][1] + placed[owners[b]][2] + i) for b, n in zip(begin, starts, strict=True) for i in range(n))
         assert len(covered) == len(set(covered))
 
 
+def test_many_equal_rows(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    rows = [(None, text)] * 400 + [(1, text[5000:9000]), (2, "z" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, suffix_dedup.repeat_report(docs).collect()))
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert got == Counter({(None, 20_000, 20_000, 1, nothing): 400, (1, 4000, 4000, 1, nothing): 1, (2, 300, 0, 0, hashlib.sha256(b"z" * 300).hexdigest()): 1})
+
+
+def test_regions_keep_all_segments_that_share_a_string():
+    rng = random.Random(13)
+    length, gram = 80, 32
+    hasher = suffix_dedup.Hasher(4000, 1)
+    kept = lost = 0
+    for _ in range(200):
+        piece = "".join(rng.choice("abcd") for _ in range(gram))
+        parts = []
+        around = "".join(rng.choice("abcd") for _ in range(200)) + piece + "".join(rng.choice("abcd") for _ in range(200))
+        for _ in range(5):
+            left, right = rng.randrange(0, length - gram + 1), rng.randrange(0, length - gram + 1)
+            before, after = rng.randrange(0, length - gram + 1), rng.randrange(0, length - gram + 1)
+            body = around[200 - left : 200 + gram + right]
+            body = "".join(rng.choice("efgh") for _ in range(before)) + body + "".join(rng.choice("efgh") for _ in range(after))
+            parts.append(body.encode())
+        data = np.frombuffer(piece.encode(), dtype=np.uint8)
+        anchor = int(hasher.between(hasher.prefix(data), np.array([0]), np.array([gram])).view(np.int64)[0])
+        hit = suffix_dedup.may_repeat([(anchor, x) for x in parts], length, gram, hasher)
+        strings = [{x[i : i + length] for i in range(len(x) - length + 1) if piece.encode() in x[i : i + length]} for x in parts]
+        for i, mine in enumerate(strings):
+            shares = any(mine & other for j, other in enumerate(strings) if j != i)
+            assert hit[i] or not shares
+            kept, lost = kept + (hit[i] and not shares), lost + (not hit[i])
+    assert lost > 2 * kept
+
+
 def test_archives_round_trip(spark, tmp_path):
     rng = random.Random(10)
     bodies = ["<p>one</p>", "<p>two \u00e9</p>", "", None, "x" * 5000]

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -16,19 +18,28 @@ from .test_duplicates_warc import plain_classes
 from .test_packing_mixing_urls import plain_mix
 
 
-def without_repeated(texts, length=400):
+def without_repeated(texts, length=400, passage=corpus_pipeline.PASSAGE):
+    """Without the bytes of strings of ``length`` bytes and of passages of ``passage`` words that start at several places."""
     data = [t.encode() for t in texts]
-    seen = {}
-    for d in data:
-        for p in range(len(d) - length + 1):
-            mark = hashlib.blake2b(d[p : p + length], digest_size=12).digest()
-            seen[mark] = seen.get(mark, 0) + 1
+    places = [[x.span() for x in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    words = [[d[a:b] for a, b in p] for d, p in zip(data, places, strict=True)]
+    seen, said = Counter(), Counter()
+    for d, w in zip(data, words, strict=True):
+        seen.update(hashlib.blake2b(d[p : p + length], digest_size=12).digest() for p in range(len(d) - length + 1))
+        said.update(tuple(w[i : i + passage]) for i in range(len(w) - passage + 1))
     out = []
-    for d in data:
+    for d, w, at in zip(data, words, places, strict=True):
         keep = np.ones(len(d), dtype=bool)
         for p in range(len(d) - length + 1):
             if seen[hashlib.blake2b(d[p : p + length], digest_size=12).digest()] > 1:
                 keep[p : p + length] = False
+        again = np.zeros(len(w) + 1, dtype=int)
+        for i in range(len(w) - passage + 1):
+            if said[tuple(w[i : i + passage])] > 1:
+                again[i : i + passage] = 1
+        edges = np.flatnonzero(np.diff(np.r_[0, again]))
+        for first, end in zip(edges[::2], edges[1::2], strict=True):
+            keep[at[first][0] : at[end - 1][1]] = False
         out.append(bytes(np.frombuffer(d, np.uint8)[keep]).decode(errors="ignore"))
     return out
 
