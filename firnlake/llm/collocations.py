@@ -6,11 +6,11 @@ each task; a ROLLUP over (lang, first, second, third, fourth word) then gives th
 of one to four words and the number of words as sums over their prefixes. No phrase of two or three
 words is ever exploded for itself.
 
-Most windows of a large corpus occur once, and moving them all would be several times the input. So a
-window is also padded from the first pair of neighbours on that occurs less than ``LEAST`` times: no
-phrase across it can be a candidate. Pairs are counted first, by 64-bit hashes; the frequent ones come to
-the tasks as a bitmap of fixed size (2 ** ``FILTER_BITS`` places). A pair that is in the bitmap by
-chance only makes windows longer; the counts stay exact.
+Most windows of a large corpus occur once, and moving them all would be many times the input. So a
+window is also padded from the first word on that would make a word, pair or triple which occurs less than
+``LEAST`` times: no phrase across it can be a candidate. These are counted before, by 64-bit hashes, each
+length only where both shorter ones are frequent; the frequent ones come to the tasks as bitmaps of fixed size
+(2 ** ``FILTER_BITS`` places). What is in a bitmap by chance only makes windows longer; the counts stay exact.
 
 Hashes pre-aggregate windows within a task only, and are checked against a second family; rows carry
 the words themselves.
@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from firnlake.llm.common import bitmap, stored, table, text_or_empty
+from firnlake.llm.common import bitmap, in_large_tasks, stored, table, text_or_empty
 from firnlake.llm.tokens import FIRST, SECOND, groups, in_filter, kinds, mix, slices, words
 
 LONGEST = 4
@@ -73,23 +74,49 @@ def _grouped(batch: pa.RecordBatch, families: tuple) -> Iterator[tuple]:
             yield found, joined, lang, marks[lang], names
 
 
-def _pair_hashes(h: np.ndarray, joined: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Of each word with its successor; only meant where they are joined."""
-    out = np.zeros(len(h), dtype=np.uint64)
-    out[:-1] = mix(mix(h[:-1] + mark[:-1]) * _STEP + h[1:])
+def _gram_hashes(h: np.ndarray, mark: np.ndarray, size: int) -> np.ndarray:
+    """Of the ``size`` words from each place on; only meant where they are joined."""
+    out = mix(h + mark)
+    for i in range(1, size):
+        out[: len(h) - i] = mix(out[: len(h) - i] * _STEP + h[i:])
     return out
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
-    """Hashes of the neighbours that occur at least ``least`` times in their language."""
+def _both(hit: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Places whose word is joined to the next, both being hits."""
+    out = hit & joined
+    out[:-1] &= hit[1:]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for found, joined, _, mark, _ in _grouped(batch, (FIRST,)):
-                pairs, n = np.unique(_pair_hashes(found.hashes[0], joined, mark)[joined], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
+def _frequent(found, joined: np.ndarray, mark: np.ndarray, known: list[np.ndarray]) -> list[np.ndarray]:
+    """For each length with a bitmap, the places where a frequent phrase of the length begins."""
+    out: list[np.ndarray] = []
+    for size, bits in enumerate(known, 1):
+        possible = _both(out[-1], joined) if out else np.ones(len(joined), dtype=bool)
+        out.append(possible & in_filter(bits, _gram_hashes(found.hashes[0], mark, size)))
+    return out
+
+
+def frequent_phrases(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> list[np.ndarray]:
+    """Bitmaps of the words, pairs and triples that occur at least ``least`` times in their language."""
+    known: list[np.ndarray] = []
+    context = texts.sparkSession.sparkContext
+    for size in range(1, LONGEST):
+        shared = context.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch], size=size, shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for found, joined, _, mark, _ in _grouped(batch, (FIRST,)):
+                    hashes = _gram_hashes(found.hashes[0], mark, size)
+                    if size > 1:
+                        hashes = hashes[_both(_frequent(found, joined, mark, shared.value)[-1], joined)]
+                    values, n = np.unique(hashes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["phrase", "n"])
+
+        counts = texts.mapInArrow(run, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+        known = [*known, bitmap(counts.where(F.col("n") >= least), "phrase", bits)]
+    return known
 
 
 WINDOW = [f"w{i}" for i in range(LONGEST)]
@@ -106,36 +133,38 @@ def _combined(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[heads], np.diff(np.r_[heads, len(order)])
 
 
-def count_windows(texts: DataFrame, pairs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def count_windows(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
     """(lang, w0 to w3, n): the padded windows; a task sends each of its windows once per run of texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(pairs, "pair", bits))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for found, joined, lang, mark, names in _grouped(batch, (FIRST, SECOND)):
                 count = len(joined)
-                follows = joined & in_filter(known, _pair_hashes(found.hashes[0], joined, mark))
-                one, two = (mix(h + mark) for h in found.hashes)
-                reach = np.ones(count, dtype=np.int64)
-                open_ = np.ones(count, dtype=bool)
-                for i in range(1, LONGEST):
-                    # word i belongs to the window if every pair up to it does
-                    open_[: count - i + 1] &= follows[i - 1 :]
-                    open_[count - i :] = False
-                    here = np.flatnonzero(open_)
-                    reach[here] += 1
+                frequent = _frequent(found, joined, mark, shared.value)
+                frequent.append(_both(frequent[-1], joined))
+                reach = np.sum(frequent, axis=0)
+                one, two = mark.copy(), mark.copy()
+                for i, places in enumerate(frequent):
+                    here = np.flatnonzero(places)
                     one[here] = mix(one[here] * _STEP + found.hashes[0][here + i])
                     two[here] = mix(two[here] * _STEP + found.hashes[1][here + i])
                 place, n = _combined(one, two)
-                columns = [pa.array(names).take(pa.array(lang[place]))]
+                parts = []
                 for i in range(LONGEST):
                     at = np.minimum(place + i, count - 1)
-                    columns.append(slices(found.data, found.begin[at], np.where(reach[place] > i, found.size[at], 0)))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["lang", *WINDOW, "n"])
+                    word = slices(found.data, found.begin[at], np.where(reach[place] > i, found.size[at], 0))
+                    # nulls are skipped, but a row must not be null throughout
+                    parts.append(pc.if_else(pa.array(reach[place] > i), word, pa.scalar(None, pa.string())) if i else word)
+                joined_words = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+                langs = pa.array(names).take(pa.array(lang[place]))
+                yield pa.RecordBatch.from_arrays([langs, joined_words, pa.array(n, pa.int64())], names=["lang", "words", "n"])
 
-    schema = ", ".join(f"{c} string" for c in ["lang", *WINDOW])
-    return texts.mapInArrow(run, f"{schema}, n long").groupBy("lang", *WINDOW).agg(F.sum("n").alias("n"))
+    # one text a window moves less than four; the columns are made after the sum
+    counted = texts.mapInArrow(run, "lang string, words string, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    listed = F.split("words", " ")
+    columns = [F.coalesce(F.get(listed, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(WINDOW)]
+    return counted.select("lang", *columns, "n")
 
 
 def phrase_counts(windows: DataFrame, least: int) -> DataFrame:
@@ -183,8 +212,8 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     ``least`` must be 1 or more. Products are exact up to counts of 19 digits.
     """
     texts = _texts(docs)
-    pairs = stored(frequent_pairs(texts, least), "phrase-pairs")
-    windows = stored(count_windows(texts, pairs, bits), "phrase-windows")
+    # most windows of a task are the same phrases as everywhere: larger tasks send fewer
+    windows = stored(count_windows(in_large_tasks(texts), frequent_phrases(texts, least, bits)), "phrase-windows")
     counts = stored(phrase_counts(windows, least), "phrase-counts")
     candidates = counts.where("size >= 2").withColumnRenamed("f", "a")
     longer = _covered(candidates)

@@ -45,3 +45,18 @@ def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
+
+
+TASK_BYTES = 256 << 20
+
+
+def in_large_tasks(df: DataFrame) -> DataFrame:
+    """``df`` read by tasks of up to ``TASK_BYTES``, but two for every core: what a task sums up meets more of its kind.
+
+    Splits are joined, not shuffled.
+    """
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    parts = df.rdd.getNumPartitions()
+    wanted = max(2 * spark.sparkContext.defaultParallelism, -(-parts * split // TASK_BYTES))
+    return df.coalesce(wanted) if wanted < parts else df

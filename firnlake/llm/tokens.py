@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-GROUP_BYTES = 4 << 20  # texts are taken together up to so many bytes
-BLOCK_BYTES = 1 << 20  # hashed at a time, so that the arrays stay small whatever the length of a text
+GROUP_BYTES = 1 << 20  # texts are taken together up to so many bytes
+BLOCK_BYTES = 1 << 18  # hashed at a time, so that the arrays stay small whatever the length of a text
 
 LETTER, SPACE, BREAK = 0, 1, 2
 
@@ -39,36 +39,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Family:
-    """One hash function of words."""
+    """One hash function of words; its tables reach over one block."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.letters = rng.integers(1, 2**63, 256).astype(np.uint64)
-        self.base = _U(int(rng.integers(1, 2**62)) * 2 + 1)
-        self.kept = self._powers(1 << 12)
-
-    def _powers(self, size: int) -> np.ndarray:
-        out = np.full(size, self.base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    def hashes(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Of words laid end to end."""
-        if not len(sizes):
-            return np.empty(0, dtype=np.uint64)
-        longest = int(sizes.max())
-        powers = self.kept if longest <= len(self.kept) else self._powers(longest)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(letters)) - np.repeat(starts, sizes)
-        sums = np.add.reduceat(self.letters[letters] * powers[place], starts)
-        return mix(sums + sizes.astype(np.uint64))
+        self.base = int(rng.integers(1, 2**62)) * 2 + 1
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _powers(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the base and of its inverse."""
+        out = []
+        for base in (self.base, pow(self.base, -1, 2**64)):
+            powers = np.full(size, _U(base), dtype=np.uint64)
+            powers[0] = 1
+            out.append(np.multiply.accumulate(powers))
+        return out[0], out[1]
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the words at some places of a block."""
+        if len(data) <= BLOCK_BYTES:
+            if self.tables is None or len(self.tables[0]) < BLOCK_BYTES:
+                self.tables = self._powers(BLOCK_BYTES)
+            powers, inverses = self.tables
+        else:  # one word that is longer than a block
+            powers, inverses = self._powers(len(data))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.letters[data] * powers[: len(data)], out=sums[1:])
+        return mix((sums[end] - sums[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
 
 
 FIRST, SECOND = Family(5), Family(6)
 
 
 class Words(NamedTuple):
-    data: np.ndarray  # the bytes, A-Z lower-cased
+    data: np.ndarray  # the bytes, A-Z lower-cased if asked for
     begin: np.ndarray  # first byte of each word
     size: np.ndarray
     owner: np.ndarray  # number of the text
@@ -103,32 +108,33 @@ def _cuts(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> list[int]:
     return out
 
 
-def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, families: tuple[Family, ...] = (FIRST,)) -> Words:
+def words(
+    data: np.ndarray, bounds: np.ndarray, table: np.ndarray, families: tuple[Family, ...] = (FIRST,), lower: bool = True
+) -> Words:
     """Words of texts laid end to end; ``bounds`` has the first byte of every text, and the end."""
-    low = _LOWER[data]
+    low = _LOWER[data] if lower else data
     found: list[tuple] = []
     breaks = 0
     cuts = _cuts(data, bounds, table)
     for a, b in zip(cuts, cuts[1:], strict=False):
-        kind = table[low[a:b]]
+        block = low[a:b]
+        kind = table[block]
         inside = kind == LETTER
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
-        at = bounds[(bounds > a) & (bounds < b)] - a
+        at = bounds[np.searchsorted(bounds, a, side="right") : np.searchsorted(bounds, b)] - a
         first[at] = inside[at]
         last[at - 1] = inside[at - 1]
         begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        passed = np.cumsum(kind == BREAK)
-        letters = low[a:b][inside]
-        size = end - begin
-        found.append((begin + a, size, passed[begin] + breaks, *[f.hashes(letters, size) for f in families]))
-        breaks += int(passed[-1]) if len(passed) else 0
+        ends = np.flatnonzero(kind == BREAK)
+        found.append((begin + a, end - begin, np.searchsorted(ends, begin) + breaks, *[f.hashes(block, begin, end) for f in families]))
+        breaks += len(ends)
     if not found:
         empty = np.empty(0, dtype=np.int64)
         return Words(low, empty, empty, empty, empty, tuple(np.empty(0, dtype=np.uint64) for _ in families))
     begin, size, piece, *hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-    owner = np.searchsorted(bounds, begin, side="right") - 1
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(begin, bounds)))
     return Words(low, begin, size, owner, piece, tuple(hashes))
 
 
