@@ -376,7 +376,8 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     )
     # written first: a join of two plain shuffles is one that AQE can split at a hot anchor
     anchors = stored(anchors, "suffix-anchors")
-    hits = found.join(anchors, "anchor")
+    # written before it is summed up: else AQE cannot split the join at a hot anchor
+    hits = stored(found.join(anchors, "anchor"), "suffix-met")
     # rows equal in id and text are one here, with their number
     hits = hits.groupBy("id", "tie", "begin", "starts", "anchor", "text", "alike").agg(F.count(F.lit(1)).alias("rows"))
     hits = stored(hits, "suffix-hits")
