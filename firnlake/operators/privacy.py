@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnlake.operators.lookup import detached
+
 PREFIX = "vault:v1:"  # fixed format of an encrypted field: prefix + base64(nonce, text, tag)
 
 # Encrypted fields of a person event, and of each element of its addresses.
@@ -59,10 +61,19 @@ def new_keys(partners: DataFrame) -> DataFrame:
     return ids.mapInPandas(draw, "partner_id string, key binary")
 
 
-def join_keys(df: DataFrame, keys: DataFrame, person: str) -> DataFrame:
-    """Left join of the key table; rows of shredded persons get a NULL key."""
-    right = keys.select(F.col("partner_id").alias("_key_owner"), F.col("key").alias(KEY))
-    return df.join(right, F.col(person) == F.col("_key_owner"), "left").drop("_key_owner")
+def join_keys(df: DataFrame, keys: DataFrame, person: str, *, unique: bool = False) -> DataFrame:
+    """Left join of the key table; rows of shredded persons get a NULL key.
+
+    Both sides are shuffled for the join, so that a person with many rows can be split, and rows without a
+    person travel on a stand-in.  ``unique`` says that ``df`` has one row per person, so neither is needed.
+    """
+    if unique:
+        right = keys.select(F.col("partner_id").alias("_key_owner"), F.col("key").alias(KEY))
+        return df.join(right, F.col(person) == F.col("_key_owner"), "left").drop("_key_owner")
+    right = keys.select(detached("partner_id").alias("_key_owner"), F.col("key").alias(KEY))
+    said = [F.col(c) for c, kind in df.dtypes if "map<" not in kind]
+    owner = F.coalesce(detached(person), F.concat(F.lit("~"), F.xxhash64(*said).cast("string")))
+    return df.join(right, owner == F.col("_key_owner"), "left").drop("_key_owner")
 
 
 def encrypt(value: Column, key: Column | str = KEY) -> Column:

@@ -216,7 +216,7 @@ def management_kpi(
 
 def partner_decrypted(partners: DataFrame, keys: DataFrame) -> DataFrame:
     """Readable personal fields of the partners not deleted; shredded ones turn NULL."""
-    joined = join_keys(partners.filter(~F.col("deleted")), keys, "partner_id")
+    joined = join_keys(partners.filter(~F.col("deleted")), keys, "partner_id", unique=True)
 
     def plain(column: str) -> Column:
         return F.when(F.col("encrypted"), decrypt(F.col(column))).otherwise(F.col(column))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_set
 from firnlake.operators import lookup
+from firnlake.operators.privacy import join_keys
 from firnlake.plans import silver
 from firnlake.plans.models import MODELS, build_lake, current_state, keep_current
 from firnlake.sources.outbox import write_topics
@@ -102,7 +103,7 @@ def test_skewed_policy_in_every_mart(spark):
     assert got.agg(F.sum("total_invoices")).first()[0] == expected
 
 
-@pytest.mark.parametrize("how", ["enrich", "flag", "orphans"])
+@pytest.mark.parametrize("how", ["enrich", "flag", "orphans", "keys"])
 def test_hot_key_of_a_join_is_split(spark, how):
     """A key with a third of the rows is split although the lookup side was grouped by it."""
     conf = {
@@ -123,6 +124,8 @@ def test_hot_key_of_a_join_is_split(spark, how):
             df = lookup.enrich(facts, dims, ("k", "k"), {"v": "v"}, spread_by="id")
         elif how == "flag":
             df = lookup.flag_match(facts, dims, ("k", "k"), "known")
+        elif how == "keys":
+            df = join_keys(facts, dims.select(F.col("k").alias("partner_id"), F.col("v").cast("binary").alias("key")), "k")
         else:
             df = lookup.orphans(facts, dims, ("k", "k"), nulls_are_orphans=False)
         rows = df.collect()
