@@ -217,8 +217,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(rows: DataFrame, bucket: str) -> DataFrame:
-    """(bucket, node, center) of buckets with several nodes; centers are the smallest and the largest."""
-    ends = rows.groupBy(bucket).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    """(bucket, node, lo, hi) of buckets with several nodes; centers are those of the smallest and the largest id.
+
+    The smallest id of a group of copies is often the text the others were made of, which is near all of them.
+    """
+    order = F.struct("least", "node")
+    ends = rows.groupBy(bucket).agg(F.min(order)["node"].alias("lo"), F.max(order)["node"].alias("hi")).where("lo <> hi")
     return rows.join(ends, bucket).select(bucket, "node", "lo", "hi")
 
 
@@ -318,7 +322,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = signed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
     # a node is a text: rows with one id may hold several
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "dart-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", "least", F.explode("bands").alias("bucket"))
     stars = stored(_stars(banded, "bucket"), "dart-stars")
     pairs = stored(_pairs(stars), "dart-pairs")
     wanted = stars.select("node").distinct().join(nodes.select("node", "least", F.col("key").alias("w_key")), "node")

@@ -220,7 +220,11 @@ def test_archives_round_trip(spark, tmp_path):
             digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
             want.append((i, len(data), digest, "response" if refers is None else "revisit", refers, url))
         assert Counter(tuple(r)[:6] for r in got) == Counter(want)
-    assert warc.write_archives(pages.limit(0), str(tmp_path / "none")).count() == 0
+    place = str(tmp_path / "none")
+    captures = warc.write_archives(pages.limit(0), place)
+    parts = warc.write_index(captures, place)
+    assert captures.count() == 0 and parts.count() == 0
+    assert warc.read_records(warc.find_captures(keys, parts, place), place, 0).count() == 0
 
 
 def test_pairs_inside_a_large_template_group(spark):
