@@ -284,3 +284,49 @@ def test_number_rows_is_dense_and_ordered(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("x"))
     got = sorted((r.n, r.x) for r in ordered.number_rows(df, ["x"], "n", start=10).collect())
     assert got == [(i + 11, i) for i in range(500)]
+
+
+def test_a_piece_of_a_scan_is_small_but_never_made_larger(spark):
+    from firnlake.session import PIECE, PIECE_BYTES, prepare
+
+    before = spark.conf.get(PIECE)
+    try:
+        for given, wanted in [("128MB", str(PIECE_BYTES)), ("1m", "1m"), (str(64 << 20), str(PIECE_BYTES))]:
+            spark.conf.set(PIECE, given)
+            prepare(spark)
+            assert spark.conf.get(PIECE) == wanted
+    finally:
+        spark.conf.set(PIECE, before)
+
+
+def test_who_wants_keys_only_moves_no_rows(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "k string, t int, v string")
+    latest = latest_per_key(df, "k", ["t"], ["v", "t"], when=F.col("t") < 3)
+    assert as_set(latest) == {("a", "y", 2)}
+    keys = latest.select("k")
+    assert as_set(keys) == {("a",)}
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan and "_row" not in plan
+
+
+def test_equal_order_is_settled_by_the_columns(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, None)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "k string, t int, v string").coalesce(1)
+        assert as_set(latest_per_key(df, "k", ["t"], ["v"])) == {("a", "y")}
+
+
+def test_invoices_carry_only_the_wanted_columns(spark, sf):
+    from firnlake.plans import silver
+    from firnlake.workload import starschema as star
+
+    raw = star.invoice_events(spark, sf)
+    whole = silver.invoice(raw)
+    assert whole.columns == silver.INVOICE_COLUMNS
+    for wanted in (["invoice_status"], ["created_at", "invoice_id", "total_amount_chf"]):
+        part = silver.invoice(raw, columns=wanted)
+        assert part.columns == wanted
+        assert part.exceptAll(whole.select(wanted)).isEmpty() and whole.select(wanted).exceptAll(part).isEmpty()
+    plan = silver.invoice(raw, columns=["invoice_status"])._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert moved and all("policynumber" not in line and "invoicenumber" not in line for line in moved)
