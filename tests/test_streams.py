@@ -364,3 +364,31 @@ def test_raw_table_unions_topics(spark):
     by = {r.description: r for r in raw.collect()}
     assert by['say "hi"\n'].event_at == datetime(2024, 1, 1, 8, 0, 0, 123456)
     assert by[None].event_at is None and str(by[None].settlementamount) == "12.50"
+
+
+def test_large_input_is_staged_without_a_shuffle_in_more_files(spark, tmp_path, monkeypatch):
+    from firnlake.workload import stream_queries
+
+    rows = [("t", str(i), "{}", None, None) for i in range(100)]
+    spark.createDataFrame(rows, "topic string, key string, value string, event_type string, created_at timestamp").repartition(20).write.parquet(str(tmp_path / "sent"))
+    monkeypatch.setattr(stream_queries, "PIECE_BYTES", 100)
+    sent = spark.read.parquet(str(tmp_path / "sent"))
+    assert stream_queries._pieces(sent) >= stream_queries.FILES
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        source = stream_queries.staged(spark, sent, "large", by_makers=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    staged = spark.read.parquet(source)
+    assert len(staged.inputFiles()) > stream_queries.FILES
+    assert {r.key for r in staged.collect()} == {str(i) for i in range(100)}
+    batches = []
+
+    def seen(batch, number):
+        batches.append(batch.count())
+
+    stream_queries.run.finish([stream_queries.run.each_batch(stream_queries.feed(spark, source), seen, str(tmp_path / "c"), once=True)])
+    assert len(batches) == stream_queries.BATCHES and sum(batches) == 100
