@@ -392,3 +392,22 @@ def test_large_input_is_staged_without_a_shuffle_in_more_files(spark, tmp_path,
 
     stream_queries.run.finish([stream_queries.run.each_batch(stream_queries.feed(spark, source), seen, str(tmp_path / "c"), once=True)])
     assert len(batches) == stream_queries.BATCHES and sum(batches) == 100
+
+
+def test_landed_days_are_few_files_however_many_tasks_read(spark, tmp_path):
+    """Forty files of messages, each with the same two days: not a file per task and day."""
+    rows = [("claims.v1.rejected", f"c{i}", {"eventId": f"e{i}", "eventType": "ClaimRejected", "claimId": f"c{i}", "claimNumber": "n",
+             "policyId": "p", "claimDate": "2024-01-01", "status": "REJECTED", "timestamp": f"2024-01-0{1 + i // 40 % 2}T10:00:00Z"})
+            for i in range(400)]
+    source, raw = str(tmp_path / "topics"), str(tmp_path / "raw")
+    write_topics(messages(spark, rows).repartition(40), source)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task per file
+    try:
+        stream = stream_messages(spark, source)
+        run.finish(run.land_topics(stream, ["claims.v1.rejected"], raw, str(tmp_path / "cp"), once=True))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    landed = spark.read.parquet(f"{raw}/claims.v1.rejected")
+    assert landed.count() == 400 and len({r.eventid for r in landed.collect()}) == 400
+    assert len(landed.inputFiles()) == 2
