@@ -411,3 +411,30 @@ def test_landed_days_are_few_files_however_many_tasks_read(spark, tmp_path):
     landed = spark.read.parquet(f"{raw}/claims.v1.rejected")
     assert landed.count() == 400 and len({r.eventid for r in landed.collect()}) == 400
     assert len(landed.inputFiles()) == 2
+
+
+def test_a_batch_is_checked_once_and_leaves_nothing_aside(spark, tmp_path, monkeypatch):
+    """By year no row is moved between tasks, nothing is kept in memory or aside, and a batch can come again."""
+    rows = [("person.v1.deleted", f"p{i}", {"eventId": f"e{i}", "eventType": "PersonDeleted", "personId": f"p{i}", "timestamp": f"202{i % 3}-01-02T10:00:00Z"})
+            for i in range(30)] + [("person.v1.deleted", "bad", "no json"), (None, "none", {"a": 1})]
+    raw, checkpoint = str(tmp_path / "raw"), str(tmp_path / "cp")
+    source = str(tmp_path / "topics")
+    write_topics(messages(spark, rows).repartition(3), source)
+    caught = []
+    start = run.each_batch
+    run.each_batch = lambda m, handle, *a, **k: caught.append(handle)
+    try:
+        run.land_all(stream_messages(spark, source), raw, checkpoint, unit="year", once=True)
+    finally:
+        run.each_batch = start
+    batch = spark.read.schema(MESSAGE).parquet(source)
+    with monkeypatch.context() as m:
+        m.setattr(type(batch), "persist", None)
+        m.setattr(type(batch), "repartition", None)
+        for _ in range(2):
+            caught[0](batch, 0)
+    assert sorted(r.personid for r in run.landed(spark, raw, "person.v1.deleted").collect()) == sorted(f"p{i}" for i in range(30))
+    rejects = spark.read.schema(run.REJECT).parquet(f"{raw}/_rejects").collect()
+    assert {(r.topic, r.key, r.value, r.reason) for r in rejects} == {
+        ("person.v1.deleted", "bad", "no json", "not a JSON object"), (None, "none", '{"a": 1}', "unknown topic")}
+    assert not list((tmp_path / "cp" / "_checked").glob("batch=*"))
