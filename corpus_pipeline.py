@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from firnlake.llm import dart_minhash, mixing, packing, suffix_dedup, toxicity
-from firnlake.llm.common import stored, table
+from firnlake.llm.common import in_small_batches, stored, table
 
 # Target mixture: languages by weight, domains and sources alike; no document twice.
 WEIGHTS = {"domain": {"*": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "*": 1}, "source": {"*": 1}}
@@ -16,16 +16,19 @@ PASSAGE = 51  # words: repeated passages of over 50 words go, besides op6's repe
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not judged toxic."""
+    in_small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, folder, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    in_small_batches(spark)
     return dart_minhash.deduplicate(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without the byte strings and the passages of over 50 words that occur at several places."""
+    in_small_batches(spark)
     return suffix_dedup.remove_repeats(docs, words=PASSAGE)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from firnlake.llm import packing, toxicity
-from firnlake.llm.common import table
+from firnlake.llm.common import BATCH, BATCH_ROWS, table
 
 from .test_duplicates_warc import plain_classes
 from .test_packing_mixing_urls import plain_mix
@@ -111,3 +111,23 @@ def test_repeated_passages_of_over_50_words_are_cut(spark, sf):
     got = {r.doc_id: r.text.split() for r in corpus_pipeline.cut_repeats(spark, docs, sf).collect()}
     assert {i: t for i, t in got.items() if i > 1} == {i: t for i, t in want.items() if i > 1}
     assert all(not set(long[1:-1]) & set(got[k]) for k in range(2))
+
+
+def test_stages_hand_rows_to_python_in_small_batches(spark):
+    """And what they give does not depend on the size of a batch."""
+    before = spark.conf.get(BATCH)
+    words = [f"w{i}" for i in range(130)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 30, 3)] + [" ".join(f"own{i}_{j}" for j in range(90)) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sizes = spark.range(0, 3 * BATCH_ROWS, 1, 1).mapInArrow(lambda batches: (b.slice(0, 0).from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    try:
+        spark.conf.set(BATCH, "10000")
+        found = corpus_pipeline.cut_repeats(spark, docs, "")
+        assert max(r["n"] for r in sizes.collect()) <= BATCH_ROWS
+        spark.conf.set(BATCH, "3")
+        again = corpus_pipeline.cut_repeats(spark, docs, "")
+        assert spark.conf.get(BATCH) == "3"
+        for out in (found, again):
+            assert [r["text"] for r in out.orderBy("doc_id").collect()] == without_repeated(texts)
+    finally:
+        spark.conf.set(BATCH, before)
