@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from firnlake.llm import dart_minhash, suffix_dedup, warc
@@ -113,6 +115,33 @@ def test_induced_sort_against_plain_sort(memory, base):
             assert text[a : a + k] == text[b : b + k] and text[a + k : a + k + 1] != text[b + k : b + k + 1]
 
 
+def test_induced_sort_takes_few_bytes_a_letter():
+    """A worker sorts shards of some MB beside what the executor holds; blocks of all pairs and 8-byte places took over 100."""
+    rng = np.random.default_rng(3)
+    vocabulary = [bytes(rng.integers(97, 123, rng.integers(2, 10), dtype=np.uint8)) for _ in range(3000)]
+    words = b" ".join(vocabulary[i] for i in np.minimum(rng.zipf(1.3, 200_000), 3000) - 1)
+    text = np.frombuffer(words, dtype=np.uint8).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        found = sum(len(s) for s, _ in sorted_suffixes(text, 400))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == len(text) and peak < 75 * len(text)
+
+
+def test_words_are_coded_where_segments_are_found(spark):
+    """One Python worker a task, and the segments of the codes are those of the codes made beforehand."""
+    rows = spark.createDataFrame([(i, 7, " ".join(f"w{j * i % 90}" for j in range(50 * i)).encode()) for i in range(1, 6)], "id long, tie long, bytes binary")
+    found = suffix_dedup.find_segments(rows, 306, 122, coded=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    codes = suffix_dedup._codes(pa.array([r.bytes for r in rows.orderBy("id").collect()], pa.binary()))
+    assert [len(c) for c in codes] == [300 * i for i in range(1, 6)]
+    made = spark.createDataFrame([(i, 7, c) for i, c in enumerate(codes, 1)], "id long, tie long, bytes binary")
+    want = Counter(map(tuple, suffix_dedup.find_segments(made, 306, 122).collect()))
+    assert want and Counter(map(tuple, found.collect())) == want
+
+
 def plain_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[p : p + length] for d in data for p in range(len(d) - length + 1))
