@@ -184,3 +184,21 @@ def test_plain_comparison_finds_what_each_check_finds(spark):
     assert [r for r in checked.collect() if r.reason != r.want] == []
     # the good ones by one comparison, before any check of its own
     assert "CASE WHEN isnull(_found" in (plan := checked._jdf.queryExecution().optimizedPlan().toString()) and "(size(_spec" in plan
+
+
+def test_duplicates_carry_a_number_for_topic_and_field(spark):
+    own = {
+        "a": contracts.Contract("a", ("eventId",), unique=("claimId", "eventId")),
+        "b": contracts.Contract("b", ("eventId",), unique=("eventId",)),
+        "c": contracts.Contract("c", ("eventId",)),
+    }
+    rows = [
+        ("a", '{"eventId":"1","claimId":"1"}'), ("a", '{"eventId":"2","claimId":"1"}'), ("a", '{"eventId":"2"}'), ("b", '{"eventId":"2"}'),
+        ("b", '{"eventId":"3"}'), ("b", '{"eventId":"3"}'), ("b", '{"eventId":"3"}'), ("b", '{"claimId":"3"}'), ("b", None), ("b", "{"),
+        ("c", '{"eventId":"9"}'), ("c", '{"eventId":"9"}'), ("d", '{"eventId":"9"}'), (None, '{"eventId":"9"}'), (None, '{"eventId":"9"}'),
+    ]
+    found = contracts.duplicates(spark.createDataFrame(rows, "topic string, value string"), own)
+    assert found.columns == ["topic", "field", "key", "n"]
+    assert {tuple(r) for r in found.collect()} == {("a", "claimId", "1", 2), ("a", "eventId", "2", 2), ("b", "eventId", "3", 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(slot" in plan and "hashpartitioning(topic" not in plan
