@@ -438,3 +438,36 @@ def test_a_batch_is_checked_once_and_leaves_nothing_aside(spark, tmp_path, monke
     assert {(r.topic, r.key, r.value, r.reason) for r in rejects} == {
         ("person.v1.deleted", "bad", "no json", "not a JSON object"), (None, "none", '{"a": 1}', "unknown topic")}
     assert not list((tmp_path / "cp" / "_checked").glob("batch=*"))
+
+
+def test_consumed_messages_give_their_disk_back(spark, tmp_path):
+    """All are seen, and the files of the batches that are done go; without ``consume`` they stay."""
+    import time
+
+    rows = [("t", str(i), {"i": i}) for i in range(90)]
+    for consume in (False, True):
+        source, seen = tmp_path / f"topics-{consume}", []
+        write_topics(messages(spark, rows).repartition(9), str(source))
+        stream = stream_messages(spark, str(source), files_per_trigger=3, consume=consume)
+        handle = lambda batch, _: seen.append(batch.count())  # noqa: E731, B023
+        run.finish([run.each_batch(stream, handle, str(tmp_path / f"c-{consume}"), once=True)])
+        assert len(seen) == 3 and sum(seen) == 90
+        until = time.time() + 20
+        while consume and len(list(source.rglob("*.parquet"))) > 3 and time.time() < until:
+            time.sleep(0.2)
+        left = len(list(source.rglob("*.parquet")))
+        assert left <= 3 if consume else left == 9
+
+
+def test_landed_rows_are_packed(spark, tmp_path):
+    """Also of many rows, whose texts share large pages."""
+    import pyarrow.parquet as pq
+
+    made = lambda i: {"eventId": f"e{i}", "eventType": "PersonDeleted", "personId": f"p{i}", "timestamp": "2024-01-02T10:00:00Z"}
+    rows = [("person.v1.deleted", f"p{i}", made(i)) for i in range(30_000)]
+    source, raw = str(tmp_path / "topics"), str(tmp_path / "raw")
+    write_topics(messages(spark, rows).coalesce(1), source)
+    run.finish([run.land_all(stream_messages(spark, source), raw, str(tmp_path / "cp"), unit="year", once=True)])
+    files = list((tmp_path / "raw" / "person.v1.deleted").rglob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    assert run.landed(spark, raw, "person.v1.deleted").count() == 30_000
