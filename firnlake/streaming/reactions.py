@@ -8,6 +8,8 @@ again starts from the same state and replaces its rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,7 @@ from firnlake.operators.latest import latest_per_key
 from firnlake.operators.lookup import detached, latest_lookup
 from firnlake.operators.ordered import number_rows
 from firnlake.operators.rules import CYCLE_LABELS, PAYMENT_DAYS
+from firnlake.session import release_shuffles
 from firnlake.sources.buckets import BucketTable
 from firnlake.sources.lake import ChangeLog, exists
 from firnlake.streaming.run import CONDENSE_EVERY, dead_letters, each_batch, keep_rejects, keyed_state
@@ -49,15 +52,16 @@ def billing_state(messages: DataFrame) -> DataFrame:
     """Per policy: its first issue and its last cancellation; batch or stream.
 
     Of several issues the earliest message counts, ties are settled by its text.  Neither depends on how
-    the messages are dealt into batches.
+    the messages are dealt into batches.  Time and text are all that is kept of an issue; its fields are read from the text.
     """
     usable = messages.withColumns({"m": F.from_json("value", ISSUED), "reason": billing_reason()}).filter("reason = ''")
     issue = F.col("topic") == "policy.v1.issued"
-    row = F.struct("m.policyNumber", "m.partnerId", F.col("m.premium").alias("premium"), "created_at")
-    order = F.when(issue, F.struct("created_at", "value"))
-    return usable.groupBy(F.coalesce("m.policyId", _field("policyId")).alias("policy_id")).agg(
-        F.min_by(row, order).alias("row"), F.max(F.when(~issue, F.col("created_at"))).alias("cancelled_at")
+    state = usable.groupBy(F.coalesce("m.policyId", _field("policyId")).alias("policy_id")).agg(
+        F.min(F.when(issue, F.struct("created_at", "value"))).alias("issue"), F.max(F.when(~issue, F.col("created_at"))).alias("cancelled_at")
     )
+    state = state.withColumn("m", F.from_json("issue.value", ISSUED))
+    row = F.struct("m.policyNumber", "m.partnerId", F.col("m.premium").alias("premium"), F.col("issue.created_at").alias("created_at"))
+    return state.select("policy_id", F.when(F.col("issue").isNotNull(), row).alias("row"), "cancelled_at")
 
 
 def billed(state: DataFrame) -> DataFrame:
@@ -82,10 +86,10 @@ def billed(state: DataFrame) -> DataFrame:
     )
 
 
-def invoice_view(log: DataFrame) -> DataFrame:
-    """Current invoices: the last logged row of each."""
-    columns = [c for c in log.columns if c not in ("invoice_id", "batch", "step")]
-    return latest_per_key(log, "invoice_id", ["batch", "step"], columns)
+def invoice_view(log: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Current invoices: the last logged row of each; of ``columns``, if given, the others are not moved."""
+    wanted = [c for c in columns or log.columns if c not in ("invoice_id", "batch", "step")]
+    return latest_per_key(log, "invoice_id", ["batch", "step"], wanted)
 
 
 def bill_policies(messages: DataFrame, path: str, *, payees: str | None = None, once: bool = False) -> list[StreamingQuery]:
@@ -104,6 +108,7 @@ def bill_policies(messages: DataFrame, path: str, *, payees: str | None = None,
             keep_payees(BucketTable(spark, payees, "policy_id"), log.only(batch_id))
 
     keyed_state(spark)
+    release_shuffles(spark)
     wanted = messages.filter(F.col("topic").isin("policy.v1.issued", "policy.v1.cancelled"))
     return [
         each_batch(billing_state(wanted), handle, f"{path}/checkpoint", once=once, output="update"),
@@ -111,8 +116,8 @@ def bill_policies(messages: DataFrame, path: str, *, payees: str | None = None,
     ]
 
 
-def invoices(spark: SparkSession, path: str) -> DataFrame:
-    return invoice_view(ChangeLog(spark, f"{path}/log", INVOICE_LOG).read())
+def invoices(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    return invoice_view(ChangeLog(spark, f"{path}/log", INVOICE_LOG).read(), columns)
 
 
 # --- payouts ---------------------------------------------------------------------------------

@@ -471,3 +471,23 @@ def test_landed_rows_are_packed(spark, tmp_path):
     files = list((tmp_path / "raw" / "person.v1.deleted").rglob("*.parquet"))
     assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
     assert run.landed(spark, raw, "person.v1.deleted").count() == 30_000
+
+
+def test_billing_keeps_time_and_text_of_an_issue(spark, tmp_path):
+    """The fields are read from the text that won, and only the columns that are wanted are moved."""
+    issue = lambda p, n, pr: {"policyId": p, "policyNumber": n, "partnerId": "7", "premium": pr}
+    rows = [
+        ("policy.v1.issued", "1", issue("1", "B", "2.00"), 5), ("policy.v1.issued", "1", issue("1", "A", "1.00"), 5),
+        ("policy.v1.issued", "1", issue("1", "0", "3.00"), 6), ("policy.v1.cancelled", "1", {"policyId": "1"}, 7),
+        ("policy.v1.cancelled", "2", {"policyId": "2"}, 1),
+    ]
+    state = reactions.billing_state(messages(spark, rows))
+    assert {(r.policy_id, r.row and (r.row.policyNumber, r.row.premium, r.row.created_at)) for r in state.collect()} == {
+        ("1", ("A", "1.00", T0 + timedelta(minutes=5))), ("2", None)}
+    assert "min_by" not in state._jdf.queryExecution().analyzed().toString()
+    home = str(tmp_path / "home")
+    deliver(spark, tmp_path, [messages(spark, rows[:2]), messages(spark, rows[2:])], lambda s: reactions.bill_policies(s, home, once=True))
+    found = reactions.invoices(spark, home, ["invoice_id", "policy_id", "total_amount_chf", "status"])
+    assert found.columns == ["invoice_id", "policy_id", "total_amount_chf", "status"]
+    assert [(r.policy_id, str(r.total_amount_chf), r.status) for r in found.collect()] == [("1", "1.00", "CANCELLED")]
+    assert {spark.conf.get(k) for k in run.STATE_PACKED} == {"zstd", "16"}
